@@ -39,12 +39,19 @@ def raw_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("o_orderstatus") == "F", "1")
         .otherwise("0"),
     }
-    uploads = F.when(k % 10 == 0, F.array(F.lit(0), F.lit(400))).otherwise(F.array(F.lit(0)))
-    uploaded = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(F.col("late"))
+    once = F.struct(*LOAN_COLUMNS, "uploaded_at")
+    again = F.struct(*LOAN_COLUMNS, F.expr("uploaded_at + INTERVAL 400 DAY").alias("uploaded_at"))
+    uploads = F.when(F.col("twice"), F.array(once, again)).otherwise(F.array(once))
+    # The records come out of the generator, so conditions on them are checked against
+    # finished columns and not against the expressions above.
     return (
         orders.join(customer, F.col("o_custkey") == ck)
-        .select("*", F.explode(uploads).alias("late"))
-        .select(*(fields[c].alias(c) for c in LOAN_COLUMNS), uploaded.alias("uploaded_at"))
+        .select(
+            *(fields[c].alias(c) for c in LOAN_COLUMNS),
+            F.col("o_orderdate").cast("timestamp_ntz").alias("uploaded_at"),
+            (k % 10 == 0).alias("twice"),
+        )
+        .select(F.inline(uploads))
     )
 
 

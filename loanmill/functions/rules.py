@@ -51,18 +51,15 @@ class Rule:
 
     def value_ok(self) -> Column:
         """Null for a null text; false when the text does not fit the type."""
-        verdict = F.coalesce(self.accepts(self.typed()), F.lit(False))
-        return F.when(self.text().isNotNull(), verdict)
+        return F.coalesce(self.accepts(self.typed()), F.when(self.text().isNotNull(), False))
 
-    def _message(self, says: str) -> Column:
-        prefix = " ".join(w for w in ("Invalid", self.column, says) if w)
-        return F.concat(F.lit(prefix + ": "), self.text())
-
-    def failures(self) -> list[tuple[Column, Column]]:
-        out = [(~self.format_ok(), self._message(self.format_says))]
+    def failures(self) -> list[tuple[Column, str]]:
+        """Definite failures and the words that name them."""
+        out = [(~self.format_ok(), self.format_says)]
         if self.accepts is not None:
-            out.append((~self.value_ok(), self._message(self.value_says)))
-        return out
+            out.append((~self.value_ok(), self.value_says))
+        return [(failed, " ".join(w for w in ("Invalid", self.column, says) if w) + ": ")
+                for failed, says in out]
 
 
 # The columns checked, in the order in which a reason is looked for.
@@ -79,18 +76,40 @@ RULES = [
 ]
 
 
-def first_failure() -> Column:
-    """Reason text of the first rule that definitely fails, else null."""
-    branches = [branch for rule in RULES for branch in rule.failures()]
-    return reduce(lambda case, b: case.when(*b), branches[1:], F.when(*branches[0]))
+_FAILURES = [(rule, i) for rule in RULES for i in range(1 if rule.accepts is None else 2)]
+
+
+def failure_number() -> Column:
+    """Position (from 1) of the first check that definitely fails, else null.
+
+    A number and not the text itself: a chain of 17 concatenations grows the generated
+    method past what the JVM compiles.
+    """
+    case = F
+    for number, (rule, i) in enumerate(_FAILURES, start=1):
+        case = case.when(rule.failures()[i][0], number)
+    return case
 
 
-def outcome(reason: Column) -> Column:
-    """'reject' when a rule definitely fails; 'valid' when all hold; 'unclassified'
+def failure_text(number: Column) -> Column:
+    """The reason that belongs to a `failure_number`."""
+    words = F.array(*(F.lit(rule.failures()[i][1]) for rule, i in _FAILURES))
+    texts = F.array(*(rule.text() for rule, _ in _FAILURES))
+    return F.concat(F.try_element_at(words, number), F.try_element_at(texts, number))
+
+
+def outcome(number: Column) -> Column:
+    """'reject' when a check definitely fails; 'valid' when all hold; 'unclassified'
     when nothing fails but a checked text is null (neither side takes such a row)."""
     complete = reduce(lambda a, b: a & b, (r.text().isNotNull() for r in RULES))
     return (
-        F.when(reason.isNotNull(), "reject")
+        F.when(number.isNotNull(), "reject")
         .when(complete, "valid")
         .otherwise("unclassified")
     )
+
+
+def all_hold() -> Column:
+    """True, false or null (undecided) as the conjunction of all checks is."""
+    checks = [r.format_ok() for r in RULES] + [r.value_ok() for r in RULES if r.accepts]
+    return reduce(lambda a, b: a & b, checks)

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import RULES, first_failure, outcome
+from ..functions.rules import RULES, all_hold, failure_number, failure_text, outcome
 from ..functions.scalars import trimmed_lower
 from ..schemas import LOAN_COLUMNS
 
@@ -54,9 +54,12 @@ def not_seen(deduplicated: DataFrame, seen_keys: DataFrame) -> DataFrame:
 
 
 def classify(records: DataFrame) -> DataFrame:
-    """Adds `error_reason` and `outcome` in one pass over the records."""
-    return records.withColumn("error_reason", first_failure()).withColumn(
-        "outcome", outcome(F.col("error_reason"))
+    """Adds `error_reason` and `outcome`, checking each record once."""
+    number = F.col("failure")
+    return (
+        records.withColumn("failure", failure_number())
+        .withColumns({"error_reason": failure_text(number), "outcome": outcome(number)})
+        .drop("failure")
     )
 
 
@@ -71,11 +74,16 @@ def typed_columns() -> list[Column]:
 
 
 def valid_rows(records: DataFrame) -> DataFrame:
-    return classify(records).where("outcome = 'valid'").select(*typed_columns())
+    return records.where(all_hold()).select(*typed_columns())
 
 
 def reject_rows(records: DataFrame) -> DataFrame:
-    return classify(records).where("outcome = 'reject'").select(*LOAN_COLUMNS, "error_reason")
+    number = F.col("failure")
+    return (
+        records.withColumn("failure", failure_number())
+        .where(number.isNotNull())
+        .select(*LOAN_COLUMNS, failure_text(number).alias("error_reason"))
+    )
 
 
 def outcome_counts() -> list[Column]:
