@@ -12,8 +12,10 @@ from . import fixtures
 from .functions import scalars
 from .functions.rules import DECIMAL_TEXT, FLAG_TEXT, INTEGER_TEXT, RULES
 from .operators import clean, dashboard
+from .operators.numbering import numbered
 from .schemas import LABEL, LOAN_COLUMNS, NUMERIC
 from .sources import upload
+from .sources.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 MARK = dt.datetime(2000, 1, 1)
@@ -29,6 +31,12 @@ def loans(spark: SparkSession, sf: str) -> DataFrame:
     return clean.valid_rows(records(spark, sf))
 
 
+def training_loans(spark: SparkSession, sf: str, scratch: Scratch) -> DataFrame:
+    """Cleaned loans with a key and a label worth learning."""
+    written = scratch.keep(fixtures.noisy_loans(loans(spark, sf)), "training_loans")
+    return numbered(written, "loan_id")
+
+
 def _formats(pattern: str, columns: list[str]) -> Query:
     def query(spark, sf):
         raw = fixtures.raw_loans(spark, sf)

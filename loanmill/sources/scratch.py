@@ -22,9 +22,12 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """A folder of written tables that cut lineage and survive lost executors."""
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/loanmill-{uuid.uuid4().hex}"
+        self.root = root or f"{shared_folder(spark)}/loanmill-{uuid.uuid4().hex}"
+
+    def inner(self, name: str) -> Scratch:
+        return Scratch(self.spark, self.path(name))
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import LOAN_COLUMNS
 
@@ -39,22 +40,28 @@ class ContractError(ValueError):
     """An upload without exactly the required columns."""
 
 
+_SURPLUS = "_surplus"
+
+
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """One upload as texts, header names trimmed, missing cells null.
+    """One upload as texts, header names trimmed, missing cells null. A line with more
+    cells than the header fails the read.
 
     Quoted line breaks are honoured, which makes each file one task; pass
     `multi_line=False` to split huge files known to hold none.
     """
-    table = (
-        spark.read.option("header", True)
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .csv(path)
+    reader = (
+        spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     )
-    table = table.toDF(*(c.strip() for c in table.columns))
-    return table.select(
-        *(F.when(~F.col(f"`{c}`").isin(MISSING_TEXTS), F.col(f"`{c}`")).alias(c)
-          for c in table.columns)
+    names = reader.csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, _SURPLUS]])
+    table = reader.schema(schema).csv(path).toDF(*(c.strip() for c in names), _SURPLUS)
+    fits = F.when(F.col(_SURPLUS).isNull(), True).otherwise(
+        F.raise_error(F.lit(f"more cells than columns in {path}")).cast("boolean")
+    )
+    cells = {c: F.col(f"`{c}`") for c in table.columns if c != _SURPLUS}
+    return table.where(fits).select(
+        *(F.when(~cell.isin(MISSING_TEXTS), cell).alias(c) for c, cell in cells.items())
     )
 
 

@@ -155,6 +155,13 @@ def test_contract_names_missing_before_extra(spark, folder):
         upload.ingest(spark, f"{folder}/c.csv")
 
 
+def test_line_with_too_many_cells_fails(spark, folder):
+    line = ",".join(record()[c] for c in LOAN_COLUMNS)
+    write_csv(f"{folder}/d.csv", ",".join(LOAN_COLUMNS) + f"\n{line}\n{line},1\n")
+    with pytest.raises(Exception, match="more cells than columns"):
+        upload.ingest(spark, f"{folder}/d.csv").collect()
+
+
 def test_drop_empty(spark):
     rows = spark.createDataFrame([(None, None), ("a", None)], "x string, y string")
     assert upload.drop_empty(rows).count() == 1
