@@ -13,7 +13,7 @@ from .functions import scalars
 from .functions.rules import DECIMAL_TEXT, FLAG_TEXT, INTEGER_TEXT, RULES
 from .operators import clean, dashboard
 from .operators.numbering import numbered
-from .schemas import LABEL, LOAN_COLUMNS, NUMERIC
+from .schemas import LOAN_COLUMNS
 from .sources import upload
 from .sources.scratch import Scratch
 
@@ -240,3 +240,9 @@ QUERIES: dict[str, Query] = {
     "kpis_empty": kpis_empty,
     "overview": _measure(dashboard.overview),
 }
+
+
+def all_queries() -> dict[str, Query]:
+    from . import catalog_jobs
+
+    return {**QUERIES, **catalog_jobs.QUERIES}

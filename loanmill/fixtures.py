@@ -62,6 +62,49 @@ def noisy_loans(loans: DataFrame) -> DataFrame:
     return loans.withColumn("loan_status", (risky != flipped).cast("int"))
 
 
+def gappy_loans(raw: DataFrame) -> DataFrame:
+    """Landed records in which zero amounts are missing and low scores unreadable."""
+    return raw.withColumns(
+        {
+            "loan_amnt": F.when(F.col("loan_amnt") != "0", F.col("loan_amnt")),
+            "credit_score": F.when(F.col("credit_score") < "300", "n/a").otherwise(
+                F.col("credit_score")
+            ),
+        }
+    )
+
+
+def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order of a known customer as a loan application, some out of bounds."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    k, ck = F.col("o_orderkey"), F.col("c_custkey")
+
+    def one_of(n: Column, *values: str) -> Column:
+        return F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+
+    return orders.join(customer, F.col("o_custkey") == ck).select(
+        k.alias("application_id"),
+        (15 + ck % 90).cast("int").alias("person_age"),
+        one_of(ck, "Male", "Female").alias("person_gender"),
+        one_of(ck, "High School", "Bachelor", "Master", "PhD", "Other", "None").alias(
+            "person_education"
+        ),
+        F.col("c_acctbal").alias("person_income"),
+        (ck % 120).cast("int").alias("person_emp_exp"),
+        one_of(k, "Rent", "Own", "Mortgage", "Other").alias("person_home_owner"),
+        F.col("o_totalprice").alias("loan_amnt"),
+        one_of(k, "Personal", "Education", "Medical", "Venture", "Home", "Other").alias(
+            "loan_intent"
+        ),
+        (k % 2100 / 20.0).alias("loan_int_rate"),
+        (k * 7 % 70 / 100.0).alias("loan_percent_income"),
+        (ck % 30).cast("int").alias("cb_person_cred_hist_length"),
+        F.when(k % 101 != 0, (280 + k % 600).cast("double")).alias("credit_score"),
+        one_of(k, "yes", "no", "Yes").alias("previous_loan_defaults_on_file"),
+    )
+
+
 RAW_LOANS_SQL = """
 WITH base AS (
   SELECT o.o_orderkey AS k, c.c_custkey AS ck, o.o_orderdate AS d, o.o_orderstatus AS st,
@@ -91,3 +134,21 @@ UNION ALL
 SELECT * EXCLUDE (k) REPLACE (uploaded_at + INTERVAL 400 DAY AS uploaded_at) FROM r
 WHERE k % 10 = 0
 """
+
+APPLICATIONS_SQL = """
+SELECT o_orderkey AS application_id, CAST(15 + c_custkey % 90 AS INTEGER) AS person_age,
+  ['Male', 'Female'][c_custkey % 2 + 1] AS person_gender,
+  ['High School', 'Bachelor', 'Master', 'PhD', 'Other', 'None'][c_custkey % 6 + 1]
+    AS person_education,
+  c_acctbal AS person_income, CAST(c_custkey % 120 AS INTEGER) AS person_emp_exp,
+  ['Rent', 'Own', 'Mortgage', 'Other'][o_orderkey % 4 + 1] AS person_home_owner,
+  o_totalprice AS loan_amnt,
+  ['Personal', 'Education', 'Medical', 'Venture', 'Home', 'Other'][o_orderkey % 6 + 1]
+    AS loan_intent,
+  o_orderkey % 2100 / 20.0::DOUBLE AS loan_int_rate,
+  o_orderkey * 7 % 70 / 100.0::DOUBLE AS loan_percent_income,
+  CAST(c_custkey % 30 AS INTEGER) AS cb_person_cred_hist_length,
+  CASE WHEN o_orderkey % 101 <> 0 THEN CAST(280 + o_orderkey % 600 AS DOUBLE) END AS credit_score,
+  ['yes', 'no', 'Yes'][o_orderkey % 3 + 1] AS previous_loan_defaults_on_file
+FROM orders JOIN customer ON o_custkey = c_custkey
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .fixtures import RAW_LOANS_SQL
+from .fixtures import APPLICATIONS_SQL, RAW_LOANS_SQL
 from .functions.rules import RULES
 from .schemas import LOAN_COLUMNS, NUMERIC
 
@@ -271,3 +271,174 @@ ORACLES: dict[str, str] = {
     "kpis_empty": _kpis("loan_amnt < 0"),
     "overview": _overview(),
 }
+
+# --- stored tables, features and models -------------------------------------------
+
+_STATES = f"""SELECT ({_VALID}) AS ok, uploaded_at > {_MARK} AS second FROM records"""
+_RUN_COUNTS = """CAST(count(*) FILTER (ok) AS BIGINT) AS success_count,
+    CAST(count(*) FILTER (NOT ok) AS BIGINT) AS reject_count"""
+
+
+def _log(second_run: str, columns: str = "", extra: str = "") -> str:
+    # A record first uploaded up to the mark belongs to the first run, the rest to the second.
+    return _with(
+        "records",
+        f"""SELECT {_MARK} AS date_time, 'SUCCESS' AS status, {_RUN_COUNTS} {columns}
+        FROM states WHERE NOT second
+        UNION ALL SELECT {second_run}, 'SUCCESS', {_RUN_COUNTS} {columns}
+        FROM states WHERE second {extra}""",
+        states=_STATES,
+    )
+
+
+_ENCODED = f"""SELECT {_AGE} AS person_age, {_gender('person_gender')} AS person_gender,
+    person_education, person_income, {_EXP} AS person_emp_exp, person_home_owner, loan_amnt,
+    loan_intent, loan_int_rate, loan_percent_income, cb_person_cred_hist_length::DOUBLE
+    AS cb_person_cred_hist_length, credit_score, previous_loan_defaults_on_file, loan_status
+    FROM loans"""
+_CATEGORIES = [c for c in LOAN_COLUMNS if c not in NUMERIC and c != "loan_status"]
+# Number of levels each categorical feature has in the given tables.
+_LEVELS = dict(zip(_CATEGORIES, (4, 2, 5, 4, 3, 5, 2)))
+
+
+def _round(x: str) -> str:
+    return f"round_even(({x}) * 1000000.0::DOUBLE, 0) / 1000000.0::DOUBLE"
+
+
+def _scaled(c: str) -> str:
+    return f"(ln(1 + {c}) - avg(ln(1 + {c})) OVER ()) / stddev_pop(ln(1 + {c})) OVER ()"
+
+
+def _hot(c: str, level: int) -> str:
+    return f"CAST(dense_rank() OVER (ORDER BY {c}) = {level} AS INTEGER)"
+
+
+_NOISY = """SELECT CAST(((credit_score < 400 OR loan_percent_income > 0.62)
+    <> (CAST(round(loan_amnt * 100) AS BIGINT) % 10 = 0)) AS INTEGER) AS loan_status FROM loans"""
+_LISTS = {
+    "person_age": "person_age BETWEEN 18 AND 100",
+    "person_income": "person_income >= 0",
+    "person_emp_exp": "person_emp_exp >= 0",
+    "loan_amnt": "loan_amnt >= 0",
+    "loan_int_rate": "loan_int_rate BETWEEN 0 AND 100",
+    "loan_percent_income": "loan_percent_income >= 0",
+    "cb_person_cred_hist_length": "cb_person_cred_hist_length >= 0",
+    "credit_score": "credit_score BETWEEN 300 AND 850",
+    "person_gender": "person_gender IN ('Male', 'Female')",
+    "person_education": "person_education IN ('High School', 'Bachelor', 'Master', 'PhD', 'Other')",
+    "person_home_owner": "person_home_owner IN ('Rent', 'Own', 'Mortgage', 'Other')",
+    "loan_intent": """loan_intent IN
+        ('Personal', 'Education', 'Medical', 'Venture', 'Home', 'Other')""",
+    "previous_loan_defaults_on_file": "previous_loan_defaults_on_file IN ('yes', 'no')",
+}
+_INVALID = "concat_ws(', ', " + ", ".join(
+    f"CASE WHEN NOT coalesce({ok}, FALSE) THEN '{c}' END" for c, ok in _LISTS.items()
+) + ")"
+
+ORACLES |= {
+    "csv_ingest": ORACLES["raw_text"],
+    "contract_check": _with(
+        "raw_loans",
+        """SELECT 'exact' AS upload, CAST(NULL AS VARCHAR) AS error, count(*) AS accepted_rows
+        FROM raw_loans UNION ALL
+        SELECT 'short', 'Missing required columns: [''loan_status'']', 0 UNION ALL
+        SELECT 'long', 'Extra columns found: [''uploaded_at'']', 0""",
+    ),
+    "raw_append": _with(
+        "raw_loans", f"SELECT {_ALL}, TIMESTAMP '2003-01-01' AS uploaded_at FROM raw_loans"
+    ),
+    "upload_history": _log(
+        "TIMESTAMP '2003-01-01'", ", CAST(NULL AS VARCHAR) AS error_message"
+    ),
+    "high_water_mark": "SELECT TIMESTAMP '2003-01-01' AS mark",
+    "fact_load": ORACLES["scan_view"],
+    "loan_ids": _with(
+        "loans",
+        """SELECT count(*) AS n, count(*) AS different, CAST(1 AS BIGINT) AS lowest,
+        count(*) AS highest FROM loans""",
+    ),
+    "reject_load": ORACLES["reject_reason"],
+    "audit_log": _with(
+        "records",
+        f"SELECT 'SUCCESS' AS status, CAST(2 AS BIGINT) AS runs, {_RUN_COUNTS} FROM states",
+        states=_STATES,
+    ),
+    "audit_failed": _log(
+        "TIMESTAMP '2004-01-01'",
+        extra="UNION ALL SELECT TIMESTAMP '2003-01-01', 'FAILED', 0, 0",
+    ),
+    "mv_refresh": ORACLES["scan_view"],
+    "run_etl": ORACLES["scan_view"],
+    "rerun_noop": """SELECT TIMESTAMP '2004-01-01' + INTERVAL 1 DAY * d AS date_time,
+        'SUCCESS' AS status, CAST(0 AS BIGINT) AS success_count, CAST(0 AS BIGINT) AS reject_count
+        FROM (VALUES (0), (1)) t(d)""",
+    "log1p_features": _with(
+        "loans",
+        "SELECT " + ", ".join(f"{_round(f'ln(1 + {c})')} AS {c}" for c in NUMERIC) + " FROM loans",
+    ),
+    "train_contract": _with(
+        "loans",
+        """SELECT count(*) AS "rows",
+        'Missing columns in dataframe: [''loan_status'']' AS refusal FROM loans""",
+    ),
+    "drop_incomplete": _with(
+        "raw_loans",
+        "SELECT " + ", ".join(f"{_dec(c)} AS {c}" if c in NUMERIC else c for c in LOAN_COLUMNS)
+        + " FROM raw_loans WHERE loan_amnt <> '0' AND credit_score >= '300'",
+    ),
+    "features": _with("loans", "SELECT * FROM encoded", encoded=_ENCODED),
+    "scale_features": _with(
+        "loans",
+        "SELECT " + ", ".join(f"{_round(_scaled(c))} AS {c}" for c in NUMERIC) + " FROM loans",
+    ),
+    "one_hot": _with(
+        "loans",
+        f"SELECT {', '.join(_CATEGORIES)}, "
+        + ", ".join(
+            f"{_hot(c, i)} AS {c}_{i}" for c, n in _LEVELS.items() for i in range(1, n + 1)
+        )
+        + " FROM encoded",
+        encoded=_ENCODED,
+    ),
+    "assemble": _with(
+        "loans",
+        "SELECT [" + ", ".join(
+            [_round(_scaled(c)) for c in NUMERIC]
+            + [f"{_hot(c, i)}::DOUBLE" for c, n in _LEVELS.items() for i in range(1, n + 1)]
+        ) + "] AS features FROM encoded",
+        encoded=_ENCODED,
+    ),
+    "stratified_split": _with(
+        "loans",
+        """SELECT part, loan_status, CASE part WHEN 'train' THEN train ELSE n - train END AS n
+        FROM cut, (VALUES ('train'), ('test')) p(part)""",
+        noisy=_NOISY,
+        sizes="""SELECT loan_status, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total
+        FROM noisy GROUP BY loan_status""",
+        shares="""SELECT *, total - CAST(ceil(total / 5) AS BIGINT) AS kept FROM sizes""",
+        floors="""SELECT *, n * kept // total AS base, n * kept % total AS rest FROM shares""",
+        cut="""SELECT *, base + CAST(row_number() OVER (ORDER BY rest DESC, loan_status)
+            <= kept - sum(base) OVER () AS BIGINT) AS train FROM floors""",
+    ),
+    "smote": _with(
+        "loans",
+        f"""SELECT loan_status AS label, FALSE AS synthetic, n,
+        {len(NUMERIC) + sum(_LEVELS.values())} AS width FROM sizes
+        UNION ALL SELECT loan_status, TRUE, (SELECT max(n) FROM sizes) - n,
+        {len(NUMERIC) + sum(_LEVELS.values())} FROM sizes WHERE n < (SELECT max(n) FROM sizes)""",
+        noisy=_NOISY,
+        sizes="SELECT loan_status, count(*) AS n FROM noisy GROUP BY loan_status",
+    ),
+    "accuracy": _with(
+        "loans",
+        """SELECT avg(CAST((loan_percent_income > 0.43) = (loan_status = 1) AS DOUBLE)) AS accuracy
+        FROM loans""",
+    ),
+    "score_input_check": f"""WITH applications AS ({APPLICATIONS_SQL})
+        SELECT *, {_INVALID} AS invalid_fields, {_INVALID} = '' AS is_valid FROM applications""",
+    "refresh_job": _with(
+        "records", f"SELECT {_RUN_COUNTS}, 1 AS models FROM states",
+        # In text form a missing age reads 'nan', which is a format failure.
+        states=f"SELECT coalesce(({_VALID}), FALSE) AS ok FROM records",
+    ),
+}
