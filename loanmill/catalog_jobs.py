@@ -227,11 +227,14 @@ def one_hot(spark, sf):
 
 
 def assemble(spark, sf):
-    """Features as arrays, numbers rounded."""
+    """The slots of the feature vector, rounded: numbers first, then the one-hot levels."""
     table = _table(spark, sf)
     rows = features.fit_preprocessor(table).transform(table)
-    rounded = F.transform(vector_to_array("features"), lambda x: scalars.round_half_even(x, 6))
-    return rows.select(rounded.alias("features"))
+    slots = vector_to_array("features")
+    width = rows.schema["features"].metadata["ml_attr"]["num_attrs"]
+    return rows.select(
+        *(scalars.round_half_even(slots[i], 6).alias(f"f{i + 1}") for i in range(width))
+    )
 
 
 # --- models ------------------------------------------------------------------------

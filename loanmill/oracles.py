@@ -402,10 +402,13 @@ ORACLES |= {
     ),
     "assemble": _with(
         "loans",
-        "SELECT [" + ", ".join(
-            [_round(_scaled(c)) for c in NUMERIC]
-            + [f"{_hot(c, i)}::DOUBLE" for c, n in _LEVELS.items() for i in range(1, n + 1)]
-        ) + "] AS features FROM encoded",
+        "SELECT " + ", ".join(
+            f"{x} AS f{n}" for n, x in enumerate(
+                [_round(_scaled(c)) for c in NUMERIC]
+                + [f"{_hot(c, i)}::DOUBLE" for c, n in _LEVELS.items() for i in range(1, n + 1)],
+                start=1,
+            )
+        ) + " FROM encoded",
         encoded=_ENCODED,
     ),
     "stratified_split": _with(

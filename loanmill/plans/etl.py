@@ -6,7 +6,6 @@ import datetime as dt
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..operators import clean
@@ -56,15 +55,10 @@ def _load(store: LoanStore, run_id: str, at: dt.datetime) -> RunResult:
                 # Stamped up to the mark but landed after that run: seen, never loaded.
                 late = F.col("uploaded_at") <= clean.moment(done.mark)
                 checked = checked.withColumn("outcome", F.when(late, "late").otherwise(F.col("outcome")))
-            seen = Observation("outcomes")
-            staged = scratch.keep(
-                checked.observe(
-                    seen, *(F.count_if(F.col("outcome") == o).alias(o) for o in _OUTCOMES)
-                ),
-                "checked",
-                partition_by="outcome",
-            )
-            counts = seen.get
+            staged = scratch.keep(checked, "checked", partition_by="outcome")
+            # Counted on what was written, so no retried task counts twice; only file
+            # footers are read.
+            counts |= dict(staged.groupBy("outcome").count().collect())
             valid = staged.where("outcome = 'valid'")
             loans = numbered(valid, "loan_id", after=last_id)
             store.write_loans(run_id, loans.select("loan_id", *clean.typed_columns()))

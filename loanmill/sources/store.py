@@ -12,9 +12,11 @@ import hashlib
 import uuid
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..operators.clean import moment
 from ..schemas import FACT_SCHEMA, LOAN_COLUMNS, LOG_SCHEMA, RAW_SCHEMA, REJECT_SCHEMA
@@ -74,16 +76,21 @@ class LoanStore:
             f" LOCATION '{root}/seen_keys'"
         )
 
+    def _rows(self, schema: T.StructType, rows: list[tuple]) -> DataFrame:
+        columns = list(zip(*rows)) or [()] * len(schema)
+        arrow = to_arrow_schema(schema)
+        arrays = [pa.array(values, field.type) for values, field in zip(columns, arrow)]
+        table = pa.Table.from_arrays(arrays, schema=arrow)
+        return self.spark.createDataFrame(table, schema).coalesce(1)
+
     def _create(self, name: str, schema: T.StructType, rows: list[tuple] = ()) -> None:
-        table = self.spark.createDataFrame(list(rows), schema).coalesce(1)
-        table.write.mode("ignore").parquet(f"{self.root}/{name}")
+        self._rows(schema, list(rows)).write.mode("ignore").parquet(f"{self.root}/{name}")
 
     def _table(self, name: str, schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
     def _append(self, name: str, schema: T.StructType, row: tuple) -> None:
-        line = self.spark.createDataFrame([row], schema).coalesce(1)
-        line.write.mode("append").parquet(f"{self.root}/{name}")
+        self._rows(schema, [row]).write.mode("append").parquet(f"{self.root}/{name}")
 
     def _folders(self, name: str, key: str, ids: list[str], schema: T.StructType) -> DataFrame:
         if not ids:
@@ -118,12 +125,13 @@ class LoanStore:
     def committed(self) -> Committed:
         """State left by the successful runs. Failed ones do not move the mark."""
         log = self._table("etl_log", _LOG).where(F.col("status") == SUCCESS)
-        rows = log.join(self._table("runs", _RUNS), "run_id").orderBy("run_id").collect()
+        times = {r.run_id: r.date_time for r in log.collect()}
+        done = [r for r in self._table("runs", _RUNS).collect() if r.run_id in times]
         return Committed(
-            runs=[r.run_id for r in rows],
-            uploads={u for r in rows for u in r.uploads},
-            mark=max((r.date_time for r in rows), default=None),
-            last_loan_id=max((r.last_loan_id for r in rows), default=0),
+            runs=sorted(times),
+            uploads={u for r in done for u in r.uploads},
+            mark=max(times.values(), default=None),
+            last_loan_id=max((r.last_loan_id for r in done), default=0),
         )
 
     def write_loans(self, run_id: str, loans: DataFrame) -> None:
