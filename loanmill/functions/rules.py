@@ -53,13 +53,14 @@ class Rule:
         """Null for a null text; false when the text does not fit the type."""
         return F.coalesce(self.accepts(self.typed()), F.when(self.text().isNotNull(), False))
 
-    def failures(self) -> list[tuple[Column, str]]:
-        """Definite failures and the words that name them."""
-        out = [(~self.format_ok(), self.format_says)]
-        if self.accepts is not None:
-            out.append((~self.value_ok(), self.value_says))
-        return [(failed, " ".join(w for w in ("Invalid", self.column, says) if w) + ": ")
-                for failed, says in out]
+    def failed(self) -> list[Column]:
+        """The definite failures: of the format, then of the value."""
+        return [~self.format_ok()] + ([~self.value_ok()] if self.accepts else [])
+
+    def words(self) -> list[str]:
+        """What the reason says before the text, for each of `failed`."""
+        says = [self.format_says] + ([self.value_says] if self.accepts else [])
+        return [f"Invalid {self.column} {word}".rstrip() + ": " for word in says]
 
 
 # The columns checked, in the order in which a reason is looked for.
@@ -76,25 +77,23 @@ RULES = [
 ]
 
 
-_FAILURES = [(rule, i) for rule in RULES for i in range(1 if rule.accepts is None else 2)]
-
-
 def failure_number() -> Column:
     """Position (from 1) of the first check that definitely fails, else null.
 
     A number and not the text itself: a chain of 17 concatenations grows the generated
     method past what the JVM compiles.
     """
-    case = F
-    for number, (rule, i) in enumerate(_FAILURES, start=1):
-        case = case.when(rule.failures()[i][0], number)
+    first, *rest = (failed for rule in RULES for failed in rule.failed())
+    case = F.when(first, 1)
+    for number, failed in enumerate(rest, start=2):
+        case = case.when(failed, number)
     return case
 
 
 def failure_text(number: Column) -> Column:
     """The reason that belongs to a `failure_number`."""
-    words = F.array(*(F.lit(rule.failures()[i][1]) for rule, i in _FAILURES))
-    texts = F.array(*(rule.text() for rule, _ in _FAILURES))
+    words = F.array(*(F.lit(w) for rule in RULES for w in rule.words()))
+    texts = F.array(*(rule.text() for rule in RULES for _ in rule.words()))
     return F.concat(F.try_element_at(words, number), F.try_element_at(texts, number))
 
 
