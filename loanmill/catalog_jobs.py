@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
-import functools
+from collections.abc import Callable
 from contextlib import suppress
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,17 @@ _CLASSIFIERS = {
 }
 
 
+_made: dict[tuple, object] = {}
+
+
+def _once(spark: SparkSession, what: str, sf: str, make: Callable[[], object]):
+    """Makes a thing several queries read only once per application."""
+    key = (spark.sparkContext.applicationId, what, sf)
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]
+
+
 def _uploads(spark, sf) -> tuple[DataFrame, DataFrame]:
     raw = fixtures.raw_loans(spark, sf)
     old = F.col("uploaded_at") <= clean.moment(FIRST_RUN)
@@ -45,14 +57,8 @@ def _two_runs(spark: SparkSession, sf: str) -> LoanStore:
     return store
 
 
-@functools.cache
-def _store_of(app: str, sf: str) -> LoanStore:
-    return _two_runs(SparkSession.getActiveSession(), sf)
-
-
 def _store(spark, sf) -> LoanStore:
-    """Shared by the queries that only read it."""
-    return _store_of(spark.sparkContext.applicationId, sf)
+    return _once(spark, "store", sf, lambda: _two_runs(spark, sf))
 
 
 # --- uploads -------------------------------------------------------------------
@@ -240,41 +246,33 @@ def assemble(spark, sf):
 # --- models ------------------------------------------------------------------------
 
 
-@functools.cache
-def _prepared_of(app: str, sf: str) -> training.Prepared:
-    spark = SparkSession.getActiveSession()
-    scratch = Scratch(spark)
-    return training.prepare(catalog.training_loans(spark, sf, scratch), scratch)
-
-
 def _prepared(spark, sf) -> training.Prepared:
-    """Shared by the queries that fit on it."""
-    return _prepared_of(spark.sparkContext.applicationId, sf)
+    def make():
+        scratch = Scratch(spark)
+        return training.prepare(catalog.training_loans(spark, sf, scratch), scratch)
 
-
-@functools.cache
-def _model_of(app: str, sf: str, name: str):
-    prepared = _prepared_of(app, sf)
-    return training.fit(prepared, _CLASSIFIERS[name](prepared.balanced_rows))
+    return _once(spark, "prepared", sf, make)
 
 
 def _model(spark, sf, name):
-    return _model_of(spark.sparkContext.applicationId, sf, name)
-
+    def make():
+        prepared = _prepared(spark, sf)
+        return training.fit(prepared, _CLASSIFIERS[name](prepared.balanced_rows))
 
-@functools.cache
-def _trained_of(app: str, sf: str) -> str:
-    spark = SparkSession.getActiveSession()
-    scratch = Scratch(spark)
-    folder = scratch.path("models")
-    loans = catalog.training_loans(spark, sf, scratch)
-    training.train_and_save(spark, folder, loans, classifiers=_CLASSIFIERS)
-    return folder
+    return _once(spark, name, sf, make)
 
 
 def _trained(spark, sf) -> str:
     """Folder with kept models."""
-    return _trained_of(spark.sparkContext.applicationId, sf)
+
+    def make():
+        scratch = Scratch(spark)
+        folder = scratch.path("models")
+        loans = catalog.training_loans(spark, sf, scratch)
+        training.train_and_save(spark, folder, loans, classifiers=_CLASSIFIERS)
+        return folder
+
+    return _once(spark, "trained", sf, make)
 
 
 def stratified_split(spark, sf):
@@ -351,9 +349,7 @@ def train_job(spark, sf):
 
 
 def model_roundtrip(spark, sf):
-    """Predictions of kept models against those of the models kept."""
-    from pyspark.ml import PipelineModel
-
+    """Predictions of a kept model against those of the model kept."""
     path = Scratch(spark).path("model")
     fitted = _model(spark, sf, training.LOGISTIC)
     fitted.write().overwrite().save(path)

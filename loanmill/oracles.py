@@ -432,6 +432,9 @@ ORACLES |= {
         noisy=_NOISY,
         sizes="SELECT loan_status, count(*) AS n FROM noisy GROUP BY loan_status",
     ),
+    "model_roundtrip": _with(
+        "loans", "SELECT TRUE AS same, CAST(ceil(count(*) / 5) AS BIGINT) AS count FROM loans"
+    ),
     "accuracy": _with(
         "loans",
         """SELECT avg(CAST((loan_percent_income > 0.43) = (loan_status = 1) AS DOUBLE)) AS accuracy
