@@ -58,7 +58,7 @@ class Committed:
 
 
 class LoanStore:
-    """Opens the tables under `root`, creating the missing ones."""
+    """Opens the tables under `root` and the view over them, creating the missing ones."""
 
     def __init__(self, spark: SparkSession, root: str, key_buckets: int | None = None):
         self.spark, self.root = spark, root
@@ -75,6 +75,7 @@ class LoanStore:
             f" USING parquet CLUSTERED BY (record_key) INTO {self.key_buckets} BUCKETS"
             f" LOCATION '{root}/seen_keys'"
         )
+        self.refresh_view()
 
     def _rows(self, schema: T.StructType, rows: list[tuple]) -> DataFrame:
         columns = list(zip(*rows)) or [()] * len(schema)

@@ -103,6 +103,7 @@ def test_late_records_are_never_loaded(spark, folder):
 
 def test_view_is_a_snapshot(spark, folder):
     store = LoanStore(spark, folder)
+    assert spark.table("vw_ml_loan").count() == 0
     store.append_raw(frame(spark, record()), at=START)
     run_etl(store, at=START + DAY)
     before = spark.table("vw_ml_loan")
