@@ -13,7 +13,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanmill.llm.base import SPACES, lower_ascii
@@ -28,8 +28,8 @@ class LineRuns:
         self.buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
 
-    def runs(self) -> list[DataFrame]:
-        return [self.spark.table(name) for level in self.levels for name in level]
+    def names(self) -> list[str]:
+        return [name for level in self.levels for name in level]
 
     def _write(self, entries: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
@@ -41,21 +41,19 @@ class LineRuns:
         )
         return name
 
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        return (
-            reduce(DataFrame.union, runs)
-            .groupBy("hash")
-            .agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
-        )
+    def _merged(self, names: list[str]) -> DataFrame:
+        # Read by path: a union of bucketed scans takes itself for partitioned by the hash,
+        # and its groups then stay apart.
+        runs = self.spark.read.parquet(*(self.scratch.path(name) for name in names))
+        return runs.groupBy("hash").agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
 
     def add(self, batch: DataFrame) -> None:
         """Adds a batch of (`doc_id`, `hash`), once per document; ids below those before."""
         entries = batch.groupBy("hash").agg(
             F.count("*").alias("docs"), F.max("doc_id").alias("last")
         )
-        for run in self.runs():
-            settled = run.where(F.col("docs") >= self.enough).select("hash")
+        for name in self.names():
+            settled = self.spark.table(name).where(F.col("docs") >= self.enough).select("hash")
             entries = entries.join(settled, "hash", "left_anti")
         self.levels[0].append(self._write(entries))
         self._compact()
@@ -64,7 +62,7 @@ class LineRuns:
         for depth, level in enumerate(self.levels):
             if len(level) < self.fan:
                 break
-            merged = self._write(self._merged([self.spark.table(name) for name in level]))
+            merged = self._write(self._merged(level))
             for name in level:
                 self.spark.sql(f"DROP TABLE {name}")
             level.clear()
@@ -74,12 +72,11 @@ class LineRuns:
 
     def repeated(self) -> DataFrame:
         """`hash`, `last` of the lines that enough documents hold."""
-        return self._merged(self.runs()).where(F.col("docs") >= self.enough).select("hash", "last")
+        return self._merged(self.names()).where(F.col("docs") >= self.enough).select("hash", "last")
 
     def forget(self) -> None:
-        for level in self.levels:
-            for name in level:
-                self.spark.sql(f"DROP TABLE {name}")
+        for name in self.names():
+            self.spark.sql(f"DROP TABLE {name}")
         self.levels = [[]]
 
 
