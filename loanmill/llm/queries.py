@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanmill.llm import blob_ledger, line_runs, minimax_shards, pareto_mix
+from loanmill.llm import blob_ledger, divide_skip, line_runs, minimax_shards, pareto_mix
 from loanmill.llm.base import session_scratch, table
 
 
@@ -61,10 +61,16 @@ def op9_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return divide_skip.near_duplicates(docs, session_scratch(spark))
+
+
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op5_line_runs": op5_line_runs,
     "op7_minimax_shards": op7_minimax_shards,
     "op9_blob_ledger": op9_blob_ledger,
+    "op10_divide_skip": op10_divide_skip,
 }
 ORACLES: dict[str, str] = {}
