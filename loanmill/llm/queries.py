@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanmill.llm import blob_ledger, divide_skip, line_runs, minimax_shards, pareto_mix
+from loanmill.llm import (
+    blob_ledger,
+    divide_skip,
+    line_runs,
+    minimax_shards,
+    pareto_mix,
+    pigeonhole,
+    rff_quality,
+)
 from loanmill.llm.base import session_scratch, table
 
 
@@ -29,6 +37,25 @@ def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pigeonhole.matches(docs, table(spark, sf_dir, "benchmark"))
+
+
+def op6_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = rff_quality.fit(docs, table(spark, sf_dir, "labels"), session_scratch(spark))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return (
+        rff_quality.score(docs, model)
+        .select("row.doc_id", "score")
+        .select(
+            "doc_id", held_out.alias("held_out"), "score",
+            (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        )
+    )
+
+
 def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     carry = [F.col("doc_id"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32")]
@@ -68,7 +95,9 @@ def op10_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op4_pigeonhole": op4_pigeonhole,
     "op5_line_runs": op5_line_runs,
+    "op6_rff_quality": op6_rff_quality,
     "op7_minimax_shards": op7_minimax_shards,
     "op9_blob_ledger": op9_blob_ledger,
     "op10_divide_skip": op10_divide_skip,
