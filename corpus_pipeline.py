@@ -1,14 +1,78 @@
-"""From raw documents to shards: the stages in order."""
+"""From raw documents to shards, in five stages over whole texts.
+
+Each stage takes the session, the documents its predecessor kept and the folder of the
+tables, and returns the documents that go on, with the columns of `documents`; the last
+returns where every document goes. Stages are written and reread one by one, so a lost
+executor costs a part of one stage.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loanmill.llm import divide_skip, minimax_shards, pareto_mix, pigeonhole, rff_quality
+from loanmill.llm.base import session_scratch, table
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    model = rff_quality.fit(docs, table(spark, sf_dir, "labels"), session_scratch(spark))
+    return rff_quality.score(docs, model).where(F.col("score") >= 0.3).select("row.*")
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the one with the smallest doc_id.
+
+    Of rows equal in doc_id and text one stays. Different texts under one doc_id can't be
+    told apart by the group's name and stay together.
+    """
+    groups = divide_skip.near_duplicates(docs, session_scratch(spark))
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = first.select(F.col("doc_id").alias("first_id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("digest"))
+    return (
+        rows.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+        .dropDuplicates(["doc_id", "digest"])
+        .select("row.*")
+    )
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is met."""
+    return pigeonhole.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix of sources holds it."""
+    chosen = pareto_mix.mix(docs, session_scratch(spark)).where("copies > 0")
+    return chosen.select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select(
+        "row.*"
+    )
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document; the copies of a text share a shard."""
+    carry = [F.col(name) for name in ("doc_id", "source", "lang")]
+    placed = minimax_shards.shard(docs, session_scratch(spark), carry=carry)
+    return placed.select("row.*", "size", "shard", "slot")
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("n-gram Jaccard join", without_near_copies),
+    ("benchmark decontamination", without_benchmark),
+    ("mixing to target weights", mixed),
+    ("sharding", sharded),
+]
+#: The classifier, the draws and the search of the capacity have no counterpart in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Applies the stages to `documents`."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to `documents`."""
+    scratch = session_scratch(spark)
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = scratch.keep(stage(spark, docs, sf_dir), f"stage_{i}")
     return docs
