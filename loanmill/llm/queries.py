@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from loanmill.llm import (
     blob_ledger,
     divide_skip,
+    licence_paragraphs,
     line_runs,
     minimax_shards,
     pareto_mix,
     pigeonhole,
     rff_quality,
+    surrogates,
 )
 from loanmill.llm.base import session_scratch, table
 
@@ -37,6 +39,17 @@ def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    safe = surrogates.replace_entities(docs, "corpus-key-1", session_scratch(spark))
+    return safe.select("row.doc_id", "n_entities", F.col("safe_text").alias("text"))
+
+
+def op3_licence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licence_paragraphs.scan(docs, licence_paragraphs.train(docs))
+
+
 def op4_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pigeonhole.matches(docs, table(spark, sf_dir, "benchmark"))
@@ -95,6 +108,8 @@ def op10_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
+    "op2_surrogates": op2_surrogates,
+    "op3_licence_paragraphs": op3_licence_paragraphs,
     "op4_pigeonhole": op4_pigeonhole,
     "op5_line_runs": op5_line_runs,
     "op6_rff_quality": op6_rff_quality,
