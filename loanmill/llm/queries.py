@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loanmill.llm import (
     blob_ledger,
+    block_max,
     divide_skip,
     licence_paragraphs,
     line_runs,
@@ -79,6 +80,11 @@ def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return block_max.search(docs, docs.where("doc_id % 100 = 0"), session_scratch(spark))
+
+
 def op9_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ledger = blob_ledger.BlobLedger(spark, session_scratch(spark).path("ledger"))
@@ -114,6 +120,7 @@ QUERIES = {
     "op5_line_runs": op5_line_runs,
     "op6_rff_quality": op6_rff_quality,
     "op7_minimax_shards": op7_minimax_shards,
+    "op8_block_max": op8_block_max,
     "op9_blob_ledger": op9_blob_ledger,
     "op10_divide_skip": op10_divide_skip,
 }
