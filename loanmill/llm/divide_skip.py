@@ -39,7 +39,7 @@ from loanmill.sources.scratch import Scratch
 # the most frequent ones. Any such set gives the same links.
 HEAVY, HEAVY_KEPT = 64, 1 << 20
 # Shingles a task gathers before it packs them, and shingles of a range.
-_FLUSH, _RANGE = 1 << 21, 1 << 21
+_FLUSH, _RANGE = 1 << 19, 1 << 20
 # Classes of a list that one search row holds.
 _PIECE = 2048
 # Weight of the list length in DivideSkip's choice of how many lists to set aside.

@@ -44,7 +44,8 @@ class LineRuns:
     def _merged(self, names: list[str]) -> DataFrame:
         # Read by path: a union of bucketed scans takes itself for partitioned by the hash,
         # and its groups then stay apart.
-        runs = self.spark.read.parquet(*(self.scratch.path(name) for name in names))
+        paths = (self.scratch.path(name) for name in names)
+        runs = self.spark.read.schema("hash string, docs long, last long").parquet(*paths)
         return runs.groupBy("hash").agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
 
     def add(self, batch: DataFrame) -> None:

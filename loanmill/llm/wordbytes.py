@@ -40,7 +40,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(index of the first text, UTF-8 bytes, offsets) of consecutive texts; null counts as empty."""
-    texts = texts.cast(pa.large_string()).fill_null("")
+    texts = texts.cast(pa.large_string())
+    texts = texts.fill_null("") if texts.null_count else texts
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
     data = texts.buffers()[2]
