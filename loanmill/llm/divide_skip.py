@@ -8,10 +8,11 @@ their first n - T + c shingles. The order here puts shingles of many documents l
 lists of that prefix are short. Their entries are dealt by shingle range, packed; shingles
 of a single class leave here, which is nearly all of them.
 
-Search, in two rounds, so that a group of thousands of near copies isn't compared pair by
-pair. In the first, each list asks for one class only, the one whose shingles are shared
-most; in the second, every class asks, but only lists that still hold different components.
-A query sets its longest lists aside (DivideSkip), heap-merges the others, and keeps the
+Search. Groups of near copies are joined first, so that a group of thousands isn't compared
+pair by pair: in a few rounds, each list asks for one class only, the one whose shingles are
+shared most, and each component found so far checks the class it meets most often. Then
+every class asks, in the lists that still hold different components, and misses no link
+between them. A query sets its longest lists aside (DivideSkip), heap-merges the others, and keeps the
 classes that occur c less the lists set aside times. The rest of the count, long lists
 included, is probed by binary search in the candidate's own sorted shingles, which asks the
 same as probing the lists. Lists are cut by ranges of partners, so none is a task's burden.
@@ -40,6 +41,8 @@ from loanmill.sources.scratch import Scratch
 HEAVY, HEAVY_KEPT = 64, 1 << 20
 # Shingles a task gathers before it packs them, and shingles of a range.
 _FLUSH, _RANGE = 1 << 19, 1 << 20
+# Rounds of joining before the full search. Any number gives the same groups.
+_JOINING = 3
 # Classes of a list that one search row holds.
 _PIECE = 2048
 # Weight of the list length in DivideSkip's choice of how many lists to set aside.
@@ -260,33 +263,47 @@ def _merge_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(["a", "b"], rows, [pa.int64(), pa.int64()])
 
 
-def _first_round(entries: DataFrame, least: int) -> DataFrame:
-    """Pairs of each list's most shared class with the others that it meets often enough."""
-    top = entries.groupBy("shingle").agg(F.max(F.struct("share", "cid", "n")).alias("top"))
-    asked = top.select("shingle", F.col("top.cid").alias("b"), F.col("top.n").alias("m"))
+def _best_pairs(entries: DataFrame, least: int) -> DataFrame:
+    """Per label the pair that meets most often of one of its classes and a list's top class.
+
+    Every list has one top class, the one whose shingles are shared most, and asks for that
+    one only, so the pairs met are no more than the entries.
+    """
+    top = entries.groupBy("shingle").agg(F.max(F.struct("share", "cid", "n", "label")).alias("top"))
+    asked = top.select(
+        "shingle", F.col("top.cid").alias("b"), F.col("top.n").alias("m"),
+        F.col("top.label").alias("of"),
+    )
     return (
         entries.join(asked, "shingle")
-        .where((F.col("cid") != F.col("b")) & _alike(F.col("n"), F.col("m"), least))
-        .groupBy(F.col("cid").alias("a"), "b")
+        .where((F.col("label") != F.col("of")) & _alike(F.col("n"), F.col("m"), least))
+        .groupBy("label", F.col("cid").alias("a"), "b")
         .agg(F.count("*").alias("met"), F.first(F.least("n", "m")).alias("n"))
         .where(F.col("met") >= _hits(F.col("n"), least))
-        .select("a", "b")
+        .groupBy("label")
+        .agg(F.max(F.struct("met", "a", "b")).alias("best"))
+        .select("best.a", "best.b")
+        .distinct()
     )
 
 
-def _second_round(entries: DataFrame, least: int, scratch: Scratch) -> DataFrame:
-    """Pairs of different labels (`a` < `b`) that meet often enough, by DivideSkip."""
-    open_lists = (
+def _open_lists(entries: DataFrame) -> DataFrame:
+    """The lists that still hold two labels, with their `length`."""
+    several = (
         entries.groupBy("shingle")
         .agg(F.count("*").alias("length"), F.min("label").alias("l"), F.max("label").alias("h"))
         .where("l <> h")
         .select("shingle", "length")
     )
-    open_lists = scratch.keep(entries.join(open_lists, "shingle"), "open")
+    return entries.join(several, "shingle")
+
+
+def _search(open_lists: DataFrame, least: int) -> DataFrame:
+    """Pairs of different labels (`a` < `b`) that meet often enough, by DivideSkip."""
     longest = open_lists.agg(F.max("length")).first()[0] or 0
     pieces = -(-longest // _PIECE)
     if not pieces:
-        return entries.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
+        return open_lists.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
     piece = F.pmod(F.xxhash64("cid"), F.lit(pieces))
 
     # c for the smallest partner; of that many meetings, those in the lists set aside may lack.
@@ -360,16 +377,19 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, least: int = 80) -> DataF
     )
     sets = scratch.keep(_sets(docs, active, seed), "sets")
 
-    links = scratch.keep(_linked(_first_round(entries, least), sets, least), "links_1")
-    labels = components(links, scratch.inner("near_1"))
-    labelled = entries.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn(
-        "label", F.coalesce("label", "cid")
-    )
-    labelled = scratch.keep(labelled, "labelled")
-    more = scratch.keep(
-        _linked(_second_round(labelled, least, scratch), sets, least), "links_2"
-    )
-    labels = components(links.union(more), scratch.inner("near_2"))
+    links, current = None, entries.withColumn("label", F.col("cid"))
+    for step in range(_JOINING):
+        new = _linked(_best_pairs(current, least), sets, least)
+        new = scratch.keep(new, f"links_{step}")
+        links = new if links is None else links.union(new)
+        labels = components(links, scratch.inner(f"near_{step}"))
+        current = entries.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn(
+            "label", F.coalesce("label", "cid")
+        )
+        current = scratch.keep(_open_lists(current), f"open_{step}").drop("length")
+    current = scratch.keep(_open_lists(current), "open")
+    more = scratch.keep(_linked(_search(current, least), sets, least), "links")
+    labels = components(links.union(more), scratch.inner("near"))
 
     named = classes.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn(
         "label", F.coalesce("label", "cid")

@@ -11,8 +11,10 @@ from loanmill.sources.scratch import Scratch
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """`id`, `label` (smallest id reachable) of every id in the edges (`a`, `b`).
 
-    Smallest labels travel along the edges, and every label is replaced by its own label, so
-    the number of rounds follows the logarithm of the diameter. Each round is a written table.
+    Each round, an id hears the labels of its neighbours; the smallest also goes to the id
+    that labels it, so that whole groups join at once, and every label is then replaced by
+    its own label. The number of rounds follows the logarithm of the longest chain. Each
+    round is a written table.
     """
     both = scratch.keep(
         edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges"
@@ -27,10 +29,13 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         step += 1
         heard = (
             both.join(labels, both["a"] == labels["id"])
-            .groupBy(F.col("b").alias("id")).agg(F.min("label").alias("heard"))
-        )
-        nearer = labels.join(heard, "id").select(
-            "id", F.least("label", "heard").alias("label"), F.col("label").alias("old")
+            .groupBy(F.col("b").alias("id"))
+            .agg(F.min("label").alias("heard"))
+        )
+        heard = scratch.keep(labels.join(heard, "id"), f"heard_{step}")
+        passed = heard.groupBy(F.col("label").alias("id")).agg(F.min("heard").alias("passed"))
+        nearer = heard.join(passed, "id", "left").select(
+            "id", F.least("label", "heard", "passed").alias("label"), F.col("label").alias("old")
         )
         nearer = scratch.keep(nearer, f"nearer_{step}")
         of_label = nearer.select(F.col("id").alias("label"), F.col("label").alias("farther"))
