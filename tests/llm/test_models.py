@@ -1,0 +1,328 @@
+"""Quality scores, licence paragraphs, benchmark matches, search and surrogates."""
+
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from conftest import SF
+from edge import frame, odd_rows, prose, words
+from pyspark.sql import functions as F
+
+from loanmill.llm import block_max, licence_paragraphs, pigeonhole, rff_quality, surrogates
+from loanmill.sources.scratch import Scratch
+
+
+@pytest.fixture
+def scratch(spark, folder):
+    return Scratch(spark, folder)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return frame(spark, odd_rows())
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+# --- quality --------------------------------------------------------------------
+
+
+def test_held_out_labels_are_met(spark, documents, scratch):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = rff_quality.fit(documents, labels, scratch)
+    teach = rff_quality.may_teach(F.col("doc_id"))
+    held = rff_quality.score(documents, model).select("row.doc_id", "score").where(~teach)
+    rows = held.join(labels, "doc_id").collect()
+    assert len(rows) > 50
+    assert np.mean([(r.score >= 0.3) == (r.quality == 1) for r in rows]) > 0.93
+    good = [r.score for r in rows if r.quality == 1]
+    bad = [r.score for r in rows if r.quality == 0]
+    wins = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
+    assert wins > 0.95
+
+
+def test_scores_of_odd_rows(spark, odd, scratch):
+    labels = spark.createDataFrame(
+        [(i, i % 2, 0) for i in range(1, 18)] + [(1, None, 0), (3, 0, 0), (None, 1, 1)],
+        "doc_id long, quality int, toxic int",
+    )
+    model = rff_quality.fit(odd, labels, scratch)
+    got = rff_quality.score(odd, model).collect()
+    assert len(got) == len(odd_rows()) and all(0 <= r.score <= 1 for r in got)
+    by_text = {}
+    for r in got:
+        assert by_text.setdefault(r.row.text or "", r.score) == r.score
+        assert r.row.score == "extra score"
+    assert rff_quality.score(odd.limit(0), model).collect() == []
+
+
+def test_scores_without_labels(spark, odd, folder):
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    model = rff_quality.fit(odd, labels, Scratch(spark, folder))
+    assert {r.score for r in rff_quality.score(odd, model).collect()} == {0.5}
+
+
+def test_isotonic_is_the_least_squares_rise():
+    random_ = np.random.default_rng(3)
+    x, w = np.arange(12.0), random_.integers(1, 5, 12).astype(float)
+    t = random_.integers(0, 5, 12).clip(0, w).astype(float)
+    knots, rates = rff_quality.isotonic(x, t, w)
+    assert (np.diff(rates) > 0).all() and (np.diff(knots) > 0).all()
+    # Rate at i: the largest over a <= i of the least mean of any block from a to b >= i.
+    rate = [
+        max(min(t[a : b + 1].sum() / w[a : b + 1].sum() for b in range(i, 12)) for a in range(i + 1))
+        for i in range(12)
+    ]
+    assert sorted(set(np.round(rate, 9))) == list(np.round(rates, 9))
+
+
+def test_fourier_features_approach_the_kernel(monkeypatch):
+    monkeypatch.setattr(rff_quality, "_FEATURES", 8192)
+    rff_quality._projection.cache_clear()
+    x = np.random.default_rng(1).normal(size=(8, 5))
+    z = rff_quality.fourier(x)[:, :-1]
+    apart = ((x[:, None] - x[None]) ** 2).sum(2)
+    assert np.abs(z @ z.T - np.exp(-apart / (2 * 5))).max() < 0.06
+    rff_quality._projection.cache_clear()
+
+
+# --- licences -------------------------------------------------------------------
+
+
+def test_licence_lines_of_the_documents(documents):
+    model = licence_paragraphs.train(documents)
+    got = {(r.doc_id, r.paragraph): r.family for r in licence_paragraphs.scan(documents, model).collect()}
+    told = {"MIT License": "MIT", "Apache License": "Apache", "GNU General": "GPL", "CC BY-NC": "CC BY-NC"}
+    wanted = {}
+    for r in documents.select("doc_id", "text").collect():
+        for i, line in enumerate(r.text.split("\n")):
+            for mark, family in told.items():
+                if mark in line:
+                    wanted[r.doc_id, i] = family
+    assert len(wanted) > 20 and got == wanted
+
+
+def test_licence_classes(spark, documents, odd):
+    model = licence_paragraphs.train(documents)
+    for family, templates in licence_paragraphs.TEMPLATES.items():
+        for text in templates:
+            assert model.classify(text.upper() + " Some Other Words", 0.5, 0.6)[0] == family
+    for text in ["", "the license of the driver", "public version of this work", prose(1, 50)]:
+        assert model.classify(text, 0.5, 0.6) is None
+    assert licence_paragraphs.scan(odd, model).collect() == []
+    nothing = licence_paragraphs.train(documents.limit(0))
+    assert nothing.classify("Released under the MIT License.", 0.5, 0.6)[0] == "MIT"
+
+
+# --- benchmark ------------------------------------------------------------------
+
+
+def edit_distance_within(pattern, text):
+    """Least distance of the pattern to any part of the text, by the table."""
+    above = [0] * (len(text) + 1)
+    for i, p in enumerate(pattern, 1):
+        row = [i]
+        for j, t in enumerate(text, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (p != t)))
+        above = row
+    return min(above), above.index(min(above))
+
+
+def test_bit_parallel_distance():
+    draw = random.Random(8)
+    for _ in range(300):
+        text = "".join(draw.choice("ab ") for _ in range(draw.randrange(0, 40)))
+        pattern = "".join(draw.choice("ab ") for _ in range(draw.randrange(1, 20)))
+        least, end = edit_distance_within(pattern, text)
+        most = draw.randrange(0, min(6, len(pattern)))
+        assert pigeonhole.closest(pattern, text, most) == ((least, end) if least <= most else None)
+
+
+def test_pieces_miss_nothing():
+    draw = random.Random(9)
+    items = [(i, "".join(draw.choice("abcd ") for _ in range(draw.randrange(5, 60)))) for i in range(12)]
+    finder = pigeonhole.Finder(items, 8)
+    for _ in range(60):
+        text = "".join(draw.choice("abcd ") for _ in range(draw.randrange(0, 90)))
+        text = text[:40] + "".join(c for c in draw.choice(items)[1] if draw.random() > 0.05) + text[40:]
+        plain = pigeonhole.levelled(text)
+        wanted = {}
+        for item_id, item in items:
+            pattern = pigeonhole.levelled(item)
+            least, _ = edit_distance_within(pattern, plain) if pattern else (9, 0)
+            if pattern and least <= len(pattern) // 8:
+                wanted[item_id] = least
+        assert {m.item: m.errors for m in finder.find(plain)} == wanted
+
+
+def test_matches_and_clean_documents(spark, odd):
+    items = spark.createDataFrame(
+        [(1, prose(900, 30)), (1, prose(900, 30)), (2, None), (3, " !?"), (4, prose(901, 25))],
+        "item_id long, text string",
+    )
+    leaked = prose(900, 30).upper().replace(" ", ",\n").replace("W900X7,", "W900X8,")
+    rows = [*odd_rows(), (50, f"Ünd {prose(5, 9)}. {leaked}! {prose(6, 9)}", "a"), (51, prose(902, 30), "a")]
+    docs = frame(spark, rows)
+    got = [tuple(r) for r in pigeonhole.matches(docs, items).collect()]
+    assert [r[:3] for r in got] == [(50, 1, 1)] * 2
+    text = rows[-2][1]
+    assert text[got[0][3] : got[0][4]] == leaked
+    kept = pigeonhole.clean(docs, items)
+    assert kept.columns == docs.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(r[0] for r in rows if r[0] != 50)
+    assert pigeonhole.clean(docs, items.limit(0)).count() == len(rows)
+    assert pigeonhole.matches(docs.limit(0), items).collect() == []
+
+
+def test_blocks_of_items(spark, monkeypatch):
+    items = spark.createDataFrame([(i, prose(i, 20)) for i in range(9)], "item_id long, text string")
+    docs = frame(spark, [(i, f"x {prose(i, 20)} y", "a") for i in range(0, 18, 2)])
+    monkeypatch.setattr(pigeonhole, "_BLOCK", 300)
+    got = {(r.doc_id, r.item_id) for r in pigeonhole.matches(docs, items).collect()}
+    assert got == {(i, i) for i in range(0, 9, 2)}
+    assert pigeonhole.clean(docs, items).count() == 4
+
+
+# --- search ---------------------------------------------------------------------
+
+
+def ranking(rows, query, k):
+    """BM25 of every document for one query, best first."""
+    counts = [(i, Counter(words(t))) for i, t, _ in rows]
+    df = Counter(w for _, c in counts for w in c)
+    n, mean = len(rows), sum(sum(c.values()) for _, c in counts) / len(rows)
+    scored = []
+    for i, c in counts:
+        norm = 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)
+        s = sum(
+            math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + norm)
+            for w in sorted(set(words(query))) if w in c
+        )
+        if s > 0 and i is not None:
+            scored.append((-round(s, 6), i))
+    return sorted(scored)[:k]
+
+
+@pytest.mark.parametrize("terms", [50, 2_000_000])
+def test_search(spark, folder, monkeypatch, terms):
+    monkeypatch.setattr(block_max, "_QUERY_TERMS", terms)
+    draw = random.Random(5)
+    rows = odd_rows() + [
+        (100 + i, " ".join(f"t{int(draw.paretovariate(0.6)) % 300}" for _ in range(draw.randrange(1, 80))), "a")
+        for i in range(400)
+    ]
+    docs = frame(spark, rows)
+    queries = docs.where("doc_id % 25 = 0 OR doc_id IN (1, 4, 5, 9)")
+    got = block_max.search(docs, queries, Scratch(spark, folder), k=7).collect()
+    texts = {i: t for i, t, _ in rows}
+    asked = {r.doc_id for r in queries.collect()}
+    for q in asked:
+        mine = sorted((r["rank"], -round(r.score, 6), r.doc_id) for r in got if r.query_id == q)
+        repeats = 2 if q == 9 else 1
+        if repeats == 1:
+            assert [m[1:] for m in mine] == ranking(rows, texts[q], 7)
+    assert {r.query_id for r in got} == {q for q in asked if words(texts[q])}
+
+
+def test_search_in_nothing(spark, odd, folder):
+    none = odd.limit(0)
+    assert block_max.search(none, odd, Scratch(spark, folder + "/a")).collect() == []
+    assert block_max.search(odd, none, Scratch(spark, folder + "/b")).collect() == []
+
+
+def test_shards_skip_blocks_but_lose_nothing():
+    draw = np.random.default_rng(2)
+    idf = draw.random(40) * 3
+    docs = []
+    for i in range(500):
+        terms = np.unique(draw.integers(0, 40, draw.integers(1, 12)))
+        docs.append((i, int(len(terms)) + int(draw.integers(0, 9)), terms, draw.integers(1, 5, len(terms))))
+    shard = block_max.Shard(docs, idf, 9.0)
+    for _ in range(30):
+        terms = np.unique(draw.integers(0, 40, 4))
+        asked = np.zeros(40)
+        asked[terms] = 1
+        norm = {d[0]: 1.2 * (0.25 + 0.75 * d[1] / 9.0) for d in docs}
+        every = [(round(sum(idf[t] * f * 2.2 / (f + norm[i]) for t, f in zip(ts, fs) if asked[t]), 6), i) for i, _, ts, fs in docs]
+        best = sorted((x for x in every if x[0] > 0), key=lambda x: (-x[0], x[1]))[:5]
+        assert [(round(s, 6), i) for s, i in shard.top(terms, asked, 5, [])] == best
+
+
+# --- surrogates -----------------------------------------------------------------
+
+PRIVATE = [
+    "Mail Anna.Berg7@mail.example.org or +1 (386) 555-3733, card 4539 1488 0343 6467.",
+    "anna.berg7@mail.example.org and Anna.Berg7@mail.example.org; 10.1.2.3, 123-45-6789",
+    "Frau Müller met John Smith; Smith was late. Анна Иванова и Γιώργος Παπάς.",
+    "4539148803436467 4539148803436468 2001.1.1 1.2.3.4.5",
+]
+
+
+def luhn(number):
+    digits = [int(c) for c in reversed(re.sub(r"\D", "", number))]
+    return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
+
+
+def form(text):
+    """The text with its letters and digits levelled by kind."""
+    kinds = [(r"[0-9]", "0"), (r"[a-z]", "a"), (r"[A-Z]", "A"), (r"[а-яё]", "я"), (r"[А-ЯЁ]", "Я")]
+    for pattern, kind in kinds:
+        text = re.sub(pattern, kind, text)
+    return text
+
+
+def test_surrogates_keep_type_and_place(spark, scratch):
+    rows = odd_rows() + [(100 + i, t, "a") for i, t in enumerate(PRIVATE)] + [(200, PRIVATE[0], "b")]
+    got = surrogates.replace_entities(frame(spark, rows), "k", scratch).collect()
+    assert len(got) == len(rows)
+    safe = {r.row.doc_id: r.safe_text for r in got if r.row.doc_id is not None and r.row.doc_id >= 100}
+    for r in got:
+        if r.row.doc_id is None or r.row.doc_id < 100:
+            assert r.safe_text == r.row.text and r.n_entities == 0
+    assert safe[100] == safe[200]
+    for text, new in zip(PRIVATE[:2], (safe[100], safe[101])):
+        for entity in re.findall(r"\S+@\S+[a-z]|\+1 \(\d+\) [\d-]+|[\d.-]{8,}\d|(?:\d{4} ){3}\d{4}", text):
+            assert entity not in new
+    assert re.sub(r"\d", "0", safe[100][safe[100].index("+1") :]) == re.sub(
+        r"\d", "0", PRIVATE[0][PRIVATE[0].index("+1") :]
+    )
+    assert safe[100].count("+1 (") == 1
+    card = re.search(r"card ([\d ]{19})", safe[100])[1]
+    assert card.startswith("4") and luhn(card)
+    address = re.search(r"Mail (\S+)", safe[100])[1]
+    assert address in safe[101] and form(address) == form("Anna.Berg7@mail.example.org")
+    one, other = re.findall(r"\S+@[\w.]+\w", safe[101])
+    assert one != other and one.split("@")[1] == other.split("@")[1]
+    given, family = safe[102].rstrip(".").split(" ")[-2:]
+    assert given in surrogates.GIVEN["male_greek"].split() and given != "Γιώργος"
+    assert re.fullmatch(r"[ΆΈΉΊΌΎΏΑ-Ω][ά-ώ]{4}", family) and family != "Παπάς"
+    assert "John Smith" not in safe[102] and "Müller" not in safe[102] and "Анна Иванова" not in safe[102]
+    assert safe[102].split(" ")[3] in surrogates.GIVEN["male_latin"].split()
+    valid, wrong = safe[103].split(" ")[:2]
+    assert luhn(valid) and valid != wrong and safe[103].endswith(" 2001.1.1 1.2.3.4.5")
+
+
+def test_other_keys_give_other_surrogates(spark, folder):
+    docs = frame(spark, [(1, PRIVATE[0], "a")])
+    made = {
+        surrogates.replace_entities(docs, key, Scratch(spark, f"{folder}/{i}")).first().safe_text
+        for i, key in enumerate(("k", "k", "l"))
+    }
+    assert len(made) == 2
+
+
+def test_surrogates_stay_distinct(spark, scratch):
+    """Fifty of a hundred possible addresses: draws collide, the results don't."""
+    entities = spark.range(10, 60).select(
+        F.lit("email").alias("kind"), F.concat(F.col("id").cast("string"), F.lit("@bank.de")).alias("entity")
+    )
+    got = surrogates.assigned(entities, "k", scratch).collect()
+    made = {r.surrogate for r in got}
+    assert len(made) == 50
