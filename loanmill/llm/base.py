@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loanmill.sources.scratch import Scratch
+from loanmill.sources.scratch import Scratch, session_scratch  # noqa: F401
 
 #: A word is a run of anything but these six white-space characters.
 SPACES = " \t\n\x0b\f\r"
@@ -16,14 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def session_scratch(spark: SparkSession) -> Scratch:
-    """Intermediate tables of a lazy result: they go when the application ends."""
-    scratch = Scratch(spark)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch.root)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.mkdirs(folder)
-    files.deleteOnExit(folder)
-    return scratch
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of executors, once per application."""
+    if spark.sparkContext.applicationId not in _shipped:
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        to = os.path.join(tempfile.mkdtemp(prefix="run-"), "loanmill")
+        spark.sparkContext.addPyFile(shutil.make_archive(to, "zip", root, "loanmill"))
+        _shipped.add(spark.sparkContext.applicationId)
 
 
 def word_count(text: Column) -> Column:

@@ -8,6 +8,10 @@ their first n - T + c shingles. The order here puts shingles of many documents l
 lists of that prefix are short. Their entries are dealt by shingle range, packed; shingles
 of a single class leave here, which is nearly all of them.
 
+Order and place also bound the overlap: shingles before the first ones a class shares with
+anybody are lost to all. Classes left without room for enough drop out, which leaves few
+that merely quote the same passage.
+
 Search. Groups of near copies are joined first, so that a group of thousands isn't compared
 pair by pair: in a few rounds, each list asks for one class only, the one whose shingles are
 shared most, and each component found so far checks the class it meets most often. Then
@@ -23,7 +27,8 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, repeat
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -31,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loanmill.llm.base import ship
 from loanmill.llm.links import components
 from loanmill.llm.packing import pack, pack_sorted, unpack, unpack_sorted
 from loanmill.llm.wordbytes import mixed, shingle_sets
@@ -41,7 +47,7 @@ from loanmill.sources.scratch import Scratch
 HEAVY, HEAVY_KEPT = 64, 1 << 20
 # Shingles a task gathers before it packs them, and shingles of a range.
 _FLUSH, _RANGE = 1 << 19, 1 << 20
-# Rounds of joining before the full search. Any number gives the same groups.
+# Rounds of joining before the full search, at most. Any number gives the same groups.
 _JOINING = 3
 # Classes of a list that one search row holds.
 _PIECE = 2048
@@ -56,7 +62,7 @@ def needed(n, least: int):
 
 def hits(n, least: int):
     """c: shingles that a set of n shares, at least, among the first n - T + c of its order."""
-    return 1 + needed(n, least) // 32
+    return 1 + needed(n, least) // 8
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -150,7 +156,9 @@ def _heavy(docs: DataFrame, total: int, seed: int) -> tuple[np.ndarray, np.uint6
 
 
 def _shared(docs: DataFrame, total: int, seed: int, least: int) -> DataFrame:
-    """`shingle`, `cid`, `size`: lists of the prefixes that two classes or more stand in."""
+    """`shingle`, `cid`, `pos` (place in the class's order) of the prefixes, for the shingles
+    in whose list two classes or more stand.
+    """
     heavy, low = _heavy(docs, total, seed)
     known = docs.sparkSession.sparkContext.broadcast(heavy)
     bits = _range_bits(total // 4)
@@ -166,14 +174,16 @@ def _shared(docs: DataFrame, total: int, seed: int, least: int) -> DataFrame:
     def out(held):
         shingles = np.concatenate([s for _, s in held])
         owner = np.repeat(np.array([cid for cid, _ in held]), [len(s) for _, s in held])
+        pos = np.concatenate([np.arange(len(s)) for _, s in held])
         order = np.lexsort((owner, shingles))
-        shingles, owner = shingles[order], owner[order]
+        shingles, owner, pos = shingles[order], owner[order], pos[order]
         rows = []
         for key, part in _by_range(shingles, bits):
             names, place = np.unique(owner[part], return_inverse=True)
-            rows.append((key, pack_sorted(shingles[part]), pack(place), names.tobytes()))
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        return _batch(["part", "packed", "place", "names"], rows, kinds)
+            packed = pack_sorted(shingles[part]), pack(place), names.tobytes(), pack(pos[part])
+            rows.append((key, *packed))
+        kinds = [pa.int64()] + [pa.binary()] * 4
+        return _batch(["part", "packed", "place", "names", "pos"], rows, kinds)
 
     def packed(batches):
         sets = (s for batch in batches for s in shingle_sets(batch.column(0), seed))
@@ -189,20 +199,21 @@ def _shared(docs: DataFrame, total: int, seed: int, least: int) -> DataFrame:
                 for names, place in zip(frame["names"], frame["place"])
             ]
         )
+        pos = np.concatenate([unpack(x) for x in frame["pos"]]).astype(np.int64)
         order = np.lexsort((owner, shingles))
-        shingles, owner = shingles[order], owner[order]
+        shingles, owner, pos = shingles[order], owner[order], pos[order]
+        # Documents with equal sets brought equal entries.
         fresh = np.r_[True, (np.diff(shingles) != 0) | (np.diff(owner) != 0)]
-        shingles, owner = shingles[fresh], owner[fresh]
+        shingles, owner, pos = shingles[fresh], owner[fresh], pos[fresh]
         _, which, sizes = np.unique(shingles, return_inverse=True, return_counts=True)
-        size = sizes[which]
-        several = size > 1
-        return pd.DataFrame(
-            {"shingle": _signed(shingles[several]), "cid": owner[several], "size": size[several]}
-        )
+        several = sizes[which] > 1
+        columns = _signed(shingles[several]), owner[several], pos[several]
+        return pd.DataFrame(dict(zip(("shingle", "cid", "pos"), columns)))
 
+    blobs = "part long, packed binary, place binary, names binary, pos binary"
     return (
-        docs.select("text").mapInArrow(packed, "part long, packed binary, place binary, names binary")
-        .groupBy("part").applyInPandas(lists, "shingle long, cid long, size long")
+        docs.select("text").mapInArrow(packed, blobs)
+        .groupBy("part").applyInPandas(lists, "shingle long, cid long, pos long")
     )
 
 
@@ -242,25 +253,41 @@ def _linked(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     )
 
 
-def _alike(n: Column, m: Column, least: int) -> Column:
-    """Whether sets of these sizes can overlap enough at all."""
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * least) & n.isNotNull()
+def _can_link(n: Column, room: Column, m: Column, other_room: Column, least: int) -> Column:
+    """Whether sets of n and m shingles can overlap enough, with no more in common than
+    either has room for."""
+    return F.least(room, other_room) * (100 + least) >= (n + m) * least
 
 
 def _hits(n: Column, least: int) -> Column:
-    return F.floor(F.ceil(n * least / 100) / 32) + 1
+    return F.floor(F.ceil(n * least / 100) / 8) + 1
+
 
+def _merge_lists(least: int):
+    """Per search row the partners met in enough of the lists that are not set aside.
 
-def _merge_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per search row the partners that stand in enough of the lists that are not set aside."""
-    for batch in batches:
-        rows = [
-            (row["cid"], partner)
-            for row in batch.to_pylist()
-            for partner, same in groupby(heapq.merge(*row["lists"]))
-            if sum(1 for _ in same) >= row["enough"]
-        ]
-        yield _batch(["a", "b"], rows, [pa.int64(), pa.int64()])
+    A list comes as partners and, packed in one number each, their sizes and the place of
+    the list's shingle in their order. Lists are merged in the order of the query's own
+    shingles; at the last one met, what both sides have left bounds the overlap, too.
+    """
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                lists = [
+                    zip(x["partners"], repeat(x["pos"]), x["facts"]) for x in row["lists"]
+                ]
+                for partner, met in groupby(heapq.merge(*lists), key=itemgetter(0)):
+                    met = list(met)
+                    _, i, fact = met[-1]
+                    m, j = fact >> 32, fact & 0xFFFFFFFF
+                    common = len(met) + row["aside"] + min(row["n"] - i, m - j) - 1
+                    if len(met) >= row["enough"] and common * (100 + least) >= (row["n"] + m) * least:
+                        rows.append((row["cid"], partner))
+            yield _batch(["a", "b"], rows, [pa.int64(), pa.int64()])
+
+    return run
 
 
 def _best_pairs(entries: DataFrame, least: int) -> DataFrame:
@@ -269,14 +296,17 @@ def _best_pairs(entries: DataFrame, least: int) -> DataFrame:
     Every list has one top class, the one whose shingles are shared most, and asks for that
     one only, so the pairs met are no more than the entries.
     """
-    top = entries.groupBy("shingle").agg(F.max(F.struct("share", "cid", "n", "label")).alias("top"))
+    top = entries.groupBy("shingle").agg(
+        F.max(F.struct("share", "cid", "n", "room", "label")).alias("top")
+    )
     asked = top.select(
         "shingle", F.col("top.cid").alias("b"), F.col("top.n").alias("m"),
-        F.col("top.label").alias("of"),
+        F.col("top.room").alias("other_room"), F.col("top.label").alias("of"),
     )
+    can = _can_link(F.col("n"), F.col("room"), F.col("m"), F.col("other_room"), least)
     return (
         entries.join(asked, "shingle")
-        .where((F.col("label") != F.col("of")) & _alike(F.col("n"), F.col("m"), least))
+        .where((F.col("label") != F.col("of")) & can)
         .groupBy("label", F.col("cid").alias("a"), "b")
         .agg(F.count("*").alias("met"), F.first(F.least("n", "m")).alias("n"))
         .where(F.col("met") >= _hits(F.col("n"), least))
@@ -310,36 +340,45 @@ def _search(open_lists: DataFrame, least: int) -> DataFrame:
     met = _hits(F.ceil(F.col("n") * least / 100), least)
     aside = F.least(met - 1, F.floor(met / (_MU * F.log2(F.max("length") + 1) + 1)))
     asking = (
-        open_lists.groupBy("cid", "label", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("length", "shingle"))).alias("all"), aside.alias("aside"))
+        open_lists.groupBy("cid", "label", "n", "room")
+        .agg(
+            F.sort_array(F.collect_list(F.struct("length", "shingle", "pos"))).alias("all"),
+            aside.cast("int").alias("aside"),
+        )
         .where(F.size("all") >= met)
         .select(
-            "cid", "label", "n", (met - F.col("aside")).alias("enough"),
+            "cid", "label", "n", "room", "aside", (met - F.col("aside")).alias("enough"),
             F.explode(
-                F.slice("all", 1, F.greatest(F.lit(0), F.size("all") - F.col("aside")).cast("int"))
+                F.slice("all", 1, F.greatest(F.lit(0), F.size("all") - F.col("aside")))
             ).alias("list"),
         )
-        .select("cid", "label", "n", "enough", F.col("list.shingle").alias("shingle"))
+        .select("cid", "label", "n", "room", "aside", "enough", "list.shingle", "list.pos")
     )
     held = (
         open_lists.groupBy("shingle", piece.alias("piece"))
-        .agg(F.sort_array(F.collect_list(F.struct("cid", "label", "n"))).alias("held"))
+        .agg(F.sort_array(F.collect_list(F.struct("cid", "label", "n", "room", "pos"))).alias("held"))
     )
 
     def fitting(y):
         other = (y["label"] != F.col("label")) & (y["cid"] > F.col("cid"))
-        return other & _alike(F.col("n"), y["n"], least)
+        return other & _can_link(F.col("n"), F.col("room"), y["n"], y["room"], least)
 
+    partners = F.transform("list", lambda y: y["cid"])
+    facts = F.transform("list", lambda y: F.shiftleft(y["n"], 32) + y["pos"])
     searches = (
         asking.join(held, "shingle")
         .withColumn("list", F.filter("held", fitting))
         .where(F.size("list") > 0)
-        .groupBy("cid", "label", "enough", "piece")
+        .select(
+            "cid", "n", "aside", "enough", "piece",
+            F.struct("pos", partners.alias("partners"), facts.alias("facts")).alias("list"),
+        )
+        .groupBy("cid", "n", "aside", "enough", "piece")
         .agg(F.collect_list("list").alias("lists"))
         .where(F.size("lists") >= F.col("enough"))
-        .select("cid", "enough", F.transform("lists", lambda x: F.transform(x, lambda y: y["cid"])).alias("lists"))
+        .drop("piece")
     )
-    return searches.mapInArrow(_merge_lists, "a long, b long")
+    return searches.mapInArrow(_merge_lists(least), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, least: int = 80) -> DataFrame:
@@ -350,6 +389,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, least: int = 80) -> DataF
     null doc_id that links with nothing. Rows with equal texts are in one component. An
     empty table gives no rows.
     """
+    ship(docs.sparkSession)
     for seed in range(8):
         members = scratch.keep(_members(docs, seed), f"members_{seed}")
         classes = scratch.keep(
@@ -365,15 +405,23 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, least: int = 80) -> DataF
     shared = scratch.keep(_shared(docs, total, seed, least), "shared")
     n = F.col("n")
     prefix_size = n - F.ceil(n * least / 100) + _hits(n, least)
+    # A partner shares c shingles of the prefix or more, so none before the c-th that any
+    # other class has there, but for the c - 1 shared ones: that is the room for an overlap.
+    few = _hits(F.ceil(n * least / 100), least)
+    nth = F.get(F.sort_array("places"), (few - 1).cast("int"))
     active = (
-        shared.groupBy("cid").agg(F.count("*").alias("met"))
+        shared.groupBy("cid").agg(F.collect_list("pos").alias("places"))
         .join(classes, "cid")
-        .where(F.col("met") >= _hits(F.ceil(n * least / 100), least))
-        .select("cid", "rep", "n", (F.col("met") / prefix_size).alias("share"))
+        .where(F.size("places") >= few)
+        .select(
+            "cid", "rep", "n", (F.size("places") / prefix_size).alias("share"),
+            (n - nth + few - 1).alias("room"),
+        )
+        .where(F.col("room") >= F.ceil(n * least / 100))
     )
     active = scratch.keep(active, "active")
     entries = scratch.keep(
-        shared.select("shingle", "cid").join(active.drop("rep"), "cid"), "entries"
+        shared.join(active.drop("rep"), "cid"), "entries"
     )
     sets = scratch.keep(_sets(docs, active, seed), "sets")
 
@@ -381,6 +429,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, least: int = 80) -> DataF
     for step in range(_JOINING):
         new = _linked(_best_pairs(current, least), sets, least)
         new = scratch.keep(new, f"links_{step}")
+        if step and new.isEmpty():
+            break
         links = new if links is None else links.union(new)
         labels = components(links, scratch.inner(f"near_{step}"))
         current = entries.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn(

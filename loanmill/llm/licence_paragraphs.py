@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loanmill.llm.base import ship
+
 #: Paragraphs of the corpus the unknown class is learnt from, at most about so many.
 MAX_UNKNOWN = 6000
 UNKNOWN = "unknown"
@@ -212,6 +214,8 @@ def scan(docs: DataFrame, model: LicenceModel, sure: float = 0.5, alike: float =
     empty table. Equal rows give equal findings, each for itself.
     """
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loanmill.llm.base import ship
+
 # Characters of items one pass over the documents looks for; more items take more passes.
 _BLOCK = 4_000_000
 
@@ -148,6 +150,7 @@ def matches(docs: DataFrame, items: DataFrame, per_error: int = 12) -> DataFrame
     repeat are matched each for itself, as are documents that repeat; a document without a
     match has no row. Without documents or items there are no rows.
     """
+    ship(docs.sparkSession)
     kind = "doc_id long, item_id long, errors int, start int, end int"
 
     def finding(block):
@@ -176,6 +179,7 @@ def matches(docs: DataFrame, items: DataFrame, per_error: int = 12) -> DataFrame
 
 def clean(docs: DataFrame, items: DataFrame, per_error: int = 12) -> DataFrame:
     """The documents in which no item is met, with all their columns."""
+    ship(docs.sparkSession)
     rows = docs.select(F.struct("*").alias("row"), "text")
 
     def keeping(block):

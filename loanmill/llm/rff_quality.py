@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loanmill.llm.base import ship
 from loanmill.llm.wordbytes import slices, words
 from loanmill.sources.scratch import Scratch
 
@@ -184,6 +185,7 @@ def fit(
     Of several labels of a document the mean counts; null labels don't. Without labels, or
     with labels of one kind only, every score is their mean (0.5 without any).
     """
+    ship(docs.sparkSession)
     known = labels.where(may_teach(F.col("doc_id"))).groupBy("doc_id").agg(
         F.avg("quality").alias("label")
     ).where("label IS NOT NULL")
@@ -265,6 +267,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
 
     Whole texts are scored, null as empty; an empty table gives no rows.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.struct("*").alias("row"), "text")
 
     def run(batches):
