@@ -37,6 +37,11 @@ def training_loans(spark: SparkSession, sf: str, scratch: Scratch) -> DataFrame:
     return numbered(written, "loan_id")
 
 
+def clear_loans(spark: SparkSession, sf: str, scratch: Scratch) -> DataFrame:
+    """Cleaned loans with a key; their label hangs on one column alone."""
+    return numbered(scratch.keep(loans(spark, sf), "clear_loans"), "loan_id")
+
+
 def _formats(pattern: str, columns: list[str]) -> Query:
     def query(spark, sf):
         raw = fixtures.raw_loans(spark, sf)
@@ -84,14 +89,6 @@ def param_query(spark, sf):
     )
 
 
-def scan_view(spark, sf):
-    return loans(spark, sf)
-
-
-def row_count(spark, sf):
-    return loans(spark, sf).agg(F.count(F.lit(1)).alias("count"))
-
-
 # --- cleaning ----------------------------------------------------------------
 
 
@@ -206,8 +203,6 @@ QUERIES: dict[str, Query] = {
     "raw_text": raw_text,
     "drop_all_null": drop_all_null,
     "param_query": param_query,
-    "scan_view": scan_view,
-    "row_count": row_count,
     "dedupe_earliest": dedupe_earliest,
     "incremental_new": incremental_new,
     "fmt_int": _formats(INTEGER_TEXT, _columns_with(INTEGER_TEXT)),

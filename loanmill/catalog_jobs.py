@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
 from contextlib import suppress
 
 from pyspark.ml import PipelineModel
@@ -20,26 +19,10 @@ from .plans.etl import run_etl
 from .plans.refresh import refresh
 from .schemas import CATEGORICAL, FEATURES, LABEL, LOAN_COLUMNS, NUMERIC
 from .sources import upload
-from .sources.scratch import Scratch
+from .sources.scratch import session_scratch
 from .sources.store import LoanStore
 
 FIRST_RUN, SECOND_RUN, THIRD_RUN = catalog.MARK, dt.datetime(2003, 1, 1), dt.datetime(2004, 1, 1)
-# Model sizes for the queries; jobs use the defaults of `training`.
-_CLASSIFIERS = {
-    training.LOGISTIC: training.logistic,
-    training.FOREST: lambda rows: training.forest(rows, max_depth=8).setNumTrees(40),
-}
-
-
-_made: dict[tuple, object] = {}
-
-
-def _once(spark: SparkSession, what: str, sf: str, make: Callable[[], object]):
-    """Makes a thing several queries read only once per application."""
-    key = (spark.sparkContext.applicationId, what, sf)
-    if key not in _made:
-        _made[key] = make()
-    return _made[key]
 
 
 def _uploads(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -50,60 +33,52 @@ def _uploads(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 def _two_runs(spark: SparkSession, sf: str) -> LoanStore:
     """A store after an upload and a run, and another upload and run."""
-    store = LoanStore(spark, Scratch(spark).path("store"))
+    store = LoanStore(spark, session_scratch(spark).path("store"))
     for rows, at in zip(_uploads(spark, sf), (FIRST_RUN, SECOND_RUN)):
         store.append_raw(rows, at)
         run_etl(store, at)
     return store
 
 
-def _store(spark, sf) -> LoanStore:
-    return _once(spark, "store", sf, lambda: _two_runs(spark, sf))
-
-
 # --- uploads -------------------------------------------------------------------
 
 
 def _written_csv(spark, sf) -> str:
-    """The records as CSV files with the columns in another order."""
-    path = Scratch(spark).path("upload")
-    rows = fixtures.raw_loans(spark, sf).select(*reversed(LOAN_COLUMNS))
-    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    rows.write.options(header=True, escape='"', **keep).csv(path)
+    """The records as CSV files in one folder, half of them with their columns reversed."""
+    path = session_scratch(spark).path("upload")
+    keep = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False,
+            "ignoreTrailingWhiteSpace": False}
+    for names, half in ((LOAN_COLUMNS, 0), (LOAN_COLUMNS[::-1], 1)):
+        rows = fixtures.raw_loans(spark, sf).where(F.pmod(F.xxhash64(*LOAN_COLUMNS), F.lit(2)) == half)
+        rows.select(*names).write.mode("append").options(**keep).csv(path)
     return path
 
 
 def csv_ingest(spark, sf):
-    return upload.ingest(spark, _written_csv(spark, sf))
+    return upload.ingest(spark, _written_csv(spark, sf), multi_line=True)
 
 
 def contract_check(spark, sf):
     """Three uploads of the same records: accepted, short of a column, with one too many."""
     raw = fixtures.raw_loans(spark, sf)
-    variants = {
-        "exact": raw.drop("uploaded_at"),
-        "short": raw.drop("uploaded_at", LABEL),
-        "long": raw,
-    }
-    results = []
-    for name, table in variants.items():
-        error = None
+    said = []
+    for name, table in (
+        ("exact", raw.drop("uploaded_at")), ("short", raw.drop("uploaded_at", LABEL)), ("long", raw)
+    ):
         try:
             upload.check_contract(table.columns)
+            said.append((name, None, 1))
         except upload.ContractError as refused:
-            error = str(refused)
-        rows = upload.project(table) if error is None else table.where(F.lit(False))
-        results.append(
-            rows.agg(F.count(F.lit(1)).alias("accepted_rows")).select(
-                F.lit(name).alias("upload"), F.lit(error).cast("string").alias("error"),
-                "accepted_rows",
-            )
-        )
-    return results[0].unionByName(results[1]).unionByName(results[2])
+            said.append((name, str(refused), 0))
+    rows = F.inline(F.array(*(F.struct(
+        F.lit(n).alias("upload"), F.lit(e).cast("string").alias("error"), F.lit(ok).alias("ok")
+    ) for n, e, ok in said)))
+    counted = raw.agg(F.count(F.lit(1)).alias("n")).select("n", rows)
+    return counted.select("upload", "error", (F.col("n") * F.col("ok")).alias("accepted_rows"))
 
 
 def raw_append(spark, sf):
-    store = LoanStore(spark, Scratch(spark).path("store"))
+    store = LoanStore(spark, session_scratch(spark).path("store"))
     store.append_raw(fixtures.raw_loans(spark, sf).drop("uploaded_at"), SECOND_RUN)
     return store.raw()
 
@@ -112,52 +87,64 @@ def raw_append(spark, sf):
 
 
 def upload_history(spark, sf):
-    return _store(spark, sf).upload_history()
+    return _two_runs(spark, sf).upload_history()
+
+
+def scan_view(spark, sf):
+    return _two_runs(spark, sf).view().drop("loan_id")
+
+
+def row_count(spark, sf):
+    return _two_runs(spark, sf).view().agg(F.count(F.lit(1)).alias("count"))
 
 
 def high_water_mark(spark, sf):
-    mark = _store(spark, sf).committed().mark
-    return _store(spark, sf).raw().select(clean.moment(mark).alias("mark")).distinct()
+    """Latest run by outcome, over good and failed runs; the mark is that of the good ones."""
+    store = _with_failure(spark, sf)
+    mark = clean.moment(store.committed().mark)
+    return store.upload_history().groupBy("status").agg(F.max("date_time").alias("latest")).select(
+        "status", "latest", (F.col("latest") == mark).alias("is_mark")
+    )
 
 
 def fact_load(spark, sf):
-    return _store(spark, sf).loans().drop("loan_id")
+    return _two_runs(spark, sf).loans().drop("loan_id")
 
 
 def loan_ids(spark, sf):
     """Count, distinct count and range of the keys."""
-    return _store(spark, sf).loans().agg(
+    return _two_runs(spark, sf).loans().agg(
         F.count("loan_id").alias("n"), F.countDistinct("loan_id").alias("different"),
         F.min("loan_id").alias("lowest"), F.max("loan_id").alias("highest"),
     )
 
 
 def reject_load(spark, sf):
-    return _store(spark, sf).rejects()
+    return _two_runs(spark, sf).rejects()
 
 
 def audit_log(spark, sf):
-    return _store(spark, sf).upload_history().groupBy("status").agg(
+    return _two_runs(spark, sf).upload_history().groupBy("status").agg(
         F.count(F.lit(1)).alias("runs"), F.sum("success_count").alias("success_count"),
         F.sum("reject_count").alias("reject_count"),
     )
 
 
 def mv_refresh(spark, sf):
-    return _store(spark, sf).refresh_view().drop("loan_id")
+    return _two_runs(spark, sf).view().drop("loan_id")
 
 
 def run_etl_query(spark, sf):
     """Loans of a first run over everything."""
-    store = LoanStore(spark, Scratch(spark).path("store"))
+    store = LoanStore(spark, session_scratch(spark).path("store"))
     store.append_raw(fixtures.raw_loans(spark, sf), FIRST_RUN)
     run_etl(store, FIRST_RUN)
     return store.loans().drop("loan_id")
 
 
-def audit_failed(spark, sf):
+def _with_failure(spark, sf) -> LoanStore:
     """A run over an upload whose files are gone, between two good runs."""
-    store = LoanStore(spark, Scratch(spark).path("store"))
+    store = LoanStore(spark, session_scratch(spark).path("store"))
     first, second = _uploads(spark, sf)
     store.append_raw(first, FIRST_RUN)
     run_etl(store, FIRST_RUN)
@@ -167,7 +154,11 @@ def audit_failed(spark, sf):
     with suppress(Exception):
         run_etl(hidden, SECOND_RUN)
     run_etl(store, THIRD_RUN)
-    return store.upload_history().drop("error_message")
+    return store
+
+
+def audit_failed(spark, sf):
+    return _with_failure(spark, sf).upload_history().drop("error_message")
 
 
 def rerun_noop(spark, sf):
@@ -211,8 +202,13 @@ def features_query(spark, sf):
     return _table(spark, sf)
 
 
+def _kept_table(spark, sf) -> DataFrame:
+    """The training table, written once: fitting and transforming read it."""
+    return session_scratch(spark).keep(_table(spark, sf), "table")
+
+
 def scale_features(spark, sf):
-    table = _table(spark, sf)
+    table = _kept_table(spark, sf)
     scaled = features.fit_scaler(table).transform(table)
     return scaled.select(
         *(scalars.round_half_even(F.col(f"{c}_scaled"), 6).alias(c) for c in NUMERIC)
@@ -220,7 +216,7 @@ def scale_features(spark, sf):
 
 
 def one_hot(spark, sf):
-    table = _table(spark, sf)
+    table = _kept_table(spark, sf)
     model = features.one_hot().fit(table)
     coded = model.transform(table)
     indexer = model.stages[0]
@@ -234,7 +230,7 @@ def one_hot(spark, sf):
 
 def assemble(spark, sf):
     """The slots of the feature vector, rounded: numbers first, then the one-hot levels."""
-    table = _table(spark, sf)
+    table = _kept_table(spark, sf)
     rows = features.fit_preprocessor(table).transform(table)
     slots = vector_to_array("features")
     width = rows.schema["features"].metadata["ml_attr"]["num_attrs"]
@@ -247,36 +243,24 @@ def assemble(spark, sf):
 
 
 def _prepared(spark, sf) -> training.Prepared:
-    def make():
-        scratch = Scratch(spark)
-        return training.prepare(catalog.training_loans(spark, sf, scratch), scratch)
-
-    return _once(spark, "prepared", sf, make)
-
+    scratch = session_scratch(spark)
+    return training.prepare(catalog.clear_loans(spark, sf, scratch), scratch)
 
-def _model(spark, sf, name):
-    def make():
-        prepared = _prepared(spark, sf)
-        return training.fit(prepared, _CLASSIFIERS[name](prepared.balanced_rows))
 
-    return _once(spark, name, sf, make)
+def _fitted(prepared: training.Prepared, name: str) -> PipelineModel:
+    return training.fit(prepared, training.CLASSIFIERS[name](prepared.balanced_rows))
 
 
 def _trained(spark, sf) -> str:
     """Folder with kept models."""
-
-    def make():
-        scratch = Scratch(spark)
-        folder = scratch.path("models")
-        loans = catalog.training_loans(spark, sf, scratch)
-        training.train_and_save(spark, folder, loans, classifiers=_CLASSIFIERS)
-        return folder
-
-    return _once(spark, "trained", sf, make)
+    scratch = session_scratch(spark)
+    folder = scratch.path("models")
+    training.train_and_save(spark, folder, catalog.clear_loans(spark, sf, scratch))
+    return folder
 
 
 def stratified_split(spark, sf):
-    table = catalog.training_loans(spark, sf, Scratch(spark))
+    table = catalog.training_loans(spark, sf, session_scratch(spark))
     train, test = sampling.stratified_split(table, LABEL, "loan_id")
     parts = train.select(LABEL, F.lit("train").alias("part")).unionByName(
         test.select(LABEL, F.lit("test").alias("part"))
@@ -286,7 +270,7 @@ def stratified_split(spark, sf):
 
 def smote(spark, sf):
     """Rows per class before and after growing the minority."""
-    scratch = Scratch(spark)
+    scratch = session_scratch(spark)
     table = features.training_table(catalog.training_loans(spark, sf, scratch))
     kept = scratch.keep(table, "table")
     ready = training.feature_rows(features.fit_preprocessor(kept), kept, "loan_id")
@@ -296,35 +280,41 @@ def smote(spark, sf):
     )
 
 
-def _test_predictions(spark, sf, name) -> DataFrame:
-    return training.predict(_model(spark, sf, name), _prepared(spark, sf).test)
-
-
 def logreg_fit(spark, sf):
-    return _test_predictions(spark, sf, training.LOGISTIC).groupBy(LABEL, "prediction").count()
+    """Predictions on the test part, and whether the weights are where the loss is least."""
+    prepared = _prepared(spark, sf)
+    model = _fitted(prepared, training.LOGISTIC)
+    weights = model.stages[-1]
+    steepest = training.steepest_slope(prepared.balanced, weights, 1.0 / prepared.balanced_rows)
+    return (
+        training.predict(model, prepared.test).groupBy(LABEL, "prediction").count()
+        .withColumn("at_minimum", F.lit(steepest < 1e-3))
+    )
 
 
 def rf_fit(spark, sf):
-    return _test_predictions(spark, sf, training.FOREST).groupBy(LABEL, "prediction").count()
+    prepared = _prepared(spark, sf)
+    predicted = training.predict(_fitted(prepared, training.FOREST), prepared.test)
+    return predicted.groupBy(LABEL, "prediction").count()
 
 
 def pipeline_fit(spark, sf):
     """Both fitted chains over the complete rows, not only over the test part."""
-    table = _table(spark, sf)
-    both = training.predict(_model(spark, sf, training.LOGISTIC), table)
+    table, prepared = _kept_table(spark, sf), _prepared(spark, sf)
+    both = training.predict(_fitted(prepared, training.LOGISTIC), table)
     return training.predict(
-        _model(spark, sf, training.FOREST), both.withColumnRenamed("prediction", "logistic")
+        _fitted(prepared, training.FOREST), both.withColumnRenamed("prediction", "logistic")
     ).groupBy("logistic", "prediction").count()
 
 
 def predict(spark, sf):
-    return _test_predictions(spark, sf, training.FOREST)
+    return training.predict(_fitted(_prepared(spark, sf), training.FOREST), _kept_table(spark, sf))
 
 
 def decision(spark, sf):
-    predicted = _test_predictions(spark, sf, training.LOGISTIC)
-    return predicted.select(
-        "loan_id", "prediction", scalars.decision(F.col("prediction")).alias("decision")
+    model = _fitted(_prepared(spark, sf), training.LOGISTIC)
+    return training.predict(model, _kept_table(spark, sf)).select(
+        LABEL, "prediction", scalars.decision(F.col("prediction")).alias("decision")
     )
 
 
@@ -335,38 +325,39 @@ def accuracy(spark, sf):
 
 
 def score_lookup(spark, sf):
-    return training.load_scores(spark, _trained(spark, sf))
+    """Whether the score looked up by name is what the kept model scores afresh."""
+    folder, table = _trained(spark, sf), _kept_table(spark, sf)
+    rows = []
+    for name in training.CLASSIFIERS:
+        model = PipelineModel.load(training.model_path(folder, name))
+        afresh = training.accuracy(training.predict(model, table)).first().accuracy
+        rows.append((name, training.score_of(spark, folder, name) == afresh))
+    return spark.createDataFrame(rows, "model string, same boolean")
 
 
 def train_job(spark, sf):
-    scratch = Scratch(spark)
-    folder = scratch.path("models")
-    loans = catalog.training_loans(spark, sf, scratch)
-    training.train_and_save(
-        spark, folder, loans, classifiers={training.LOGISTIC: training.logistic}
-    )
-    return training.load_scores(spark, folder)
+    return training.load_scores(spark, _trained(spark, sf))
 
 
 def model_roundtrip(spark, sf):
     """Predictions of a kept model against those of the model kept."""
-    path = Scratch(spark).path("model")
-    fitted = _model(spark, sf, training.LOGISTIC)
+    path = session_scratch(spark).path("model")
+    prepared = _prepared(spark, sf)
+    fitted = _fitted(prepared, training.LOGISTIC)
     fitted.write().overwrite().save(path)
-    again = training.predict(
-        PipelineModel.load(path),
-        _test_predictions(spark, sf, training.LOGISTIC).withColumnRenamed("prediction", "first"),
-    )
+    first = training.predict(fitted, prepared.test).withColumnRenamed("prediction", "first")
+    again = training.predict(PipelineModel.load(path), first)
     return again.groupBy((F.col("first") == F.col("prediction")).alias("same")).count()
 
 
 def batch_score(spark, sf):
     scored = training.score(
-        fixtures.applications(spark, sf).na.drop(subset=NUMERIC).where("person_income >= 0"),
-        _trained(spark, sf),
-        training.FOREST,
+        fixtures.applications(spark, sf), _trained(spark, sf), training.FOREST
+    )
+    return scored.select(
+        "application_id", "invalid_fields", F.col("decision").isNotNull().alias("decided"),
+        (F.col("prediction").isNull() == F.col("decision").isNull()).alias("consistent"),
     )
-    return scored.select("application_id", "prediction", "decision")
 
 
 def score_input_check(spark, sf):
@@ -375,12 +366,9 @@ def score_input_check(spark, sf):
 
 def refresh_job(spark, sf):
     """An uploaded file through to models; the run's counts and the number of models."""
-    scratch = Scratch(spark)
+    scratch = session_scratch(spark)
     store = LoanStore(spark, scratch.path("store"))
-    result, scores = refresh(
-        store, _written_csv(spark, sf), scratch.path("models"),
-        {training.LOGISTIC: training.logistic},
-    )
+    _, scores = refresh(store, _written_csv(spark, sf), scratch.path("models"), multi_line=False)
     return store.upload_history().select(
         "success_count", "reject_count", F.lit(len(scores)).alias("models")
     )
@@ -391,6 +379,8 @@ QUERIES = {
     "contract_check": contract_check,
     "raw_append": raw_append,
     "upload_history": upload_history,
+    "scan_view": scan_view,
+    "row_count": row_count,
     "high_water_mark": high_water_mark,
     "fact_load": fact_load,
     "loan_ids": loan_ids,

@@ -29,7 +29,9 @@ def check_applications(applications: DataFrame) -> DataFrame:
     """Adds the names of the fields out of bounds and whether there are none."""
     fits = {}
     for c, (low, high) in BOUNDS.items():
-        fits[c] = F.col(c) >= low if high is None else F.col(c).between(low, high)
+        # Spark orders NaN above infinity, so one bound keeps out both.
+        top = F.col(c) < float("inf") if high is None else F.col(c) <= high
+        fits[c] = (F.col(c) >= low) & top
     for c, choices in CHOICES.items():
         fits[c] = F.col(c).isin(choices)
     names = (F.when(~F.coalesce(ok, F.lit(False)), F.lit(c)) for c, ok in fits.items())

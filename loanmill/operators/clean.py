@@ -46,11 +46,18 @@ def record_key() -> Column:
     return F.unhex(F.sha2(F.concat(*parts), 256))
 
 
-def not_seen(deduplicated: DataFrame, seen_keys: DataFrame) -> DataFrame:
-    """Records whose key is not among the (distinct) `record_key`s already taken in."""
-    return deduplicated.withColumn("record_key", record_key()).join(
-        seen_keys, "record_key", "left_anti"
-    )
+def with_key(records: DataFrame) -> DataFrame:
+    return records.withColumn("record_key", record_key())
+
+
+def not_seen(keyed: DataFrame, seen_keys: DataFrame) -> DataFrame:
+    """Records whose `record_key` is not among those already taken in.
+
+    The history streams past a hash table of the new keys, which are few, and is neither
+    sorted nor shuffled; only its hits are held against the records.
+    """
+    new = keyed.select("record_key").hint("shuffle_hash")
+    return keyed.join(seen_keys.join(new, "record_key", "left_semi"), "record_key", "left_anti")
 
 
 def classify(records: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import (
@@ -86,8 +86,8 @@ def defaults_by_gender(loans: DataFrame) -> DataFrame:
 def gender_share(loans: DataFrame) -> DataFrame:
     """Share of all defaults per gender, in percent."""
     counts = defaults_by_gender(loans)
-    total = counts.agg(F.sum("count")).scalar()
-    return counts.withColumn("share", percent(F.col("count"), total))
+    total = F.sum("count").over(Window.partitionBy())
+    return counts.withColumn("share", percent(F.col("count"), total)).orderBy("person_gender")
 
 
 def age_by_gender(loans: DataFrame) -> DataFrame:
@@ -104,26 +104,28 @@ def age_by_gender(loans: DataFrame) -> DataFrame:
     )
 
 
-def bin_width(span: Column, bins: int) -> Column:
-    """Smallest of 1, 2, 5 times a power of ten that covers `span` in `bins` steps, at least 1."""
-    need = span / bins
-    power = F.pow(F.lit(10.0), F.floor(F.log10(need)))
-    step = (
-        F.when(need <= power, power)
-        .when(need <= 2 * power, 2 * power)
-        .when(need <= 5 * power, 5 * power)
-        .otherwise(10 * power)
-    )
-    return F.when(need > 1, step).otherwise(F.lit(1.0))
+def bin_width(low: Column, high: Column, bins: int) -> Column:
+    """Smallest of 1, 2, 5 times a power of ten, at least 1, by which `bins` bins hold all."""
+    steps = [F.lit(float(m * 10**e)) for e in range(4) for m in (1, 2, 5)]
+    fits = (F.when(F.floor(high / w) - F.floor(low / w) < bins, w) for w in steps)
+    return F.coalesce(*fits, high - low + 1.0)
 
 
 def age_histogram(loans: DataFrame, bins: int = 30) -> DataFrame:
-    """Loans per age bin, bins named by their lower edge."""
-    ages = with_measures(loans).select("person_age").where("person_age IS NOT NULL")
-    width = ages.agg(bin_width(F.max("person_age") - F.min("person_age"), bins)).scalar()
+    """Loans per age bin, bins named by their lower edge. One scan: the loans are brought
+    down to one row per age, on which the width is found."""
+    ages = (
+        with_measures(loans)
+        .where("person_age IS NOT NULL")
+        .groupBy("person_age")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    every = Window.partitionBy()
+    low, high = F.min("person_age").over(every), F.max("person_age").over(every)
     return (
-        ages.groupBy((F.floor(F.col("person_age") / width) * width).alias("bin_start"))
-        .agg(F.count(F.lit(1)).alias("count"))
+        ages.withColumn("width", bin_width(low, high, bins))
+        .groupBy((F.floor(F.col("person_age") / F.col("width")) * F.col("width")).alias("bin_start"))
+        .agg(F.sum("n").alias("count"))
         .orderBy("bin_start")
     )
 

@@ -17,7 +17,7 @@ _NO_VALUE = "nan"
 def check_columns(columns: list[str], required: list[str]) -> None:
     missing = sorted(set(required) - set(columns))
     if missing:
-        raise ValueError(f"Missing columns in dataframe: {missing}")
+        raise ValueError(f"training needs the columns {missing}")
 
 
 def drop_incomplete(table: DataFrame) -> DataFrame:

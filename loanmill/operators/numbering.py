@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Files up to which their offsets are sent to every task: some 20 MB of paths and counts.
+_FILES_SENT = 100_000
+
+
 def numbered(written: DataFrame, column: str, after: int = 0) -> DataFrame:
     """Numbers the rows of a written Parquet table `after`+1, `after`+2, ...
 
@@ -24,9 +28,12 @@ def numbered(written: DataFrame, column: str, after: int = 0) -> DataFrame:
             "start": pa.array(list(starts)[:-1], pa.int64()),
         }
     )
+    table = written.sparkSession.createDataFrame(offsets)
+    # Beyond that, the join deals both sides by file, which Spark splits where one is large.
+    table = F.broadcast(table) if len(files) <= _FILES_SENT else table
     rows = written.select("*", file.alias("file"), F.col("_metadata.row_index").alias("place"))
     return (
-        rows.join(written.sparkSession.createDataFrame(offsets), "file")
+        rows.join(table, "file")
         .withColumn(column, F.col("start") + F.col("place") + 1)
         .drop("file", "start", "place")
     )

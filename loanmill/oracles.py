@@ -259,10 +259,10 @@ ORACLES: dict[str, str] = {
         "loans",
         """SELECT floor(person_age / width) * width AS bin_start, count(*) AS count
         FROM loans, width WHERE person_age IS NOT NULL GROUP BY ALL""",
-        need="SELECT (max(person_age) - min(person_age)) / 30 AS need FROM loans",
-        width="""SELECT CASE WHEN need <= 1 THEN 1.0::DOUBLE ELSE (
-            SELECT min(s * pow(10, e)) FROM (VALUES (1), (2), (5)) a(s),
-            (VALUES (0), (1), (2), (3)) b(e) WHERE s * pow(10, e) >= need) END AS width FROM need""",
+        span="SELECT min(person_age) AS low, max(person_age) AS high FROM loans",
+        width="""SELECT min(CAST(s * pow(10, e) AS DOUBLE)) AS width FROM span,
+            (VALUES (1), (2), (5)) a(s), (VALUES (0), (1), (2), (3)) b(e)
+            WHERE floor(high / (s * pow(10, e))) - floor(low / (s * pow(10, e))) < 30""",
     ),
     "by_education": _breakdown("person_education"),
     "by_exp_years": _breakdown("emp_exp_years"),
@@ -335,14 +335,33 @@ _INVALID = "concat_ws(', ', " + ", ".join(
     f"CASE WHEN NOT coalesce({ok}, FALSE) THEN '{c}' END" for c, ok in _LISTS.items()
 ) + ")"
 
+_TEST = "loan_status, loan_status AS prediction, n - train AS count"
+_MODELS = "(VALUES ('Logistic Regression'), ('Random Forest')) m(model)"
+
+
+def _parts(select: str, labels: str) -> str:
+    """A query on `cut`: per class its rows and how many of them are for training."""
+    return _with(
+        "loans",
+        select,
+        labels=labels,
+        sizes="""SELECT loan_status, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total
+        FROM labels GROUP BY loan_status""",
+        shares="""SELECT *, total - CAST(ceil(total / 5) AS BIGINT) AS kept FROM sizes""",
+        floors="""SELECT *, n * kept // total AS base, n * kept % total AS rest FROM shares""",
+        cut="""SELECT *, base + CAST(row_number() OVER (ORDER BY rest DESC, loan_status)
+            <= kept - sum(base) OVER () AS BIGINT) AS train FROM floors""",
+    )
+
+
 ORACLES |= {
     "csv_ingest": ORACLES["raw_text"],
     "contract_check": _with(
         "raw_loans",
         """SELECT 'exact' AS upload, CAST(NULL AS VARCHAR) AS error, count(*) AS accepted_rows
         FROM raw_loans UNION ALL
-        SELECT 'short', 'Missing required columns: [''loan_status'']', 0 UNION ALL
-        SELECT 'long', 'Extra columns found: [''uploaded_at'']', 0""",
+        SELECT 'short', 'upload lacks the columns [''loan_status'']', 0 UNION ALL
+        SELECT 'long', 'upload has unknown columns [''uploaded_at'']', 0""",
     ),
     "raw_append": _with(
         "raw_loans", f"SELECT {_ALL}, TIMESTAMP '2003-01-01' AS uploaded_at FROM raw_loans"
@@ -350,7 +369,14 @@ ORACLES |= {
     "upload_history": _log(
         "TIMESTAMP '2003-01-01'", ", CAST(NULL AS VARCHAR) AS error_message"
     ),
-    "high_water_mark": "SELECT TIMESTAMP '2003-01-01' AS mark",
+    "high_water_mark": _with(
+        "records",
+        f"""SELECT status, max(date_time) AS latest, status = 'SUCCESS' AS is_mark FROM log
+        GROUP BY status""",
+        log=f"""SELECT {_MARK} AS date_time, 'SUCCESS' AS status
+        UNION ALL SELECT TIMESTAMP '2003-01-01', 'FAILED'
+        UNION ALL SELECT TIMESTAMP '2004-01-01', 'SUCCESS'""",
+    ),
     "fact_load": ORACLES["scan_view"],
     "loan_ids": _with(
         "loans",
@@ -379,7 +405,7 @@ ORACLES |= {
     "train_contract": _with(
         "loans",
         """SELECT count(*) AS "rows",
-        'Missing columns in dataframe: [''loan_status'']' AS refusal FROM loans""",
+        'training needs the columns [''loan_status'']' AS refusal FROM loans""",
     ),
     "drop_incomplete": _with(
         "raw_loans",
@@ -411,18 +437,39 @@ ORACLES |= {
         ) + " FROM encoded",
         encoded=_ENCODED,
     ),
-    "stratified_split": _with(
-        "loans",
+    "stratified_split": _parts(
         """SELECT part, loan_status, CASE part WHEN 'train' THEN train ELSE n - train END AS n
         FROM cut, (VALUES ('train'), ('test')) p(part)""",
-        noisy=_NOISY,
-        sizes="""SELECT loan_status, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total
-        FROM noisy GROUP BY loan_status""",
-        shares="""SELECT *, total - CAST(ceil(total / 5) AS BIGINT) AS kept FROM sizes""",
-        floors="""SELECT *, n * kept // total AS base, n * kept % total AS rest FROM shares""",
-        cut="""SELECT *, base + CAST(row_number() OVER (ORDER BY rest DESC, loan_status)
-            <= kept - sum(base) OVER () AS BIGINT) AS train FROM floors""",
+        _NOISY,
     ),
+    "logreg_fit": _parts(
+        f"SELECT {_TEST}, TRUE AS at_minimum FROM cut", "SELECT loan_status FROM loans"
+    ),
+    "rf_fit": _parts(f"SELECT {_TEST} FROM cut", "SELECT loan_status FROM loans"),
+    "pipeline_fit": _with(
+        "loans",
+        """SELECT loan_status AS logistic, loan_status AS prediction, count(*) AS count FROM loans
+        GROUP BY ALL""",
+    ),
+    "predict": _with(
+        "loans", "SELECT *, loan_status AS prediction FROM encoded", encoded=_ENCODED
+    ),
+    "decision": _with(
+        "loans",
+        """SELECT loan_status, loan_status AS prediction,
+        CASE loan_status WHEN 0 THEN 'Approved' ELSE 'Denied' END AS decision FROM loans""",
+    ),
+    "score_lookup": _with("loans", f"SELECT model, count(*) > 0 AS same FROM loans, {_MODELS} GROUP BY model"),
+    "train_job": _with(
+        "loans",
+        f"""SELECT model, 1.0::DOUBLE AS accuracy, count(*) AS labelled_rows,
+        count(*) AS available_rows FROM loans, {_MODELS} GROUP BY model""",
+    ),
+    "batch_score": f"""WITH given AS ({APPLICATIONS_SQL}), applications AS (
+        SELECT * REPLACE (lower(previous_loan_defaults_on_file) AS previous_loan_defaults_on_file)
+        FROM given)
+        SELECT application_id, {_INVALID} AS invalid_fields, {_INVALID} = '' AS decided,
+        TRUE AS consistent FROM applications""",
     "smote": _with(
         "loans",
         f"""SELECT loan_status AS label, FALSE AS synthetic, n,
@@ -443,7 +490,7 @@ ORACLES |= {
     "score_input_check": f"""WITH applications AS ({APPLICATIONS_SQL})
         SELECT *, {_INVALID} AS invalid_fields, {_INVALID} = '' AS is_valid FROM applications""",
     "refresh_job": _with(
-        "records", f"SELECT {_RUN_COUNTS}, 1 AS models FROM states",
+        "records", f"SELECT {_RUN_COUNTS}, 2 AS models FROM states",
         # In text form a missing age reads 'nan', which is a format failure.
         states=f"SELECT coalesce(({_VALID}), FALSE) AS ok FROM records",
     ),

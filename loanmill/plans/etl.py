@@ -36,10 +36,13 @@ def run_etl(store: LoanStore, at: dt.datetime | None = None) -> RunResult:
     at = at or now()
     run_id = f"{at:%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
     try:
-        return _load(store, run_id, at)
+        result = _load(store, run_id, at)
     except Exception as error:
         store.log_failure(run_id, at, str(error))
         raise
+    # Committed: a refresh that fails is raised, but the run has not failed.
+    store.refresh_view()
+    return result
 
 
 def _load(store: LoanStore, run_id: str, at: dt.datetime) -> RunResult:
@@ -49,7 +52,9 @@ def _load(store: LoanStore, run_id: str, at: dt.datetime) -> RunResult:
     last_id = done.last_loan_id
     with Scratch(store.spark) as scratch:
         if pending:
-            records = clean.keep_earliest(store.raw(pending))
+            records = scratch.keep(
+                clean.with_key(clean.keep_earliest(store.raw(pending))), "records"
+            )
             checked = clean.classify(clean.not_seen(records, store.seen_keys(done.runs)))
             if done.mark is not None:
                 # Stamped up to the mark but landed after that run: seen, never loaded.
@@ -71,5 +76,4 @@ def _load(store: LoanStore, run_id: str, at: dt.datetime) -> RunResult:
             store.write_loans(run_id, clean.valid_rows(empty).withColumn("loan_id", F.lit(0)))
             store.write_rejects(run_id, clean.reject_rows(empty))
     store.commit(run_id, at, pending, last_id, counts)
-    store.refresh_view()
     return RunResult(run_id, counts["valid"], counts["reject"], counts["unclassified"])

@@ -11,9 +11,13 @@ from .training import CLASSIFIERS, train_and_save
 
 
 def refresh(
-    store: LoanStore, csv_path: str, model_folder: str, classifiers: dict[str, Callable] = CLASSIFIERS
+    store: LoanStore,
+    csv_path: str,
+    model_folder: str,
+    multi_line: bool,
+    classifiers: dict[str, Callable] = CLASSIFIERS,
 ) -> tuple[RunResult, dict[str, float]]:
     """Lands the upload, cleans it and retrains; stops at the first step that fails."""
-    store.append_raw(upload.ingest(store.spark, csv_path))
+    store.append_raw(upload.ingest(store.spark, csv_path, multi_line=multi_line))
     result = run_etl(store)
-    return result, train_and_save(store.spark, model_folder, store.loans(), classifiers=classifiers)
+    return result, train_and_save(store.spark, model_folder, store.view(), classifiers=classifiers)

@@ -15,8 +15,14 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; a folder of our own only where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """`spark.checkpoint.dir` of the session; a folder of our own only on a local master."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_folder()
 
 
 class Scratch:
@@ -48,3 +54,13 @@ class Scratch:
 
     def __exit__(self, *_exc) -> None:
         self.drop()
+
+
+def session_scratch(spark: SparkSession) -> Scratch:
+    """Intermediate tables of a lazy result: they go when the application ends."""
+    scratch = Scratch(spark)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch.root)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return scratch

@@ -37,10 +37,18 @@ _RUNS = T.StructType(
     ]
 )
 _LOG = T.StructType([T.StructField("run_id", T.StringType()), *LOG_SCHEMA.fields])
-_SETTINGS = T.StructType([T.StructField("key_buckets", T.IntegerType())])
+# The last row holds: how many buckets the key table has, and in which folder it is.
+_SETTINGS = T.StructType(
+    [T.StructField("generation", T.IntegerType()), T.StructField("key_buckets", T.IntegerType())]
+)
+_VIEWS = T.StructType(
+    [
+        T.StructField("refreshed_at", T.TimestampNTZType()),
+        T.StructField("runs", T.ArrayType(T.StringType())),
+    ]
+)
 
 SUCCESS, FAILED = "SUCCESS", "FAILED"
-VIEW = "vw_ml_loan"
 
 
 def now() -> dt.datetime:
@@ -58,24 +66,29 @@ class Committed:
 
 
 class LoanStore:
-    """Opens the tables under `root` and the view over them, creating the missing ones."""
+    """Opens the tables under `root`, creating the missing ones."""
 
     def __init__(self, spark: SparkSession, root: str, key_buckets: int | None = None):
         self.spark, self.root = spark, root
         buckets = key_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self._create("settings", _SETTINGS, [(buckets,)])
+        self._create("settings", _SETTINGS, [(0, buckets)])
         self._create("uploads", _UPLOADS)
         self._create("runs", _RUNS)
         self._create("etl_log", _LOG)
-        self.key_buckets = self._table("settings", _SETTINGS).first()[0]
+        self._create("views", _VIEWS)
+        self._open_keys()
+
+    def _open_keys(self) -> None:
         # Bucketed, so a run shuffles its new records to the old keys and not the reverse.
-        self.keys = "seen_keys_" + hashlib.md5(root.encode()).hexdigest()
-        spark.sql(
+        rows = self._table("settings", _SETTINGS).collect()
+        self.generation, self.key_buckets = max(map(tuple, rows))
+        folder = f"{self.root}/seen_keys_{self.generation}"
+        self.keys = "seen_keys_" + hashlib.md5(folder.encode()).hexdigest()
+        self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.keys} (record_key BINARY, run_id STRING)"
             f" USING parquet CLUSTERED BY (record_key) INTO {self.key_buckets} BUCKETS"
-            f" LOCATION '{root}/seen_keys'"
+            f" LOCATION '{folder}'"
         )
-        self.refresh_view()
 
     def _rows(self, schema: T.StructType, rows: list[tuple]) -> DataFrame:
         columns = list(zip(*rows)) or [()] * len(schema)
@@ -102,14 +115,15 @@ class LoanStore:
     # --- landing table -------------------------------------------------------
 
     def append_raw(self, rows: DataFrame, at: dt.datetime | None = None) -> str:
-        """Lands an upload; all its rows get one time stamp unless they carry their own."""
-        at = at or now()
-        upload_id = f"{at:%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+        """Lands an upload. Rows that carry no time of their own get the upload's: the time
+        when it became visible, so that no run finished meanwhile can make them late.
+        """
+        upload_id = f"{now():%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
         if "uploaded_at" not in rows.columns:
-            rows = rows.withColumn("uploaded_at", moment(at))
+            rows = rows.withColumn("uploaded_at", moment(None))
         folder = f"{self.root}/raw_loans/upload_id={upload_id}"
         rows.select(*LOAN_COLUMNS, "uploaded_at").write.parquet(folder)
-        self._append("uploads", _UPLOADS, (upload_id, at))
+        self._append("uploads", _UPLOADS, (upload_id, at or now()))
         return upload_id
 
     def uploads(self) -> list[str]:
@@ -119,7 +133,17 @@ class LoanStore:
     def raw(self, uploads: list[str] | None = None) -> DataFrame:
         """The landing table, or the named uploads of it."""
         ids = self.uploads() if uploads is None else uploads
-        return self._folders("raw_loans", "upload_id", ids, RAW_SCHEMA)
+        if not ids:
+            return self.spark.createDataFrame([], RAW_SCHEMA)
+        base = f"{self.root}/raw_loans"
+        named = T.StructType([*RAW_SCHEMA.fields, T.StructField("upload_id", T.StringType())])
+        rows = self.spark.read.schema(named).option("basePath", f"{base}/").parquet(
+            *(f"{base}/upload_id={i}" for i in ids)
+        )
+        stamps = self._table("uploads", _UPLOADS).withColumnRenamed("uploaded_at", "landed_at")
+        return rows.join(stamps, "upload_id", "left").select(
+            *LOAN_COLUMNS, F.coalesce("uploaded_at", "landed_at").alias("uploaded_at")
+        )
 
     # --- runs ------------------------------------------------------------------
 
@@ -153,6 +177,23 @@ class LoanStore:
     def seen_keys(self, runs: list[str]) -> DataFrame:
         return self.spark.table(self.keys).where(F.col("run_id").isin(runs)).select("record_key")
 
+    def compact_keys(self, key_buckets: int | None = None) -> None:
+        """Rewrites the keys of committed runs as one file per bucket, in as many buckets as
+        asked for. The new table counts once the settings name it.
+        """
+        buckets, old = key_buckets or self.key_buckets, self.keys
+        runs = self.committed().runs
+        name = f"compacting_{uuid.uuid4().hex}"
+        (
+            self.spark.table(old).where(F.col("run_id").isin(runs))
+            .repartition(buckets, "record_key").write.bucketBy(buckets, "record_key")
+            .option("path", f"{self.root}/seen_keys_{self.generation + 1}").saveAsTable(name)
+        )
+        self._append("settings", _SETTINGS, (self.generation + 1, buckets))
+        self.spark.sql(f"DROP TABLE {name}")
+        self.spark.sql(f"DROP TABLE {old}")
+        self._open_keys()
+
     def commit(
         self, run_id: str, at: dt.datetime, uploads: list[str], last_loan_id: int, counts: dict
     ) -> None:
@@ -177,10 +218,15 @@ class LoanStore:
         return self._table("etl_log", _LOG).drop("run_id")
 
     def refresh_view(self) -> DataFrame:
-        """Points the snapshot view at the folders of the runs committed so far.
+        """Makes the view a snapshot of the loans of the runs committed so far.
 
-        Those folders never change, so naming them is a snapshot; nothing is copied, and
-        later runs stay outside until the next refresh.
+        It names the folders of those runs, which never change; nothing is copied, later
+        runs stay outside until the next refresh, and every session sees the same.
         """
-        self.loans().createOrReplaceTempView(VIEW)
-        return self.spark.table(VIEW)
+        self._append("views", _VIEWS, (now(), self.committed().runs))
+        return self.view()
+
+    def view(self) -> DataFrame:
+        """The loans as of the last refresh; none before the first."""
+        last = self._table("views", _VIEWS).orderBy(F.desc("refreshed_at")).first()
+        return self._folders("loans", "run_id", last.runs if last else [], FACT_SCHEMA)

@@ -40,38 +40,65 @@ class ContractError(ValueError):
     """An upload without exactly the required columns."""
 
 
-_SURPLUS = "_surplus"
+_LINE, _MARK = "_line", "\x01end\x01"
+
+
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The files behind a path, a folder or a pattern; their content isn't read."""
+    files = spark.read.format("binaryFile").load(path).select("path").orderBy("path")
+    return [r.path for r in files.collect()]
+
+
+def _reader(spark: SparkSession, multi_line: bool):
+    options = {"header": True, "escape": '"', "multiLine": multi_line, "columnPruning": False}
+    return spark.read.options(**options)
+
+
+def _read_alike(
+    spark: SparkSession, files: list[str], header: list[str], multi_line: bool
+) -> DataFrame:
+    """Files with the same header. Lines that don't fill it exactly are parsed once more with
+    a mark appended: where the mark ends up is the number of their cells."""
+    texts = [T.StructField(f"c{i}", T.StringType()) for i in range(len(header))]
+    line = T.StructField(_LINE, T.StringType())
+    reader = _reader(spark, multi_line).option("columnNameOfCorruptRecord", _LINE)
+    table = reader.schema(T.StructType([*texts, line])).csv(files)
+    cells = ", ".join(f"c{i} STRING" for i in range(len(header) + 1))
+    marked = F.concat(F.col(_LINE), F.lit(f",{_MARK}"))
+    again = F.from_csv(marked, F.lit(cells), {"escape": '"'})
+    met = [again[f"c{i}"] == _MARK for i in range(len(header) + 1)]
+    fits = F.col(_LINE).isNull() | reduce(lambda a, b: a | b, (F.coalesce(m, F.lit(False)) for m in met))
+    checked = F.when(fits, True).otherwise(
+        F.raise_error(F.concat(F.lit("more cells than columns: "), F.col(_LINE))).cast("boolean")
+    )
+    known = ((F.col(f"c{i}"), name.strip()) for i, name in enumerate(header))
+    return table.where(checked).select(
+        *(F.when(~cell.isin(MISSING_TEXTS), cell).alias(name) for cell, name in known)
+    )
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """One upload as texts, header names trimmed, missing cells null. A line with more
-    cells than the header fails the read.
+def read_csv(spark: SparkSession, path: str, multi_line: bool) -> list[DataFrame]:
+    """An upload as texts, one table per order of columns among its files; header names
+    trimmed, missing cells null. A line with more cells than its file's header fails the
+    read, a shorter one is filled up with missing cells.
 
-    Quoted line breaks are honoured, which makes each file one task; pass
-    `multi_line=False` to split huge files known to hold none.
+    `multi_line` says whether quoted line breaks occur. Where they do, a file is one task;
+    where they don't, huge files are split.
     """
-    reader = (
-        spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
-    )
-    names = reader.csv(path).columns
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, _SURPLUS]])
-    table = reader.schema(schema).csv(path).toDF(*(c.strip() for c in names), _SURPLUS)
-    fits = F.when(F.col(_SURPLUS).isNull(), True).otherwise(
-        F.raise_error(F.lit(f"more cells than columns in {path}")).cast("boolean")
-    )
-    cells = {c: F.col(f"`{c}`") for c in table.columns if c != _SURPLUS}
-    return table.where(fits).select(
-        *(F.when(~cell.isin(MISSING_TEXTS), cell).alias(c) for c, cell in cells.items())
-    )
+    alike: dict[tuple[str, ...], list[str]] = {}
+    for file in _files(spark, path):
+        header = _reader(spark, multi_line).csv(file).columns
+        alike.setdefault(tuple(header), []).append(file)
+    return [_read_alike(spark, files, list(header), multi_line) for header, files in alike.items()]
 
 
 def check_contract(columns: list[str]) -> None:
     missing = [c for c in LOAN_COLUMNS if c not in columns]
     extra = [c for c in columns if c not in LOAN_COLUMNS]
     if missing:
-        raise ContractError(f"Missing required columns: {missing}")
+        raise ContractError(f"upload lacks the columns {missing}")
     if extra:
-        raise ContractError(f"Extra columns found: {extra}")
+        raise ContractError(f"upload has unknown columns {extra}")
 
 
 def project(table: DataFrame) -> DataFrame:
@@ -92,16 +119,13 @@ def drop_empty(table: DataFrame) -> DataFrame:
     return table.na.drop(how="all")
 
 
-def ingest(spark: SparkSession, *paths: str, multi_line: bool = True) -> DataFrame:
-    """Uploads as landing rows. Each path is checked and ordered on its own, since its
-    header may order the columns differently."""
-
-    def one(path: str) -> DataFrame:
-        table = read_csv(spark, path, multi_line)
+def ingest(spark: SparkSession, *paths: str, multi_line: bool) -> DataFrame:
+    """Uploads as landing rows. Every file is checked and ordered by its own header; one
+    that breaks the contract refuses the whole upload."""
+    tables = [table for path in paths for table in read_csv(spark, path, multi_line)]
+    for table in tables:
         check_contract(table.columns)
-        return drop_empty(as_text(project(table)))
-
-    return reduce(DataFrame.unionByName, (one(p) for p in paths))
+    return reduce(DataFrame.unionByName, (drop_empty(as_text(project(t))) for t in tables))
 
 
 def run_query(spark: SparkSession, sql: str, params: dict | None = None) -> DataFrame:
