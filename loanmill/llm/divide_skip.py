@@ -218,7 +218,7 @@ def _shared(docs: DataFrame, total: int, seed: int, least: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
-    """`cid`, `shingles` (sorted, packed) of the classes in `wanted` (`cid`, `rep`)."""
+    """`id`, `shingles` (sorted, as bytes) of the classes in `wanted` (`cid`, `rep`, `id`)."""
 
     def run(batches):
         for batch in batches:
@@ -229,8 +229,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
 
     texts = docs.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     made = texts.select("text").mapInArrow(run, "cid long, shingles binary")
-    # A doc_id that stands on several rows brings sets nobody asked for.
-    return made.groupBy("cid").agg(F.first("shingles").alias("shingles"))
+    # A doc_id that stands on several rows also brings sets nobody asked for.
+    asked = made.join(wanted.select("cid", "id"), "cid")
+    return asked.groupBy("id").agg(F.first("shingles").alias("shingles"))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
@@ -246,8 +247,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
                 keep.append(100 * common >= least * (len(small) + len(large) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    of_a = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x"))
-    of_b = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
+    of_a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+    of_b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "x", "y").mapInArrow(
         probe, "a long, b long"
     )
@@ -284,7 +285,7 @@ def _merge_lists(least: int):
                     m, j = fact >> 32, fact & 0xFFFFFFFF
                     common = len(met) + row["aside"] + min(row["n"] - i, m - j) - 1
                     if len(met) >= row["enough"] and common * (100 + least) >= (row["n"] + m) * least:
-                        rows.append((row["cid"], partner))
+                        rows.append((row["id"], partner))
             yield _batch(["a", "b"], rows, [pa.int64(), pa.int64()])
 
     return run
@@ -297,17 +298,17 @@ def _best_pairs(entries: DataFrame, least: int) -> DataFrame:
     one only, so the pairs met are no more than the entries.
     """
     top = entries.groupBy("shingle").agg(
-        F.max(F.struct("share", "cid", "n", "room", "label")).alias("top")
+        F.max(F.struct("share", "id", "n", "room", "label")).alias("top")
     )
     asked = top.select(
-        "shingle", F.col("top.cid").alias("b"), F.col("top.n").alias("m"),
+        "shingle", F.col("top.id").alias("b"), F.col("top.n").alias("m"),
         F.col("top.room").alias("other_room"), F.col("top.label").alias("of"),
     )
     can = _can_link(F.col("n"), F.col("room"), F.col("m"), F.col("other_room"), least)
     return (
         entries.join(asked, "shingle")
         .where((F.col("label") != F.col("of")) & can)
-        .groupBy("label", F.col("cid").alias("a"), "b")
+        .groupBy("label", F.col("id").alias("a"), "b")
         .agg(F.count("*").alias("met"), F.first(F.least("n", "m")).alias("n"))
         .where(F.col("met") >= _hits(F.col("n"), least))
         .groupBy("label")
@@ -333,47 +334,47 @@ def _search(open_lists: DataFrame, least: int) -> DataFrame:
     longest = open_lists.agg(F.max("length")).first()[0] or 0
     pieces = -(-longest // _PIECE)
     if not pieces:
-        return open_lists.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
-    piece = F.pmod(F.xxhash64("cid"), F.lit(pieces))
+        return open_lists.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    piece = F.pmod(F.xxhash64("id"), F.lit(pieces))
 
     # c for the smallest partner; of that many meetings, those in the lists set aside may lack.
     met = _hits(F.ceil(F.col("n") * least / 100), least)
     aside = F.least(met - 1, F.floor(met / (_MU * F.log2(F.max("length") + 1) + 1)))
     asking = (
-        open_lists.groupBy("cid", "label", "n", "room")
+        open_lists.groupBy("id", "label", "n", "room")
         .agg(
             F.sort_array(F.collect_list(F.struct("length", "shingle", "pos"))).alias("all"),
             aside.cast("int").alias("aside"),
         )
         .where(F.size("all") >= met)
         .select(
-            "cid", "label", "n", "room", "aside", (met - F.col("aside")).alias("enough"),
+            "id", "label", "n", "room", "aside", (met - F.col("aside")).alias("enough"),
             F.explode(
                 F.slice("all", 1, F.greatest(F.lit(0), F.size("all") - F.col("aside")))
             ).alias("list"),
         )
-        .select("cid", "label", "n", "room", "aside", "enough", "list.shingle", "list.pos")
+        .select("id", "label", "n", "room", "aside", "enough", "list.shingle", "list.pos")
     )
     held = (
         open_lists.groupBy("shingle", piece.alias("piece"))
-        .agg(F.sort_array(F.collect_list(F.struct("cid", "label", "n", "room", "pos"))).alias("held"))
+        .agg(F.sort_array(F.collect_list(F.struct("id", "label", "n", "room", "pos"))).alias("held"))
     )
 
     def fitting(y):
-        other = (y["label"] != F.col("label")) & (y["cid"] > F.col("cid"))
+        other = (y["label"] != F.col("label")) & (y["id"] > F.col("id"))
         return other & _can_link(F.col("n"), F.col("room"), y["n"], y["room"], least)
 
-    partners = F.transform("list", lambda y: y["cid"])
+    partners = F.transform("list", lambda y: y["id"])
     facts = F.transform("list", lambda y: F.shiftleft(y["n"], 32) + y["pos"])
     searches = (
         asking.join(held, "shingle")
         .withColumn("list", F.filter("held", fitting))
         .where(F.size("list") > 0)
         .select(
-            "cid", "n", "aside", "enough", "piece",
+            "id", "n", "aside", "enough", "piece",
             F.struct("pos", partners.alias("partners"), facts.alias("facts")).alias("list"),
         )
-        .groupBy("cid", "n", "aside", "enough", "piece")
+        .groupBy("id", "n", "aside", "enough", "piece")
         .agg(F.collect_list("list").alias("lists"))
         .where(F.size("lists") >= F.col("enough"))
         .drop("piece")
@@ -418,14 +419,14 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, least: int = 80) -> DataF
             (n - nth + few - 1).alias("room"),
         )
         .where(F.col("room") >= F.ceil(n * least / 100))
+        # Written ids close together pack better than keys.
+        .withColumn("id", F.monotonically_increasing_id())
     )
     active = scratch.keep(active, "active")
-    entries = scratch.keep(
-        shared.join(active.drop("rep"), "cid"), "entries"
-    )
+    entries = scratch.keep(shared.join(active.drop("rep"), "cid").drop("cid"), "entries")
     sets = scratch.keep(_sets(docs, active, seed), "sets")
 
-    links, current = None, entries.withColumn("label", F.col("cid"))
+    links, current = None, entries.withColumn("label", F.col("id"))
     for step in range(_JOINING):
         new = _linked(_best_pairs(current, least), sets, least)
         new = scratch.keep(new, f"links_{step}")
@@ -433,19 +434,21 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, least: int = 80) -> DataF
             break
         links = new if links is None else links.union(new)
         labels = components(links, scratch.inner(f"near_{step}"))
-        current = entries.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn(
-            "label", F.coalesce("label", "cid")
+        current = entries.join(labels, "id", "left").withColumn(
+            "label", F.coalesce("label", "id")
         )
         current = scratch.keep(_open_lists(current), f"open_{step}").drop("length")
     current = scratch.keep(_open_lists(current), "open")
     more = scratch.keep(_linked(_search(current, least), sets, least), "links")
     labels = components(links.union(more), scratch.inner("near"))
 
-    named = classes.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn(
-        "label", F.coalesce("label", "cid")
+    grouped = active.join(labels, "id").select("cid", "rep", "label")
+    first = grouped.groupBy("label").agg(F.min("rep").alias("component_id"))
+    grouped = grouped.join(first, "label").select("cid", "component_id")
+    named = classes.join(grouped, "cid", "left").select(
+        "cid", F.coalesce("component_id", "rep").alias("component_id")
     )
-    first = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = scratch.keep(named.join(first, "label").select("cid", "component_id"), "named")
+    named = scratch.keep(named, "named")
     return members.join(named, "cid", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
