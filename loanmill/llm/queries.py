@@ -18,6 +18,7 @@ from loanmill.llm import (
     surrogates,
 )
 from loanmill.llm.base import session_scratch, table
+from loanmill.llm.oracles import ORACLES  # noqa: F401
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,4 +125,3 @@ QUERIES = {
     "op9_blob_ledger": op9_blob_ledger,
     "op10_divide_skip": op10_divide_skip,
 }
-ORACLES: dict[str, str] = {}
