@@ -275,7 +275,8 @@ def _merge_lists(least: int):
     def run(batches):
         for batch in batches:
             rows = []
-            for row in batch.to_pylist():
+            # One row at a time as Python numbers: a batch of long lists is large.
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 lists = [
                     zip(x["partners"], repeat(x["pos"]), x["facts"]) for x in row["lists"]
                 ]
