@@ -44,16 +44,18 @@ _NAME = r"\p{Lu}[\p{L}'’-]+"
 _GIVEN = "|".join(name for names in GIVEN.values() for name in names.split())
 #: In order; where several could begin at one place the first wins.
 KINDS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
     "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4}"
     r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
-    "name": rf"(?<!\p{{L}})(?:{_GIVEN})(?: {_NAME})?(?!\p{{L}})"
-    rf"|(?<=(?<!\p{{L}})(?:{'|'.join(TITLES.split())})\.? ){_NAME}(?: {_NAME})?",
+    "name": rf"(?=\p{{Lu}})(?:(?<!\p{{L}})(?:{_GIVEN})(?: {_NAME})?(?!\p{{L}})"
+    rf"|(?<=(?<!\p{{L}})(?:{'|'.join(TITLES.split())})\.? ){_NAME}(?: {_NAME})?)",
 }
-PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+# What begins with a digit, sign or bracket is looked for only there, names at capitals.
+_NUMBERS = "|".join(f"(?:{KINDS[kind]})" for kind in ("ip", "card", "ssn", "phone"))
+PATTERN = f"{KINDS['email']}|(?=[0-9(+])(?:{_NUMBERS})|{KINDS['name']}"
 
 
 def kind_of(entity: Column) -> Column:
