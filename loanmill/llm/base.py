@@ -24,7 +24,10 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers of executors, once per application."""
+    """Sends this package to the Python workers of executors, once per application.
+
+    The archive lies with the driver, which serves it to them.
+    """
     if spark.sparkContext.applicationId not in _shipped:
         root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
         to = os.path.join(tempfile.mkdtemp(prefix="run-"), "loanmill")
