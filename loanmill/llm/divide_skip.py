@@ -47,6 +47,8 @@ from loanmill.sources.scratch import Scratch
 HEAVY, HEAVY_KEPT = 64, 1 << 20
 # Shingles a task gathers before it packs them, and shingles of a range.
 _FLUSH, _RANGE = 1 << 19, 1 << 20
+# Rows of two numbers that are sent to every task, about 50 MB; more are dealt by key.
+_SENT = 1_000_000
 # Rounds of joining before the full search, at most. Any number gives the same groups.
 _JOINING = 3
 # Classes of a list that one search row holds.
@@ -217,6 +219,11 @@ def _shared(docs: DataFrame, total: int, seed: int, least: int) -> DataFrame:
     )
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """Written ids or pairs, to be sent to every task if they are few enough."""
+    return F.broadcast(rows) if rows.count() <= _SENT else rows
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
     """`id`, `shingles` (sorted, as bytes) of the classes in `wanted` (`cid`, `rep`, `id`)."""
 
@@ -227,10 +234,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
             ]
             yield _batch(["cid", "shingles"], rows, [pa.int64(), pa.binary()])
 
-    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    reps = _small(wanted.select(F.col("rep").alias("doc_id")))
+    texts = docs.join(reps, "doc_id", "left_semi")
     made = texts.select("text").mapInArrow(run, "cid long, shingles binary")
     # A doc_id that stands on several rows also brings sets nobody asked for.
-    asked = made.join(wanted.select("cid", "id"), "cid")
+    asked = made.join(_small(wanted.select("cid", "id")), "cid")
     return asked.groupBy("id").agg(F.first("shingles").alias("shingles"))
 
 
@@ -249,7 +257,9 @@ def _linked(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
 
     of_a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     of_b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "x", "y").mapInArrow(
+    few = _small(pairs)
+    of_b = of_b.join(few.select("b"), "b", "left_semi")
+    return few.join(of_a, "a").join(of_b, "b").select("a", "b", "x", "y").mapInArrow(
         probe, "a long, b long"
     )
 
@@ -427,10 +437,14 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, least: int = 80) -> DataF
     entries = scratch.keep(shared.join(active.drop("rep"), "cid").drop("cid"), "entries")
     sets = scratch.keep(_sets(docs, active, seed), "sets")
 
-    links, current = None, entries.withColumn("label", F.col("id"))
+    links, tried, current = None, None, entries.withColumn("label", F.col("id"))
     for step in range(_JOINING):
-        new = _linked(_best_pairs(current, least), sets, least)
-        new = scratch.keep(new, f"links_{step}")
+        pairs = _best_pairs(current, least)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = scratch.keep(pairs, f"pairs_{step}")
+        tried = pairs if tried is None else tried.union(pairs)
+        new = scratch.keep(_linked(pairs, sets, least), f"links_{step}")
         if step and new.isEmpty():
             break
         links = new if links is None else links.union(new)
@@ -440,7 +454,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, least: int = 80) -> DataF
         )
         current = scratch.keep(_open_lists(current), f"open_{step}").drop("length")
     current = scratch.keep(_open_lists(current), "open")
-    more = scratch.keep(_linked(_search(current, least), sets, least), "links")
+    pairs = scratch.keep(_search(current, least), "pairs")
+    more = scratch.keep(_linked(pairs, sets, least), "links")
     labels = components(links.union(more), scratch.inner("near"))
 
     grouped = active.join(labels, "id").select("cid", "rep", "label")
