@@ -5,7 +5,7 @@ consonants by consonants, of the same case and script, separators kept; card num
 their check digit valid, addresses their top-level domain, given names their gender. The
 replacement depends on a key and the entity alone, so an entity reads the same wherever it
 stands. Entities that would share a surrogate, or get one that is itself a real entity,
-draw again until all differ.
+draw again; what some rounds leave open is dealt out by rank within its format.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ LETTERS = [
     "αεηιουωάέήίόύώ", "βγδζθκλμνξπρσςτφχψ", "ΑΕΗΙΟΥΩΆΈΉΊΌΎΏ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ",
 ]
 DIGITS = "0123456789"
+# Rounds of draws before the entities still open are ranked.
+_DRAWS = 6
 
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _GIVEN = "|".join(name for names in GIVEN.values() for name in names.split())
@@ -120,11 +122,10 @@ def _address(entity: Column, seed: Column, key: str) -> Column:
     )
 
 
-def _word(word: Column, key: str, attempt: Column, given: bool) -> Column:
-    """A part of a name, by itself; listed given names move round within their list."""
-    seed = F.sha2(F.concat(F.lit(f"{key}|name|"), word, F.lit("|"), attempt.cast("string")), 256)
-    out = _each(word, seed, LETTERS)
-    for group, listed in GIVEN.items() if given else ():
+def _moved(word: Column, key: str) -> Column:
+    """A listed given name moved round within its list."""
+    out = F.lit(None).cast("string")
+    for group, listed in GIVEN.items():
         names = F.array(*map(F.lit, listed.split()))
         n = len(listed.split())
         # A step from 1 to n - 1 that the key fixes: no name stays, no two meet.
@@ -134,21 +135,26 @@ def _word(word: Column, key: str, attempt: Column, given: bool) -> Column:
     return out
 
 
-def _name(entity: Column, key: str, attempt: Column) -> Column:
-    words = F.split(entity, " ")
-    last = F.get(words, 1)
-    return F.when(last.isNull(), _word(F.get(words, 0), key, F.lit(0), True)).otherwise(
-        F.concat_ws(" ", _word(F.get(words, 0), key, F.lit(0), True), _word(last, key, attempt, False))
-    )
+def _word(word: Column, key: str, attempt: Column) -> Column:
+    """Another word by letters; one that holds none of LETTERS is spelled in Latin ones."""
+    seed = F.sha2(F.concat(F.lit(f"{key}|name|"), word, F.lit("|"), attempt.cast("string")), 256)
+    known = word.rlike(f"[{''.join(LETTERS)}]")
+    spelled = F.regexp_replace(F.regexp_replace(word, r"\p{Lu}", "B"), r"[\p{L}&&[^B]]", "b")
+    return _each(F.when(known, word).otherwise(spelled), seed, LETTERS)
+
+
+def _code(phone: Column) -> Column:
+    return F.regexp_extract(phone, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
 
 
 def surrogate(kind: Column, entity: Column, key: str, attempt: Column) -> Column:
+    """A draw for an entity that is no name, or for a "word" of a name."""
     parts = [F.lit(f"{key}|"), kind, F.lit("|"), entity, F.lit("|"), attempt.cast("string")]
     seed = F.sha2(F.concat(*parts), 256)
     octet = F.transform(
         F.split(entity, r"\."), lambda _, i: (_drawn(seed, i, 254) + 1).cast("string")
     )
-    code = F.length(F.regexp_extract(entity, r"^\+[0-9]{1,3}(?=[ .(-])", 0))
+    code = F.length(_code(entity))
     return (
         F.when(kind == "email", _address(entity, seed, key))
         .when(kind == "ip", F.array_join(octet, "."))
@@ -161,18 +167,111 @@ def surrogate(kind: Column, entity: Column, key: str, attempt: Column) -> Column
             ),
         )
         .when(kind == "ssn", _each(entity, seed, [DIGITS]))
-        .otherwise(_name(entity, key, attempt))
+        .otherwise(_word(entity, key, attempt))
     )
 
 
-def assigned(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
-    """`kind`, `entity`, `surrogate`, all surrogates of a kind distinct and none of them real.
+def _form(kind: Column, entity: Column) -> list[Column]:
+    """`head`, `form`, `tail`: what stays of an entity, and its letters and digits by set."""
+    none = F.lit("")
+    head = F.when(kind == "phone", _code(entity)).otherwise(none)
+    tail = F.when(kind == "email", F.concat(F.lit("@"), F.substring_index(entity, "@", -1))).otherwise(none)
+    body = F.substring(entity, F.length(head) + 1, F.length(entity) - F.length(head) - F.length(tail))
+    sets = [DIGITS, *LETTERS]
+    form = F.translate(body, "".join(sets), "".join(x[0] * len(x) for x in sets))
+    return [head.alias("head"), form.alias("form"), tail.alias("tail")]
+
+
+def _by_set(c: Column, value, other: Column) -> Column:
+    out = other
+    for letters in [DIGITS, *LETTERS]:
+        out = F.when(c == letters[0], value(letters)).otherwise(out)
+    return out
+
+
+def _members(form: Column) -> Column:
+    """How many texts have a form, 2^60 at most."""
+    size = lambda c: _by_set(c, lambda x: F.lit(float(len(x))), F.lit(1.0))
+    n = F.aggregate(F.split(form, ""), F.lit(1.0), lambda n, c: n * size(c))
+    return F.least(n, F.lit(2.0**60)).cast("long")
+
+
+def _member(form: Column, number: Column) -> Column:
+    """The text of that number among those of a form."""
+
+    def more(made, c):
+        n = _by_set(c, lambda x: F.lit(len(x)), F.lit(1)).cast("long")
+        at = (made["rest"] % n + 1).cast("int")
+        letter = _by_set(c, lambda x: F.substring(F.lit(x), at, F.lit(1)), c)
+        rest = F.call_function("div", made["rest"], n)
+        return F.struct(rest.alias("rest"), F.concat(made["made"], letter).alias("made"))
+
+    start = F.struct(number.cast("long").alias("rest"), F.lit("").alias("made"))
+    return F.aggregate(F.split(form, ""), start, more)["made"]
+
 
-    A part of a name keeps its surrogate everywhere; where that can't be, the pair that
-    comes later draws again. Entities of which no draw differs in 32 rounds raise an error.
+def _ranked(checked: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """Exact surrogates for all entities of the forms in which a draw is still open.
+
+    Entities and free texts of a form are both ranked by a keyed hash and meet by rank. Real
+    ones are dealt out only where a form has no other left, and none to itself.
     """
-    rows = entities.withColumn("attempt", F.lit(0))
-    for step in range(32):
+    form = ["kind", "head", "form", "tail"]
+    rank = lambda c: F.xxhash64(F.lit(f"{key}|rank"), c)
+    kind = F.col("kind")
+    formed = checked.select("kind", "entity", "again", *_form(kind, F.col("surrogate")))
+    busy = scratch.keep(
+        formed.groupBy(*form).agg(F.max("again").alias("open"), F.count("*").alias("n")).where("open"),
+        "busy",
+    )
+    if not busy.where(kind.isin("ip", "card")).isEmpty():
+        raise ValueError("addresses or card numbers without a surrogate of their own")
+    real = checked.select("kind", F.col("entity").alias("member"), *_form(kind, F.col("entity")))
+    real = scratch.keep(real.join(busy, form, "left_semi"), "busy_real")
+    held = real.groupBy(*form).agg(F.count("*").alias("held"))
+    given = _GIVEN.split("|")
+    # So many texts hold enough free ones, if the form has them.
+    sized = busy.join(held, form, "left").withColumn("size", _members(F.col("form")))
+    enough = F.least("size", F.col("n") + F.coalesce("held", F.lit(0)) + len(given))
+    first = F.pmod(rank(F.concat("head", "form", "tail")), F.col("size"))
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), enough - 1)).alias("i")
+    text = _member(F.col("form"), (F.col("i") + F.col("first")) % F.col("size"))
+    texts = (
+        sized.select(*form, "size", first.alias("first"), numbers)
+        .select(*form, F.concat("head", text, "tail").alias("member"))
+        .where((kind != "word") | ~F.col("member").isin(given))
+        .join(real.withColumn("real", F.lit(1)), [*form, "member"], "left")
+        .withColumn("real", F.coalesce("real", F.lit(0)))
+    )
+    in_form = Window.partitionBy(*form)
+    texts = scratch.keep(
+        texts.withColumn("place", F.row_number().over(in_form.orderBy("real", rank(F.col("member")), "member")))
+        .withColumn("free", F.sum(1 - F.col("real")).over(in_form))
+        .withColumn("all", F.count("*").over(in_form)),
+        "texts",
+    )
+    own = texts.where("real = 1").select(*form, F.col("member").alias("entity"), F.col("place").alias("own"))
+    counts = texts.select(*form, "free", "all").distinct()
+    order = in_form.orderBy(F.col("own").isNull(), rank(F.col("entity")), "entity")
+    # Real texts follow the free ones in the same order, so rank i gets the real one i - free.
+    place = F.when(F.col("free") > 0, F.row_number().over(order)).otherwise(F.col("own") % F.col("all") + 1)
+    dealt = (
+        formed.join(busy.select(*form), form).join(own, [*form, "entity"], "left").join(counts, form, "left")
+        .withColumn("place", place)
+        .join(texts.select(*form, "place", F.col("member").alias("surrogate")), [*form, "place"], "left")
+        .select("kind", "entity", "surrogate")
+    )
+    dealt = scratch.keep(dealt, "dealt")
+    if not dealt.where("surrogate IS NULL OR surrogate = entity").isEmpty():
+        raise ValueError("more entities of a form than texts of it")
+    rest = checked.select("kind", "entity", "surrogate", *_form(kind, F.col("surrogate")))
+    return rest.join(busy, form, "left_anti").select("kind", "entity", "surrogate").union(dealt)
+
+
+def _distinct(items: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """`kind`, `entity`, `surrogate` by draws, and by rank where draws don't settle it."""
+    rows = items.withColumn("attempt", F.lit(0))
+    for step in range(_DRAWS):
         drawn = scratch.keep(
             rows.withColumn(
                 "surrogate", surrogate(F.col("kind"), F.col("entity"), key, F.col("attempt"))
@@ -181,12 +280,11 @@ def assigned(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
         )
         alike = Window.partitionBy("kind", "surrogate").orderBy("attempt", "entity")
         real = drawn.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
-        # A single given name can only move within its list, where others move along.
-        moves = (F.col("kind") != "name") | F.col("entity").contains(" ")
+        listed = (F.col("kind") == "word") & F.col("surrogate").isin(_GIVEN.split("|"))
         checked = (
             drawn.withColumn("nth", F.row_number().over(alike))
             .join(real, ["kind", "surrogate"], "left")
-            .withColumn("again", moves & ((F.col("nth") > 1) | F.col("real").isNotNull()))
+            .withColumn("again", (F.col("nth") > 1) | F.col("real").isNotNull() | listed)
         )
         checked = scratch.keep(checked, f"checked_{step}")
         if checked.where("again").isEmpty():
@@ -194,7 +292,42 @@ def assigned(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
         rows = checked.select(
             "kind", "entity", (F.col("attempt") + F.col("again").cast("int")).alias("attempt")
         )
-    raise ValueError("entities without a surrogate of their own")
+    return _ranked(checked, key, scratch)
+
+
+def assigned(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """`kind`, `entity`, `surrogate`, all surrogates of a kind distinct and none of them real.
+
+    A word of a name keeps its surrogate in every name: listed given names move within their
+    lists, where others move along, so a single one may read as another real one; all other
+    words get one that is no word of any name, so no name with such a word is met again. A
+    name of listed words alone has its last one exchanged like a family name. Only a form of
+    which more than half of all texts are real entities hands real ones round.
+    """
+    name = F.col("kind") == "name"
+    words = F.split("entity", " ")
+    listed = F.array(*map(F.lit, _GIVEN.split("|")))
+    only_listed = F.size(F.array_except(words, listed)) == 0
+    parts = scratch.keep(
+        entities.where(name)
+        .select("entity", only_listed.alias("only"), F.size(words).alias("n"), F.posexplode(words).alias("pos", "word"))
+        .withColumn(
+            "given",
+            F.array_contains(listed, F.col("word"))
+            & ~(F.col("only") & (F.col("n") > 1) & (F.col("pos") == F.col("n") - 1)),
+        ),
+        "parts",
+    )
+    exchanged = parts.where("NOT given").select(F.lit("word").alias("kind"), F.col("word").alias("entity"))
+    items = entities.where(~name).select("kind", "entity").union(exchanged.distinct())
+    made = _distinct(items, key, scratch)
+    of_words = made.where("kind = 'word'").select(F.col("entity").alias("word"), "surrogate")
+    spelled = parts.where("NOT given").join(of_words, "word").select("entity", "pos", "surrogate").union(
+        parts.where("given").select("entity", "pos", _moved(F.col("word"), key))
+    )
+    in_order = F.sort_array(F.collect_list(F.struct("pos", "surrogate")))
+    named = spelled.groupBy("entity").agg(F.array_join(in_order["surrogate"], " ").alias("surrogate"))
+    return made.where("kind <> 'word'").union(named.select(F.lit("name"), "entity", "surrogate"))
 
 
 def replace_entities(docs: DataFrame, key: str, scratch: Scratch) -> DataFrame:

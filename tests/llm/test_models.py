@@ -326,3 +326,28 @@ def test_surrogates_stay_distinct(spark, scratch):
     got = surrogates.assigned(entities, "k", scratch).collect()
     made = {r.surrogate for r in got}
     assert len(made) == 50
+
+
+def test_short_names_stay_distinct(spark, scratch):
+    """Half of all two-letter names behind titles, and pairs with them: draws often collide."""
+    short = [a + b for a in "BCDFGHJKLM" for b in "aeiou"]
+    names = [*short, *(f"Anna {w}" for w in short), "Anna Maria", "Maria Laura", "Maria", "Anna"]
+    rows = spark.createDataFrame([("name", n) for n in names], "kind string, entity string")
+    made = {r.entity: r.surrogate for r in surrogates.assigned(rows, "k", scratch).collect()}
+    assert set(made) == set(names) and len(set(made.values())) == len(names)
+    listed = set(surrogates.GIVEN["female_latin"].split())
+    assert not {made[n] for n in names if n not in listed} & set(names)
+    assert all(form(made[n]) == form(n) for n in short)
+    assert all(made[f"Anna {w}"] == f"{made['Anna']} {made[w]}" for w in short)
+    assert made["Maria"] in listed and made["Maria"] != "Maria"
+
+
+def test_full_forms_are_dealt_out(spark, scratch):
+    """All texts of a form are real: a name never keeps its own, no two share one."""
+    names = [a + b for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou"]
+    mails = [f"{a}{b}@bank.de" for a in "0123456789" for b in "bcdfghjklmnpqrstvwxyz"]
+    rows = [("name", n) for n in [*names, "Ⴀⴀ"]] + [("email", m) for m in mails]
+    got = surrogates.assigned(spark.createDataFrame(rows, "kind string, entity string"), "k", scratch).collect()
+    assert len(got) == len(rows) and all(r.surrogate != r.entity for r in got)
+    assert len({(r.kind, r.surrogate) for r in got}) == len(rows)
+    assert {r.surrogate for r in got if r.entity in names} == set(names)
