@@ -42,8 +42,11 @@ DIGITS = "0123456789"
 # Rounds of draws before the entities still open are ranked.
 _DRAWS = 6
 
-_NAME = r"\p{Lu}[\p{L}'’-]+"
 _GIVEN = "|".join(name for names in GIVEN.values() for name in names.split())
+_TITLES = "|".join(TITLES.split())
+# A capitalised word that is no title, without a possessive 's.
+_PART = r"\p{L}|['’-](?=\p{L})(?![sS](?!\p{L}))"
+_NAME = rf"(?!(?:{_TITLES})(?!\p{{L}}))\p{{Lu}}(?:{_PART})+"
 #: In order; where several could begin at one place the first wins.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
@@ -52,12 +55,19 @@ KINDS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4}"
     r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
-    "name": rf"(?=\p{{Lu}})(?:(?<!\p{{L}})(?:{_GIVEN})(?: {_NAME})?(?!\p{{L}})"
-    rf"|(?<=(?<!\p{{L}})(?:{'|'.join(TITLES.split())})\.? ){_NAME}(?: {_NAME})?)",
+    "name": rf"(?=\p{{Lu}})(?:(?<!\p{{L}})(?:{_GIVEN})(?: {_NAME})*(?!\p{{L}})"
+    rf"|(?<=(?<!\p{{L}})(?:{_TITLES})\.? ){_NAME}(?: {_NAME})*)",
 }
 # What begins with a digit, sign or bracket is looked for only there, names at capitals.
 _NUMBERS = "|".join(f"(?:{KINDS[kind]})" for kind in ("ip", "card", "ssn", "phone"))
 PATTERN = f"{KINDS['email']}|(?=[0-9(+])(?:{_NUMBERS})|{KINDS['name']}"
+# Any other capitalised word: an entity where it is a word of a name found in the same text.
+# It stops where an entity can begin within it, at an address or a hyphened given name.
+_MENTION = (
+    r"(?<!\p{L})(?=\p{Lu})(?![\p{L}0-9._%+'’-]*@)"
+    + _NAME.replace(_PART, rf"\p{{L}}|(?!.(?:{_GIVEN})(?!\p{{L}}))(?:{_PART})") + r"(?!\p{L})"
+)
+EVERY = f"({PATTERN})|{_MENTION}"
 
 
 def kind_of(entity: Column) -> Column:
@@ -333,31 +343,42 @@ def assigned(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
 def replace_entities(docs: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     """`row` (all columns of the document), `safe_text`, `n_entities`.
 
-    Null texts stay null, texts without entities stay as they are. Rows with equal texts get
-    equal results. An empty table gives no rows.
+    The words of the names found in a text are replaced wherever else they stand in it as whole
+    words of the same capitals. Null texts stay null, texts without entities stay as they are.
+    Rows with equal texts get equal results. An empty table gives no rows.
     """
     rows = docs.select(F.struct("*").alias("row"), "doc_id", "text")
     has = F.coalesce(F.col("text").rlike(PATTERN), F.lit(False))
     digest = F.xxhash64("text").alias("digest")
-    found = scratch.keep(
+    # Rows equal in doc_id and text bring the same entities; once each is enough.
+    sure = scratch.keep(
         rows.where(has)
-        .select("doc_id", digest, F.posexplode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("pos", "entity"))
+        .select("doc_id", digest, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("sure"))
+        .select("doc_id", "digest", F.explode(F.array_distinct("sure")).alias("entity"))
+        .distinct()
         .withColumn("kind", kind_of(F.col("entity"))),
-        "found",
+        "sure",
     )
+    words = sure.where("kind = 'name'").select(
+        "doc_id", "digest", F.explode(F.split("entity", " ")).alias("entity"), F.lit("name").alias("kind")
+    )
+    found = scratch.keep(sure.select(*words.columns).union(words).distinct(), "found")
     names = assigned(found.select("kind", "entity").distinct(), key, scratch)
-    # Rows equal in doc_id and text bring the same list; one of it is enough.
     by_row = (
-        found.distinct().join(names, ["kind", "entity"])
+        found.join(names, ["kind", "entity"])
         .groupBy(F.col("doc_id").alias("of_id"), F.col("digest").alias("of_digest"))
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "surrogate"))).alias("new"))
-    )
+        .agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("new"))
+    )
     same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.xxhash64("text") == F.col("of_digest"))
-    gaps = F.split("text", PATTERN, -1)
-    woven = F.zip_with(gaps, "new", lambda gap, x: F.concat(gap, F.coalesce(x["surrogate"], F.lit(""))))
+    # What stands between the entities and mentions, and they themselves: new where they are known.
+    gaps = F.split("text", EVERY, -1)
+    met = F.regexp_extract_all("text", F.lit(EVERY), F.lit(0))
+    put = F.transform(met, lambda x: F.coalesce(F.try_element_at("new", x), x))
+    woven = F.zip_with(gaps, put, lambda gap, x: F.concat(gap, F.coalesce(x, F.lit(""))))
+    n_entities = F.size(F.filter(met, lambda x: F.map_contains_key("new", x)))
     changed = (
         rows.where(has).join(by_row, same)
-        .select("row", F.array_join(woven, "").alias("safe_text"), F.size("new").alias("n_entities"))
+        .select("row", F.array_join(woven, "").alias("safe_text"), n_entities.alias("n_entities"))
     )
     kept = rows.where(~has).select("row", F.col("text").alias("safe_text"), F.lit(0).alias("n_entities"))
     return kept.union(changed)

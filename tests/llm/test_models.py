@@ -351,3 +351,26 @@ def test_full_forms_are_dealt_out(spark, scratch):
     assert len(got) == len(rows) and all(r.surrogate != r.entity for r in got)
     assert len({(r.kind, r.surrogate) for r in got}) == len(rows)
     assert {r.surrogate for r in got if r.entity in names} == set(names)
+
+
+def test_later_mentions_go_with_the_name(spark, scratch):
+    texts = [
+        "Frau Müller met John Smith; Smith was late, so was Müller. Smithson wasn't.",
+        "Dr. Anna Maria Luisa Schmidt-Berg left. Schmidt-Berg's car; Luisa. ANNA said smith.",
+        "Smith alone, before John Smith's brother Foo-John Li and Herr Dr. Ng. Li, Ng, Dr. X.Ng@b.de",
+        "Smith alone has no name before it. 10.1.2.3",
+    ]
+    docs = frame(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    got = {r.row.doc_id: r for r in surrogates.replace_entities(docs, "k", scratch).collect()}
+    new = {i: re.findall(r"[\w-]+", r.safe_text) for i, r in got.items()}
+    old = {i: re.findall(r"[\w-]+", t) for i, t in enumerate(texts)}
+    one = dict(zip(old[0], new[0]))
+    assert not re.search(r"Müller|Smith\b", got[0].safe_text) and got[0].n_entities == 4
+    assert [one[w] for w in old[0]] == new[0] and one["Smithson"] == "Smithson"
+    two = dict(zip(old[1], new[1]))
+    assert [two[w] for w in old[1]] == new[1] and two["ANNA"] == "ANNA" and two["smith"] == "smith"
+    assert not re.search("Anna|Maria|Luisa|Schmidt|Berg", got[1].safe_text) and got[1].n_entities == 3
+    three = dict(zip(old[2][:-4], new[2]))
+    assert [three[w] for w in old[2][:-4]] == new[2][:-4] and three["Smith"] == one["Smith"]
+    assert not re.search(r"\b(Smith|John|Li|Ng)\b", got[2].safe_text) and three["Dr"] == "Dr"
+    assert got[3].safe_text.startswith("Smith alone has no name") and got[3].n_entities == 1
