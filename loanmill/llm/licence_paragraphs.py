@@ -83,6 +83,31 @@ TEMPLATES = {
     ],
 }
 
+# Titles and SPDX lines. A title counts as the whole of a line, SPDX anywhere.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "Apache": ["Apache License", "Apache License, Version 2.0", "Apache License Version 2.0, January 2004", "Apache-2.0"],
+    "GPL": ["GNU General Public License", "The GNU General Public License", "GPL-3.0", "GPLv3"],
+    "LGPL": ["GNU Lesser General Public License", "LGPL-2.1", "LGPLv3"],
+    "AGPL": ["GNU Affero General Public License", "AGPL-3.0", "AGPLv3"],
+    "BSD": ["BSD License", "BSD 3-Clause License", "The BSD 3-Clause License", "BSD-3-Clause"],
+    "MPL": ["Mozilla Public License", "Mozilla Public License Version 2.0", "MPL-2.0"],
+    "CC BY": ["CC BY 4.0", "Creative Commons Attribution 4.0 International"],
+    "CC BY-SA": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International"],
+    "CC BY-NC": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International"],
+    "CC0": ["CC0 1.0", "CC0 1.0 Universal"],
+    "ISC": ["ISC License", "The ISC License"],
+}
+_SPDX = {
+    "MIT": "MIT", "Apache-2.0": "Apache", "GPL-3.0": "GPL", "LGPL-2.1": "LGPL", "AGPL-3.0": "AGPL",
+    "BSD-3-Clause": "BSD", "MPL-2.0": "MPL", "CC-BY-4.0": "CC BY", "CC-BY-SA-4.0": "CC BY-SA",
+    "CC-BY-NC-4.0": "CC BY-NC", "CC0-1.0": "CC0", "ISC": "ISC",
+}
+for _name, _family in _SPDX.items():
+    TITLES[_family].append(f"SPDX-License-Identifier: {_name}")
+
+# Words that only mark a line as a comment; other marks hold no word.
+_MARK = re.compile(r"^\s*(?:rem|dnl)\b", re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+")
 _DIGITS = re.compile(r"\d+")
 
@@ -104,7 +129,9 @@ class LicenceModel:
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
-    templates: list[list[set[str]]]
+    templates: list[list[set[int]]]
+    titles: list[dict[tuple[str, ...], set[int]]]
+    longest: int
 
     def _found(self, words: list[str]) -> list[int]:
         """Model n-grams in the paragraph; longer ones only where all their words are known."""
@@ -126,13 +153,22 @@ class LicenceModel:
         e = np.exp(z - z.max())
         return e / e.sum()
 
-    def similarity(self, family: int, words: list[str]) -> float:
-        """Largest share of a template's n-grams that the paragraph holds."""
-        held = _grams(words)
+    def similarity(self, family: int, words: list[str], held: set[int] | None = None) -> float:
+        """Largest share of a template's n-grams that the paragraph holds; 1 for a title."""
+        held = set(self._found(words)) if held is None else held
+        if any(_titled(t, words) for t, grams in self.titles[family].items() if grams <= held):
+            return 1.0
         return max(len(t & held) / len(t) for t in self.templates[family])
 
-    def classify(self, paragraph: str, sure: float, alike: float) -> tuple[str, float, float] | None:
-        words = tokens(paragraph)
+    def may_hold(self, words: list[str], alike: float) -> bool:
+        """Whether a part of these words can be alike to a template or be a title."""
+        held = set(self._found(words))
+        return bool(held) and (
+            any(len(t & held) >= alike * len(t) for ts in self.templates for t in ts)
+            or any(grams <= held for ts in self.titles for grams in ts.values())
+        )
+
+    def classify_words(self, words: list[str], sure: float, alike: float) -> tuple[str, float, float] | None:
         p = self.probabilities(words)
         best = int(p.argmax())
         if best == len(self.families) or p[best] < sure:
@@ -140,6 +176,67 @@ class LicenceModel:
         similarity = self.similarity(best, words)
         return (self.families[best], float(p[best]), similarity) if similarity >= alike else None
 
+    def classify(self, paragraph: str, sure: float, alike: float) -> tuple[str, float, float] | None:
+        return self.classify_words(tokens(paragraph), sure, alike)
+
+    def licences(self, text: str, sure: float, alike: float) -> list[tuple]:
+        """First line, family, probability and similarity of every licence in a text."""
+        out, block = [], []
+        for i, line in enumerate([*text.split("\n"), ""]):
+            words = tokens(_MARK.sub("", line))
+            if words:
+                block.append((i, words))
+            elif block:
+                out += self._in_block(block, sure, alike)
+                block = []
+        return out
+
+    def _in_block(self, block: list[tuple[int, list[str]]], sure: float, alike: float) -> list[tuple]:
+        """Single lines first, then runs of the lines left between, then the whole block."""
+        joined = [w for _, words in block for w in words]
+        if not self.may_hold(joined, alike):
+            return []
+        lines = [words for _, words in block]
+        found = {}
+        for at, words in enumerate(lines):
+            if hit := self.classify_words(words, sure, alike):
+                found[at] = hit
+        singles, free = set(found), 0
+        for end in range(len(lines)):
+            if end in singles:
+                free = end + 1
+                continue
+            words, inner = lines[end], 0
+            # All lines of a notice but the first and last hold nothing else.
+            for start in range(end - 1, free - 1, -1):
+                words = lines[start] + words
+                if hit := self.may_hold(words, alike) and self.classify_words(words, sure, alike):
+                    while start > free:
+                        more = self.classify_words(lines[start - 1] + words, sure, alike)
+                        if not more or more[0] != hit[0] or more[2] <= hit[2]:
+                            break
+                        start, words, hit = start - 1, lines[start - 1] + words, more
+                    last = end + 1
+                    while last < len(lines) and last not in singles:
+                        more = self.classify_words(words + lines[last], sure, alike)
+                        if not more or more[0] != hit[0] or more[2] <= hit[2]:
+                            break
+                        words, hit, last = words + lines[last], more, last + 1
+                    found[start], free = hit, last
+                    break
+                inner += len(lines[start])
+                if inner > 2 * self.longest:
+                    break
+        if not found and (hit := self.classify_words(joined, sure, alike)):
+            found[0] = hit
+        return [(block[at][0], *found[at]) for at in sorted(found)]
+
+
+def _titled(title: tuple[str, ...], words: list[str]) -> bool:
+    if title[0] != "spdx":
+        return tuple(words) == title
+    return any(tuple(words[i : i + len(title)]) == title for i in range(len(words) - len(title) + 1))
+
 
 def _fitted(x: np.ndarray, y: np.ndarray, classes: int, penalty: float, steps: int):
     """Multinomial logistic regression by accelerated gradient descent."""
@@ -166,11 +263,14 @@ def train(docs: DataFrame, max_unknown: int = MAX_UNKNOWN, seed: int = 3) -> Lic
 
     families = list(TEMPLATES)
     words = [[tokens(t) for t in TEMPLATES[f]] for f in families]
-    place = {g: i for i, g in enumerate(sorted({g for ts in words for t in ts for g in _grams(t)}))}
-    templates = [[_grams(t) for t in ts] for ts in words]
+    titles = [[tokens(t) for t in TITLES[f]] for f in families]
+    known = {g for ts in words + titles for t in ts for g in _grams(t)}
+    place = {g: i for i, g in enumerate(sorted(known))}
+    templates = [[{place[g] for g in _grams(t)} for t in ts] for ts in words]
+    of_titles = [{tuple(t): {place[g] for g in _grams(t)} for t in ts} for ts in titles]
     model = LicenceModel(
         families, place, np.zeros((len(place), len(families) + 1)), np.zeros(len(families) + 1),
-        1.0, templates,
+        1.0, templates, of_titles, max(len(t) for ts in words for t in ts),
     )
     random = np.random.default_rng(seed)
     # Paragraphs that hold a template aren't unknown; pieces of templates in other words are.
@@ -189,6 +289,9 @@ def train(docs: DataFrame, max_unknown: int = MAX_UNKNOWN, seed: int = 3) -> Lic
             at = random.integers(max(1, len(base) - 2))
             rows.append(filler[random.integers(len(filler))] + base[at : at + random.integers(1, 4)])
             y.append(len(families))
+        for title in titles[i]:
+            rows += [title] * 30
+            y += [i] * 30
     rows += unknown
     y = np.array(y + [len(families)] * len(unknown))
     x = np.zeros((len(rows), len(place)), np.float32)
@@ -208,10 +311,11 @@ def train(docs: DataFrame, max_unknown: int = MAX_UNKNOWN, seed: int = 3) -> Lic
 
 
 def scan(docs: DataFrame, model: LicenceModel, sure: float = 0.5, alike: float = 0.6) -> DataFrame:
-    """`doc_id`, `paragraph` (its number), `family`, `probability`, `similarity` per licence.
+    """`doc_id`, `paragraph` (its first line), `family`, `probability`, `similarity` per licence.
 
-    Paragraphs are the lines of the whole text. Null and empty texts hold none, nor does an
-    empty table. Equal rows give equal findings, each for itself.
+    Paragraphs are single lines, runs of lines and what stands between blank lines; lines of
+    comment marks alone are blank. Null and empty texts hold none, nor does an empty table.
+    Equal rows give equal findings, each for itself.
     """
 
     ship(docs.sparkSession)
@@ -220,10 +324,7 @@ def scan(docs: DataFrame, model: LicenceModel, sure: float = 0.5, alike: float =
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for i, paragraph in enumerate((text or "").split("\n")):
-                    found = model.classify(paragraph, sure, alike)
-                    if found:
-                        rows.append((doc_id, i, *found))
+                rows += [(doc_id, *found) for found in model.licences(text or "", sure, alike)]
             columns = list(zip(*rows)) or [()] * 5
             kinds = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays(

@@ -374,3 +374,28 @@ def test_later_mentions_go_with_the_name(spark, scratch):
     assert [three[w] for w in old[2][:-4]] == new[2][:-4] and three["Smith"] == one["Smith"]
     assert not re.search(r"\b(Smith|John|Li|Ng)\b", got[2].safe_text) and three["Dr"] == "Dr"
     assert got[3].safe_text.startswith("Smith alone has no name") and got[3].n_entities == 1
+
+
+WRAPPED = {
+    "MIT": "x = 1\n\n# Permission is hereby granted, free of charge, to any person\n# obtaining a copy of this"
+    " software and associated\n# documentation files, to deal in the Software\n# without restriction",
+    "GPL": "Some words before\n * This program is free software: you can redistribute it\n * and/or modify it under"
+    " the terms of the GNU General\n * Public License as published by the Free Software\n * Foundation\nand after",
+    "BSD": "// Redistribution and use in source and binary forms,\n// with or without modification, are permitted"
+    "\n// provided that the following conditions are met",
+    "ISC": "Permission to use, copy, modify, and/or distribute\nthis software for any purpose with or without\nfee is"
+    " hereby granted",
+}
+
+
+def test_wrapped_notices_and_titles(spark, documents):
+    model = licence_paragraphs.train(documents)
+    first = {"MIT": 2, "GPL": 1, "BSD": 0, "ISC": 0}
+    for family, text in WRAPPED.items():
+        got = model.licences(text, 0.5, 0.6)
+        assert [(g[0], g[1]) for g in got] == [(first[family], family)]
+    for family, titles in licence_paragraphs.TITLES.items():
+        for title in titles:
+            assert [g[1] for g in model.licences(f"Words\n\n## {title}\n\nWords", 0.5, 0.6)] == [family], title
+    for text in ["A license of the MIT", "apache helicopter 2.0", "public\nversion of\nthis work", "license"]:
+        assert model.licences(text, 0.5, 0.6) == []
