@@ -85,4 +85,36 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(b, d
 FROM sets LEFT JOIN least USING (doc_id)
 """
 
-ORACLES = {"op5_line_runs": OP5, "op9_blob_ledger": OP9, "op10_divide_skip": OP10}
+# The unsigned CRC-32 of a decimal number: DuckDB has no function for it.
+_CRC32 = """xor(list_reduce(
+  list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT)),
+  lambda crc, byte: list_reduce([0, 1, 2, 3, 4, 5, 6, 7],
+    lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(crc, byte)),
+  CAST(4294967295 AS BIGINT)), 4294967295)"""
+OP12 = f"""
+WITH own AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}}
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+led AS (SELECT *, {_CRC32} % 6 AS h FROM own),
+paths AS (
+  SELECT o.conv_id, list_concat(coalesce(b.turns[1:o.h], []), o.turns[o.h + 1:]) AS path
+  FROM led o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100),
+members AS (
+  SELECT conv_id, unnest(range(0, len(path) + 1)) AS depth, path FROM paths),
+nodes AS (
+  SELECT depth, path[1:depth] AS node, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+      FILTER (len(path) = depth), '')) AS ends_sha256
+  FROM members GROUP BY depth, path[1:depth]),
+childed AS (
+  SELECT n.*, (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND c.node[1:n.depth] = n.node) AS n_children
+  FROM nodes n)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n.ends_sha256,
+  (SELECT count(*) FROM childed u WHERE u.n_children = 0 AND u.depth >= n.depth AND u.node[1:n.depth] = n.node) AS n_leaves,
+  (SELECT CAST(sum((u.n_convs - 1) * coalesce(length(u.node[u.depth].text), 0)) AS BIGINT)
+   FROM childed u WHERE u.depth >= n.depth AND u.node[1:n.depth] = n.node) AS saved_tokens
+FROM childed n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.node = n.node[1:n.depth - 1]
+"""
+
+ORACLES = {"op5_line_runs": OP5, "op9_blob_ledger": OP9, "op10_divide_skip": OP10, "op12_conversation_trie": OP12}

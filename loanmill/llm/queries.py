@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from loanmill.llm import (
     blob_ledger,
     block_max,
+    bpe_fragments,
+    conversation_trie,
     divide_skip,
     licence_paragraphs,
     line_runs,
@@ -16,11 +18,19 @@ from loanmill.llm import (
     pigeonhole,
     rff_quality,
     surrogates,
+    token_links,
 )
 from loanmill.llm.base import session_scratch, table
 from loanmill.llm.oracles import ORACLES  # noqa: F401
 
 
+def public_tokenizer(name: str) -> str:
+    """Where this machine has a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = pareto_mix.mix(docs, session_scratch(spark))
@@ -113,6 +123,39 @@ def op10_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divide_skip.near_duplicates(docs, session_scratch(spark))
 
 
+def op11_bpe_fragments(
+    spark: SparkSession, sf_dir: str, tokenizer: str | None = None
+) -> DataFrame:
+    """`tokenizer`: path of the tokenizer file; the public one of 50,257 ids where not given."""
+    path = tokenizer or public_tokenizer("byte_bpe_50k.json")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bpe_fragments.encode(docs, path).select("row.doc_id", "n_tokens", "ids")
+    return bpe_fragments.decode(encoded, path).select(
+        "row.doc_id", "row.n_tokens", F.sha2("row.ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = session_scratch(spark)
+    turns, members = conversation_trie.rebuilt(table(spark, sf_dir, "conversations"), scratch)
+    return conversation_trie.prefix_trie(turns, members, scratch)
+
+
+def op13_token_links(
+    spark: SparkSession, sf_dir: str, byte_file: str | None = None, piece_file: str | None = None
+) -> DataFrame:
+    """`byte_file`, `piece_file`: paths of the tokenizer files; public ones where not given."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    linked = token_links.align(
+        docs, byte_file or public_tokenizer("byte_bpe_50k.json"),
+        piece_file or public_tokenizer("piece_bpe_32k.model"), session_scratch(spark),
+    )
+    return linked.select(
+        "row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
 QUERIES = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_surrogates": op2_surrogates,
@@ -124,4 +167,7 @@ QUERIES = {
     "op8_block_max": op8_block_max,
     "op9_blob_ledger": op9_blob_ledger,
     "op10_divide_skip": op10_divide_skip,
+    "op11_bpe_fragments": op11_bpe_fragments,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_token_links": op13_token_links,
 }
