@@ -229,17 +229,16 @@ def prefix_trie(
     inner = nodes.join(sums, _NODE).select(
         *_NODE, "parent1", "parent2", "conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens"
     )
-    whole = nodes.agg(
-        F.coalesce(F.sum("saved"), F.lit(0)).alias("saved_tokens"),
-        F.greatest(F.coalesce(F.sum("leaf"), F.lit(0)), F.lit(1)).alias("n_leaves"),
-        F.count_if(F.col("depth") == 1).alias("n_children"),
-    )
-    # One row, crossed with one row.
+    saved, leaves, n_top = nodes.agg(
+        F.sum("saved"), F.sum("leaf"), F.count_if(F.col("depth") == 1)
+    ).first()
     of_all = members.agg(F.count("*").alias("n_convs"), F.min("conv_id").alias("conv_id"))
-    none = F.lit(None).cast("long")
-    root = of_all.where("n_convs > 0").join(F.broadcast(whole)).select(
-        *(F.lit(0).cast("long").alias(c) for c in _NODE), none.alias("parent1"), none.alias("parent2"),
-        "conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+    root = of_all.where("n_convs > 0").select(
+        *(F.lit(0).cast("long").alias(c) for c in _NODE),
+        *(F.lit(None).cast("long").alias(c) for c in ("parent1", "parent2")),
+        "conv_id", "n_convs", F.lit(n_top).cast("long").alias("n_children"),
+        F.lit(leaves or 1).cast("long").alias("n_leaves"),
+        F.lit(saved or 0).cast("long").alias("saved_tokens"),
     )
     every = scratch.keep(inner.unionByName(root), "every")
 
