@@ -19,7 +19,6 @@ import hashlib
 import json
 import os
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +30,8 @@ from loanmill.llm.base import ship
 
 # Fragments worked on at a time, fragments remembered, and bytes of one worth remembering.
 _STRETCH, _KNOWN, _SHORT = 1 << 17, 1 << 18, 64
+# Rows handed on together.
+_ROWS = 512
 
 
 def byte_letters() -> list[str]:
@@ -83,7 +84,9 @@ class Codec:
         self.cuts_text = ~self.inside & printable & white
         letters = byte_letters()
         self._apart = {letters[a] + letters[b] for a, b in zip(left, right) if not self.inside[a << 8 | b]}
-        self.known: dict[bytes, list[int]] = {}
+        self._before_space = self.cuts_text[0x20::256].tolist()
+        self.lengths = np.array([len(token) for token in self.bytes_of])
+        self.known: dict[bytes, bytes] = {}
 
     def _pieces(self, piece: str) -> Iterator[str]:
         """A piece in byte letters, cut wherever two neighbours are inside no token."""
@@ -103,13 +106,22 @@ class Codec:
         return [t.id for piece, _ in split for part in self._pieces(piece) for t in tokenize(part)]
 
     def _learn(self, fragments: list[bytes]) -> None:
-        short = [x for x in fragments if len(x) <= _SHORT]
-        texts = [x.decode() for x in short]
-        for x, found in zip(short, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            self.known[x] = found.ids
+        # Those that begin with a space go through the library in one string, where each joint
+        # is a certain cut again; the lengths of the tokens tell whose they are.
+        alike, others = [], []
         for x in fragments:
-            if len(x) > _SHORT:
-                self.known[x] = self._encode_long(x)
+            fits = len(x) <= _SHORT and x[0] == 0x20 and self._before_space[x[-1]]
+            (alike if fits else others).append(x)
+        for x in others:
+            self.known[x] = np.array(self._encode_long(x), "<u4").tobytes()
+        if alike:
+            whole = b"".join(alike).decode()
+            found = self.tokenizer.encode_batch_fast([whole], add_special_tokens=False)[0]
+            ids = np.array(found.ids, "<u4")
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(x) for x in alike]))
+            packed, at = ids.tobytes(), [0, *(4 * (ends + 1)).tolist()]
+            for x, i, j in zip(alike, at, at[1:]):
+                self.known[x] = packed[i:j]
 
     def fragments(self, data: bytes) -> np.ndarray:
         """Where the fragments of a text begin and the last one ends."""
@@ -118,18 +130,20 @@ class Codec:
         return np.concatenate([[0], cuts, [len(data)]]) if len(data) else np.zeros(1, np.int64)
 
     def ids(self, data: bytes) -> Iterator[np.ndarray]:
-        """The ids of a text in UTF-8, stretch by stretch."""
+        """The ids of a text in UTF-8, stretch by stretch; those of short fragments are kept."""
         edges = self.fragments(data)
         for first in range(0, len(edges) - 1, _STRETCH):
             at = edges[first : first + _STRETCH + 1].tolist()
             parts = [data[a:b] for a, b in zip(at, at[1:])]
             known = self.known
-            self._learn(list(set(parts).difference(known)))
-            yield np.fromiter(chain.from_iterable(map(known.__getitem__, parts)), "<u4")
+            new = list(set(parts).difference(known))
+            self._learn(new)
+            yield np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u4")
+            for x in new:
+                if len(x) > _SHORT:
+                    del known[x]
             if len(known) > _KNOWN:
                 known.clear()
-            for long in (p for p in parts if len(p) > _SHORT):
-                known.pop(long, None)
 
     def encode(self, data: bytes) -> np.ndarray:
         found = list(self.ids(data))
@@ -177,34 +191,28 @@ class _Reader:
         return 0
 
 
-def _mapped(rows: DataFrame, column: str, name: str, kind: pa.DataType, of: Callable) -> DataFrame:
-    """`row` (all columns) and `name`: `of` the values of `column`, one by one."""
-    whole = rows.select(F.struct("*").alias("row"), F.col(column).alias("value"))
-    spark_kind = {"binary": T.BinaryType(), "string": T.StringType()}[str(kind)]
-    schema = T.StructType([whole.schema["row"], T.StructField(name, spark_kind)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = pa.array((of(v.as_py()) for v in batch.column(1)), kind, size=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["row", name])
-
-    return whole.mapInArrow(run, schema)
-
-
-def encode(docs: DataFrame, path: str, specials: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, specials: bool = True, check: bool = False) -> DataFrame:
     """`row` (the columns of `docs`), `ids` (unsigned 32-bit little-endian) and `n_tokens` of
     the column `text`, as the tokenizer file at `path` has them without added special tokens.
+    With `check`, also `decoded`, the text that the ids stand for.
 
     A null text counts as empty and has no ids; any other columns may be null and bear any
     names; every row comes back, equal ones too. An empty table gives no rows.
     """
     ship(docs.sparkSession)
     sent = Sent(docs.sparkSession, path, specials)
-    ids = _mapped(
-        docs, "text", "ids", pa.binary(),
-        lambda text: sent.codec().encode((text or "").encode()).tobytes(),
-    )
-    return ids.withColumn("n_tokens", F.expr("octet_length(ids) div 4"))
+
+    def run(texts: pa.Array) -> list[pa.Array]:
+        codec, ids, decoded = sent.codec(), [], []
+        for text in texts:
+            found = codec.encode((text.as_py() or "").encode())
+            ids.append(found.tobytes())
+            if check:
+                decoded.append(codec.decode(found))
+        return [pa.array(ids, pa.binary())] + [pa.array(decoded, pa.string())] * check
+
+    made = _mapped(docs, "text", "ids binary" + ", decoded string" * check, run)
+    return made.withColumn("n_tokens", F.expr("octet_length(ids) div 4"))
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
@@ -214,7 +222,27 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     """
     ship(rows.sparkSession)
     sent = Sent(rows.sparkSession, path)
-    return _mapped(
-        rows, "ids", "decoded", pa.string(),
-        lambda ids: None if ids is None else sent.codec().decode(np.frombuffer(ids, "<u4")),
-    )
+
+    def run(packed: pa.Array) -> list[pa.Array]:
+        codec = sent.codec()
+        texts = [
+            codec.decode(np.frombuffer(ids.as_py(), "<u4")) if ids.is_valid else None for ids in packed
+        ]
+        return [pa.array(texts, pa.string())]
+
+    return _mapped(rows, "ids", "decoded string", run)
+
+
+def _mapped(rows: DataFrame, column: str, added: str, of: Callable) -> DataFrame:
+    """`row` (all columns) and what `of` makes of the values of `column`, few rows at a time."""
+    whole = rows.select(F.struct("*").alias("row"), F.col(column).alias("value"))
+    schema = T.StructType([whole.schema["row"], *T.StructType.fromDDL(added).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(first, _ROWS)
+                made = [part.column(0), *of(part.column(1))]
+                yield pa.RecordBatch.from_arrays(made, names=schema.names)
+
+    return whole.mapInArrow(run, schema)

@@ -129,9 +129,8 @@ def op11_bpe_fragments(
     """`tokenizer`: path of the tokenizer file; the public one of 50,257 ids where not given."""
     path = tokenizer or public_tokenizer("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe_fragments.encode(docs, path).select("row.doc_id", "n_tokens", "ids")
-    return bpe_fragments.decode(encoded, path).select(
-        "row.doc_id", "row.n_tokens", F.sha2("row.ids", 256).alias("ids_sha256"),
+    return bpe_fragments.encode(docs, path, check=True).select(
+        "row.doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
