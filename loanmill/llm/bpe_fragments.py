@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from loanmill.llm.base import ship
 
 # Fragments worked on at a time, fragments remembered, and bytes of one worth remembering.
-_STRETCH, _KNOWN, _SHORT = 1 << 17, 1 << 18, 64
+_STRETCH, _KNOWN, _SHORT = 1 << 17, 1 << 19, 64
 # Rows handed on together.
 _ROWS = 512
 

@@ -86,51 +86,59 @@ class Aligner:
 
     def __init__(self, codec, pieces: Pieces):
         self.codec, self.pieces = codec, pieces
-        self.lengths = [
-            np.array([len(b) for b in table], np.int64) for table in (codec.bytes_of, pieces.bytes_of)
+        tables = codec.bytes_of, pieces.bytes_of
+        self.lengths = [np.array([len(b) for b in table], np.int64) for table in tables]
+        # What is written for an id inside and at the end of its side of a group.
+        self.written = [
+            [np.array([f"{i}{mark}" for i in range(len(table))], object) for mark in marks]
+            for table, marks in zip(tables, (",|", ",;"))
         ]
 
     def _covers(self, side: int, ids: np.ndarray, data: bytes) -> bool:
         table = (self.codec, self.pieces)[side].bytes_of
         return b"".join(map(table.__getitem__, ids.tolist())) == data
 
-    def tokens(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Per text the ids of both; none where the text is null or empty, or the bytes of
-        either's tokens aren't those of space + text."""
+    def tokens(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per text the ids of both; none where the text is empty, or the bytes of either's
+        tokens aren't those of space + text."""
         none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        second = self.pieces.encode([t or "" for t in texts])
-        for text, b in zip(texts, second):
-            if not text:
+        for text, b in zip(texts, self.pieces.encode(texts)):
+            data = b" " + text.encode()
+            b = np.array(b, np.int64)
+            if not text or not self._covers(1, b, data):
                 yield none
                 continue
-            data = b" " + text.encode()
-            a, b = self.codec.encode(data).astype(np.int64), np.array(b, np.int64)
-            yield (a, b) if self._covers(0, a, data) and self._covers(1, b, data) else none
-
-    def ends(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b])
-
-    def links(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, int]:
-        """A id << 32 | B id of every pair of overlapping tokens in order, and the number of
-        groups."""
-        end_a, end_b = self.ends(a, b)
-        every = np.union1d(end_a, end_b)
-        pairs = a[np.searchsorted(end_a, every)] << 32 | b[np.searchsorted(end_b, every)]
-        return pairs, len(a) + len(b) - len(every)
-
-    def groups(self, a: np.ndarray, b: np.ndarray) -> str:
-        """The groups as `a1,a2|b1;a3|b2,b3`."""
-        end_a, end_b = self.ends(a, b)
-        last_a, last_b = np.isin(end_a, end_b), np.isin(end_b, end_a)
-        group_a = np.cumsum(last_a) - last_a
-        group_b = np.cumsum(last_b) - last_b
-        place_a = np.arange(len(a)) + np.searchsorted(group_b, group_a)
-        place_b = np.arange(len(b)) + np.searchsorted(group_a, group_b, side="right")
-        parts = np.empty(2 * (len(a) + len(b)), object)
-        parts[2 * place_a], parts[2 * place_b] = a, b
-        parts[2 * place_a + 1] = np.where(last_a, "|", ",")
-        parts[2 * place_b + 1] = np.where(last_b, ";", ",")
-        return "".join(map(str, parts[:-1].tolist()))
+            a = self.codec.encode(data).astype(np.int64)
+            yield (a, b) if self._covers(0, a, data) else none
+
+    def links(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, int, str]:
+        """A id << 32 | B id of every pair of overlapping tokens in order, the number of groups,
+        and the groups as `a1,a2|b1;a3|b2,b3`."""
+        if not len(a):
+            return np.zeros(0, np.int64), 0, ""
+        end_a, end_b = np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b])
+        cuts_a, cuts_b = np.zeros((2, end_a[-1] + 1), bool)
+        cuts_a[end_a] = cuts_b[end_b] = True
+        every = np.flatnonzero(cuts_a | cuts_b)
+
+        def before(cuts: np.ndarray) -> np.ndarray:
+            return np.cumsum(cuts) - cuts
+
+        pairs = a[before(cuts_a[every])] << 32 | b[before(cuts_b[every])]
+
+        last_a, last_b = cuts_b[end_a], cuts_a[end_b]
+        group_a, group_b = before(last_a), before(last_b)
+        n = int(group_a[-1]) + 1
+        upto_a = np.cumsum(np.bincount(group_a, minlength=n))
+        of_b = np.bincount(group_b, minlength=n)
+        parts = np.empty(len(a) + len(b), object)
+        for side, ids, last, place in (
+            (0, a, last_a, np.arange(len(a)) + (np.cumsum(of_b) - of_b)[group_a]),
+            (1, b, last_b, np.arange(len(b)) + upto_a[group_b]),
+        ):
+            inside, ending = self.written[side]
+            parts[place] = np.where(last, ending[ids], inside[ids])
+        return pairs, n, "".join(parts.tolist())[:-1]
 
 
 def _blocks(aligner: Aligner, batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -141,14 +149,12 @@ def _blocks(aligner: Aligner, batches: Iterator[pa.RecordBatch]) -> Iterator[dic
             part = batch.slice(first, _TOGETHER)
             texts, copies = part.column(0).to_pylist(), part.column(1).to_pylist()
             for text, n, (a, b) in zip(texts, copies, aligner.tokens(texts)):
-                pairs, groups = aligner.links(a, b)
+                pairs, n_groups, groups = aligner.links(a, b)
                 distinct, times = np.unique(pairs, return_counts=True)
                 measures = {
                     "text_key": hashlib.sha256(text.encode()).digest(),
-                    "n_a": len(a), "n_b": len(b), "n_groups": groups, "n_links": len(pairs),
-                    "groups_sha256": (
-                        hashlib.sha256(aligner.groups(a, b).encode()).hexdigest() if len(a) else ""
-                    ),
+                    "n_a": len(a), "n_b": len(b), "n_groups": n_groups, "n_links": len(pairs),
+                    "groups_sha256": hashlib.sha256(groups.encode()).hexdigest() if groups else "",
                 }
                 held.append((measures, n, distinct, times))
                 size += len(pairs)
@@ -164,7 +170,7 @@ _TEXT = (
     " groups_sha256: string"
 )
 _MEASURES = f"{_TEXT}, n_best: bigint, count_sum: bigint"
-_BLOCKS = f"pairs: binary, docs: binary, texts: array<struct<{_TEXT}, places: binary, times: binary>>"
+_BLOCKS = f"pairs: binary, docs: binary, places: binary, times: binary, texts: array<struct<{_TEXT}>>"
 
 
 def _arrow(ddl: str) -> pa.Schema:
@@ -172,21 +178,21 @@ def _arrow(ddl: str) -> pa.Schema:
 
 
 def _block(held: list[tuple]) -> dict:
-    """One row: the block's distinct pairs with the documents that hold them, and per text its
-    measures and its pairs by their place among the block's."""
-    edges = np.cumsum([0, *(len(pairs) for *_, pairs, _ in held)])
-    weights = np.repeat([copies for _, copies, *_ in held], np.diff(edges))
+    """One row: the block's distinct pairs, with the documents that hold them; the pairs of its
+    texts, each as the text's number times all distinct pairs plus the pair's place among these,
+    with the times it occurs; and the texts' measures."""
+    sizes = [len(pairs) for *_, pairs, _ in held]
     pairs, place = np.unique(np.concatenate([pairs for *_, pairs, _ in held]), return_inverse=True)
-    docs = np.zeros(len(pairs), np.uint64)
-    np.add.at(docs, place, weights.astype(np.uint64))
+    weights = np.repeat([copies for _, copies, *_ in held], sizes)
+    order = np.argsort(place, kind="stable")
+    starts = np.searchsorted(place[order], np.arange(len(pairs)))
+    docs = np.add.reduceat(weights[order], starts) if len(pairs) else weights
     return {
         "pairs": pack_sorted(pairs.astype(np.uint64)),
-        "docs": pack(docs),
-        "texts": [
-            measures
-            | {"places": pack_sorted(place[i:j].astype(np.uint64)), "times": pack(times.astype(np.uint64))}
-            for (measures, *_, times), i, j in zip(held, edges, edges[1:])
-        ],
+        "docs": pack(docs.astype(np.uint64)),
+        "places": pack_sorted(np.repeat(np.arange(len(held)), sizes) * len(pairs) + place),
+        "times": pack(np.concatenate([times for *_, times in held]).astype(np.uint64)),
+        "texts": [measures for measures, *_ in held],
     }
 
 
@@ -233,15 +239,18 @@ def _summed(schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
     def run(block: pa.Table, facts: pa.Table) -> pa.Table:
         facts = facts.sort_by("pair")
+        texts = pa.chunked_array(block.column("texts")).combine_chunks().flatten()
         count = facts.column("count").to_numpy()
         best = facts.column("best").to_numpy().astype(np.int64)
-        rows = []
-        for text in block.column("texts")[0].as_py():
-            place, times = (unpack_sorted(text.pop("places")), unpack(text.pop("times")))
-            place, times = place.astype(np.int64), times.astype(np.int64)
-            sums = {"n_best": int(times @ best[place]), "count_sum": int(times @ count[place])}
-            rows.append(text | sums)
-        return pa.Table.from_pylist(rows, schema)
+        places = unpack_sorted(block.column("places")[0].as_py()).astype(np.int64)
+        times = unpack(block.column("times")[0].as_py()).astype(np.int64)
+        owner, place = np.divmod(places, max(1, len(count)))
+        edges = np.searchsorted(owner, np.arange(len(texts) + 1))
+        columns = texts.flatten()
+        for of in (best, count):
+            upto = np.concatenate([[0], np.cumsum(times * of[place])])
+            columns.append(pa.array(upto[edges[1:]] - upto[edges[:-1]]))
+        return pa.Table.from_arrays(columns, schema=schema)
 
     return run
 
@@ -267,7 +276,7 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, scratch: Scratch) ->
     counts = scratch.keep(pair_counts(asked), "counts")
     facts = asked.select("block", "pair").join(counts, "pair")
     measures = scratch.keep(
-        blocks.select("block", "texts").groupBy("block").cogroup(facts.groupBy("block"))
+        blocks.select("block", "places", "times", "texts").groupBy("block").cogroup(facts.groupBy("block"))
         .applyInArrow(_summed(_arrow(_MEASURES)), _MEASURES),
         "measures",
     )
