@@ -46,7 +46,7 @@ from loanmill.sources.scratch import Scratch
 # the most frequent ones. Any such set gives the same links.
 HEAVY, HEAVY_KEPT = 64, 1 << 20
 # Shingles a task gathers before it packs them, and shingles of a range.
-_FLUSH, _RANGE = 1 << 19, 1 << 20
+_FLUSH, _RANGE = 1 << 19, 1 << 19
 # Rows of two numbers that are sent to every task, about 50 MB; more are dealt by key.
 _SENT = 1_000_000
 # Rounds of joining before the full search, at most. Any number gives the same groups.
@@ -80,19 +80,34 @@ def _class_key(s: np.ndarray) -> tuple[int, int]:
     return int(_signed(mixed(first))[0]), int(_signed(mixed(second))[0])
 
 
+def _new_classes(texts: Iterator[pa.Array], seed: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Key and shingles of each class, once a task: copies that a task meets count as one."""
+    met = set()
+    for s in (s for column in texts for s in shingle_sets(column, seed)):
+        key = _class_key(s)
+        if len(s) and key not in met:
+            met.add(key)
+            yield key[0], s
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def _members(docs: DataFrame, seed: int) -> DataFrame:
-    """`doc_id`, `n`, `cid`, `check`; the last two null without shingles."""
+    """`doc_id`, `text_key`, `n`, `cid`, `check`; the last two null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(len(s), *_class_key(s)) for s in shingle_sets(batch.column(1), seed)]
+            rows = [(len(s), *_class_key(s)) for s in shingle_sets(batch.column(2), seed)]
             n, cid, check = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, cid, check))],
-                names=["doc_id", "n", "cid", "check"],
+                [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (n, cid, check))],
+                names=["doc_id", "text_key", "n", "cid", "check"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cid long, check long")
+    keyed = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
+    return keyed.mapInArrow(run, "doc_id long, text_key long, n long, cid long, check long")
 
 
 def _range_bits(total: int) -> int:
@@ -140,8 +155,8 @@ def _heavy(docs: DataFrame, total: int, seed: int) -> tuple[np.ndarray, np.uint6
         return _batch(["part", "packed"], rows, [pa.int64(), pa.binary()])
 
     def packed(batches):
-        sets = (s for batch in batches for s in shingle_sets(batch.column(0), seed))
-        return _flushed(sets, len, out)
+        classes = _new_classes((batch.column(0) for batch in batches), seed)
+        return _flushed((s for _, s in classes), len, out)
 
     def frequent(frame: pd.DataFrame) -> pd.DataFrame:
         every = np.concatenate([unpack_sorted(x) for x in frame["packed"]])
@@ -188,10 +203,8 @@ def _shared(docs: DataFrame, total: int, seed: int, least: int) -> DataFrame:
         return _batch(["part", "packed", "place", "names", "pos"], rows, kinds)
 
     def packed(batches):
-        sets = (s for batch in batches for s in shingle_sets(batch.column(0), seed))
-        return _flushed(
-            ((_class_key(s)[0], prefix(s)) for s in sets if len(s)), lambda x: len(x[1]), out
-        )
+        classes = _new_classes((batch.column(0) for batch in batches), seed)
+        return _flushed(((cid, prefix(s)) for cid, s in classes), lambda x: len(x[1]), out)
 
     def lists(frame: pd.DataFrame) -> pd.DataFrame:
         shingles = np.concatenate([unpack_sorted(x) for x in frame["packed"]])
@@ -204,7 +217,7 @@ def _shared(docs: DataFrame, total: int, seed: int, least: int) -> DataFrame:
         pos = np.concatenate([unpack(x) for x in frame["pos"]]).astype(np.int64)
         order = np.lexsort((owner, shingles))
         shingles, owner, pos = shingles[order], owner[order], pos[order]
-        # Documents with equal sets brought equal entries.
+        # Several tasks may have met a class.
         fresh = np.r_[True, (np.diff(shingles) != 0) | (np.diff(owner) != 0)]
         shingles, owner, pos = shingles[fresh], owner[fresh], pos[fresh]
         _, which, sizes = np.unique(shingles, return_inverse=True, return_counts=True)
@@ -225,19 +238,21 @@ def _small(rows: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
-    """`id`, `shingles` (sorted, as bytes) of the classes in `wanted` (`cid`, `rep`, `id`)."""
+    """`id`, `shingles` (sorted, as bytes) of the classes in `wanted` (`cid`, `text_key` of one of
+    its texts, `id`)."""
+
+    def out(held):
+        rows = [(cid, s.tobytes()) for cid, s in held]
+        return _batch(["cid", "shingles"], rows, [pa.int64(), pa.binary()])
 
     def run(batches):
-        for batch in batches:
-            rows = [
-                (_class_key(s)[0], s.tobytes()) for s in shingle_sets(batch.column(0), seed) if len(s)
-            ]
-            yield _batch(["cid", "shingles"], rows, [pa.int64(), pa.binary()])
+        classes = _new_classes((batch.column(0) for batch in batches), seed)
+        return _flushed(classes, lambda x: len(x[1]), out)
 
-    reps = _small(wanted.select(F.col("rep").alias("doc_id")))
-    texts = docs.join(reps, "doc_id", "left_semi")
+    keyed = docs.select(text_key(F.col("text")).alias("text_key"), "text")
+    texts = keyed.join(_small(wanted.select("text_key")), "text_key", "left_semi")
     made = texts.select("text").mapInArrow(run, "cid long, shingles binary")
-    # A doc_id that stands on several rows also brings sets nobody asked for.
+    # Texts whose keys collide also bring sets nobody asked for.
     asked = made.join(_small(wanted.select("cid", "id")), "cid")
     return asked.groupBy("id").agg(F.first("shingles").alias("shingles"))
 
@@ -394,24 +409,31 @@ def _search(open_lists: DataFrame, least: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, least: int = 80) -> DataFrame:
-    """`doc_id`, `n_shingles`, `component_id` (smallest doc_id reachable by links) per row.
+    """`doc_id`, `n_shingles`, `component_id` (smallest doc_id reachable by links) per row; also
+    `text_key` (of its text) and `group`, the same for just the rows of one component and null
+    without shingles.
 
     Two documents link when 100 * |common shingles| >= `least` * |all shingles of both|.
-    Documents without words, or null, have no shingles and stand alone, as does one with a
-    null doc_id that links with nothing. Rows with equal texts are in one component. An
-    empty table gives no rows.
+    Documents without words, or null, have no shingles and stand alone. A null doc_id links as
+    any other and names no component while there is another; one of nulls only is named null.
+    Rows with equal texts are in one component. An empty table gives no rows.
     """
     ship(docs.sparkSession)
     for seed in range(8):
         members = scratch.keep(_members(docs, seed), f"members_{seed}")
         classes = scratch.keep(
             members.where("cid IS NOT NULL").groupBy("cid", "check")
-            .agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")),
+            .agg(
+                F.min("doc_id").alias("rep"), F.max("n").alias("n"),
+                F.min("text_key").alias("text_key"),
+            ),
             f"classes_{seed}",
         )
         row = classes.agg(F.count("*").alias("all"), F.countDistinct("cid").alias("ids")).first()
         if row["all"] == row["ids"]:
             break
+    else:
+        raise RuntimeError("different sets of shingles share a key under every seed")
     total = members.agg(F.sum("n")).first()[0] or 0
 
     shared = scratch.keep(_shared(docs, total, seed, least), "shared")
@@ -426,7 +448,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, least: int = 80) -> DataF
         .join(classes, "cid")
         .where(F.size("places") >= few)
         .select(
-            "cid", "rep", "n", (F.size("places") / prefix_size).alias("share"),
+            "cid", "rep", "text_key", "n", (F.size("places") / prefix_size).alias("share"),
             (n - nth + few - 1).alias("room"),
         )
         .where(F.col("room") >= F.ceil(n * least / 100))
@@ -434,7 +456,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, least: int = 80) -> DataF
         .withColumn("id", F.monotonically_increasing_id())
     )
     active = scratch.keep(active, "active")
-    entries = scratch.keep(shared.join(active.drop("rep"), "cid").drop("cid"), "entries")
+    entries = scratch.keep(shared.join(active.drop("rep", "text_key"), "cid").drop("cid"), "entries")
     sets = scratch.keep(_sets(docs, active, seed), "sets")
 
     links, tried, current = None, None, entries.withColumn("label", F.col("id"))
@@ -459,13 +481,17 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, least: int = 80) -> DataF
     labels = components(links.union(more), scratch.inner("near"))
 
     grouped = active.join(labels, "id").select("cid", "rep", "label")
-    first = grouped.groupBy("label").agg(F.min("rep").alias("component_id"))
-    grouped = grouped.join(first, "label").select("cid", "component_id")
-    named = classes.join(grouped, "cid", "left").select(
-        "cid", F.coalesce("component_id", "rep").alias("component_id")
+    first = grouped.groupBy("label").agg(
+        F.min("rep").alias("component_id"), F.min("cid").alias("group")
     )
+    grouped = grouped.join(first, "label").select("cid", "component_id", "group")
+    alone = F.col("group").isNull()
+    named = classes.join(grouped, "cid", "left").select(
+        "cid", F.when(alone, F.col("rep")).otherwise(F.col("component_id")).alias("component_id"),
+        F.coalesce("group", "cid").alias("group"),
+    )
     named = scratch.keep(named, "named")
     return members.join(named, "cid", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-    )
+        F.coalesce("component_id", "doc_id").alias("component_id"), "text_key", "group",
+    )

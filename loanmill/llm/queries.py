@@ -120,7 +120,8 @@ def op9_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return divide_skip.near_duplicates(docs, session_scratch(spark))
+    groups = divide_skip.near_duplicates(docs, session_scratch(spark))
+    return groups.select("doc_id", "n_shingles", "component_id")
 
 
 def op11_bpe_fragments(

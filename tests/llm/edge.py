@@ -46,6 +46,7 @@ def odd_rows():
         (9, "one two three four five", "é"),
         (10, prose(2, 20_000), "b"),
         (None, base, "c"),
+        (None, base.replace("w1x49 ", "changed "), "c"),
         (None, None, None),
         (11, "word " * 300, "c"),
         (12, "a\n\nb\n" + "A line that is long enough to count as a repeated one\n" * 2, "a"),

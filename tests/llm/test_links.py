@@ -49,6 +49,16 @@ def test_odd_rows(spark, folder):
     assert found(frame(spark, odd_rows()), folder) == groups(odd_rows())
 
 
+@pytest.mark.parametrize("ids", [(None, 7), (7, None), (None, None), (7, 7)])
+def test_links_of_null_and_shared_ids(spark, folder, ids):
+    near = prose(3, 100).replace("w3x35 ", "changed ")
+    rows = [(ids[0], prose(3, 100), "a"), (ids[1], near, "a"), (8, prose(4, 100), "a"), (None, prose(5, 9), "a")]
+    rows += [(9, prose(6, 60), "a"), (9, prose(7, 60), "a"), (None, None, "a")]
+    assert found(frame(spark, rows), folder) == groups(rows)
+    got = divide_skip.near_duplicates(frame(spark, rows), Scratch(spark, folder + "/again")).collect()
+    assert len({r.group for r in got}) == 6 and sum(r.group is None for r in got) == 1
+
+
 def edited(draw, text, n):
     w = text.split(" ")
     for _ in range(n):

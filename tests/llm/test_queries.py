@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from edge import frame, odd_rows, prose, words
 from pyspark.sql import functions as F
-from test_links import groups
+from test_links import groups, shingles
 from test_native import shares
 
 import corpus_pipeline
@@ -68,6 +68,31 @@ def test_sql_and_query_agree_on_odd_rows(spark, folder, name, sql):
     assert got == Counter(result.fetchall())
 
 
+def one_of_each(rows):
+    """Of every group the row with the smallest doc_id, null last; wordless texts all."""
+    sets, left, kept = [shingles(t) for _, t, _ in rows], set(range(len(rows))), Counter()
+    while left:
+        group, new = set(), {min(left)}
+        while new:
+            group |= new
+            new = {
+                j for j in left - group for i in new
+                if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+            }
+        left -= group
+        kept[min(((rows[i][0] is None, rows[i][0], rows[i][1]) for i in group), key=lambda r: r[:2] if r[1] is not None else (True, 0))[1:]] = 1
+    return kept
+
+
+def test_near_copies_of_null_and_shared_ids_go(spark, folder):
+    near = prose(3, 100).replace("w3x35 ", "changed ")
+    rows = [(None, prose(3, 100), "a"), (7, near, "a"), (9, prose(4, 60), "a"), (9, prose(5, 60), "a")]
+    rows += [(12, prose(5, 60), "a"), (None, prose(6, 50), "a"), (None, prose(6, 50), "b"), (13, "", "a")]
+    got = corpus_pipeline.without_near_copies(spark, frame(spark, rows), folder).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == one_of_each(rows)
+    assert len(got) == 5
+
+
 def test_pipeline_by_hand(spark, folder):
     rows = odd_with(spark, folder)
     docs = spark.read.parquet(f"{folder}/documents.parquet")
@@ -79,13 +104,8 @@ def test_pipeline_by_hand(spark, folder):
     assert kept.columns == docs.columns and kept.count() == len(rows)  # no labels, no rejects
 
     alone = stages[names[1]](spark, docs, folder)
-    stay = Counter()
-    for doc_id, _, component in groups(rows):
-        stay[doc_id] = int(doc_id == component)
     assert alone.columns == docs.columns
-    assert Counter(r.doc_id for r in alone.where("doc_id IS NOT NULL").collect()) == +Counter(
-        {i: 1 for i, n in stay.items() if n and i is not None}
-    )
+    assert Counter((r.doc_id, r.text) for r in alone.collect()) == one_of_each(rows)
 
     clean = stages[names[2]](spark, docs, folder)
     assert {r[0] for r in rows} - {r.doc_id for r in clean.collect()} == {300}
