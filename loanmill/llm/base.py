@@ -21,13 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _shipped: set[str] = set()
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers of executors, once per application.
 
-    The archive lies with the driver, which serves it to them.
+    The archive lies with the driver, which serves it to them. Batches hold four megabytes of
+    texts then, where the session doesn't say how many; ten thousand long texts take too much
+    memory on both sides.
     """
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, str(4 << 20))
     if spark.sparkContext.applicationId not in _shipped:
         root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
         to = os.path.join(tempfile.mkdtemp(prefix="run-"), "loanmill")
