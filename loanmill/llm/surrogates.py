@@ -220,11 +220,26 @@ def _member(form: Column, number: Column) -> Column:
     return F.aggregate(F.split(form, ""), start, more)["made"]
 
 
+def _spelled(kind: Column, entity: Column, key: str) -> Column:
+    """A text of 60 keyed bits in no form that entities have, where a form's texts run out."""
+    seed = F.sha2(F.concat(F.lit(f"{key}|spare|"), kind, F.lit("|"), entity), 256)
+    digits = F.lpad(F.conv(F.substring(seed, F.lit(1), F.lit(15)), 16, 10), 19, "0")
+    letters = F.translate(F.substring(seed, F.lit(1), F.lit(15)), "0123456789abcdef", "bcdfghklmnprstvz")
+    return (
+        F.when(kind == "email", F.concat(F.lit("user."), letters, F.lit("@"), F.substring_index(entity, "@", -1)))
+        .when(kind == "ip", F.regexp_replace(digits, r"(.{3})(?=.)", "$1."))
+        .when(kind == "word", F.initcap(letters))
+        .otherwise(digits)
+    )
+
+
 def _ranked(checked: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     """Exact surrogates for all entities of the forms in which a draw is still open.
 
     Entities and free texts of a form are both ranked by a keyed hash and meet by rank. Real
-    ones are dealt out only where a form has no other left, and none to itself.
+    ones are dealt out only where a form has no other left, and none to itself: an entity
+    without a partner gets a longer text of its own, as do addresses and card numbers, whose
+    forms hold texts that are none.
     """
     form = ["kind", "head", "form", "tail"]
     rank = lambda c: F.xxhash64(F.lit(f"{key}|rank"), c)
@@ -234,8 +249,12 @@ def _ranked(checked: DataFrame, key: str, scratch: Scratch) -> DataFrame:
         formed.groupBy(*form).agg(F.max("again").alias("open"), F.count("*").alias("n")).where("open"),
         "busy",
     )
-    if not busy.where(kind.isin("ip", "card")).isEmpty():
-        raise ValueError("addresses or card numbers without a surrogate of their own")
+    spelled = _spelled(kind, F.col("entity"), key)
+    strict = kind.isin("ip", "card")
+    checked = checked.withColumn(
+        "surrogate", F.when(F.col("again") & strict, spelled).otherwise(F.col("surrogate"))
+    )
+    busy = busy.where(~strict)
     real = checked.select("kind", F.col("entity").alias("member"), *_form(kind, F.col("entity")))
     real = scratch.keep(real.join(busy, form, "left_semi"), "busy_real")
     held = real.groupBy(*form).agg(F.count("*").alias("held"))
@@ -269,11 +288,10 @@ def _ranked(checked: DataFrame, key: str, scratch: Scratch) -> DataFrame:
         formed.join(busy.select(*form), form).join(own, [*form, "entity"], "left").join(counts, form, "left")
         .withColumn("place", place)
         .join(texts.select(*form, "place", F.col("member").alias("surrogate")), [*form, "place"], "left")
-        .select("kind", "entity", "surrogate")
+        .withColumn("none", F.coalesce(F.col("surrogate") == F.col("entity"), F.lit(True)))
+        .select("kind", "entity", F.when(F.col("none"), spelled).otherwise(F.col("surrogate")).alias("surrogate"))
     )
     dealt = scratch.keep(dealt, "dealt")
-    if not dealt.where("surrogate IS NULL OR surrogate = entity").isEmpty():
-        raise ValueError("more entities of a form than texts of it")
     rest = checked.select("kind", "entity", "surrogate", *_form(kind, F.col("surrogate")))
     return rest.join(busy, form, "left_anti").select("kind", "entity", "surrogate").union(dealt)
 

@@ -399,3 +399,27 @@ def test_wrapped_notices_and_titles(spark, documents):
             assert [g[1] for g in model.licences(f"Words\n\n## {title}\n\nWords", 0.5, 0.6)] == [family], title
     for text in ["A license of the MIT", "apache helicopter 2.0", "public\nversion of\nthis work", "license"]:
         assert model.licences(text, 0.5, 0.6) == []
+
+
+@pytest.mark.parametrize("key", ["a", "b", "c", "corpus-key-1"])
+def test_entities_whose_form_has_no_other_text(spark, scratch, key):
+    """A third of all rows hold one such address; those of one form exchange, or are spelled."""
+    texts = ["mail _@x.com now"] * 6 + ["mail _@y.com now", "mail +@z.org", "mail a.b@x.com", "plain"] * 3
+    docs = frame(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    got = surrogates.replace_entities(docs, key, scratch).collect()
+    new = {}
+    for r in got:
+        assert new.setdefault(r.row.text, r.safe_text) == r.safe_text
+    assert len(set(new.values())) == len(new) == 5
+    assert new["plain"] == "plain" and all(new[t] != t for t in new if t != "plain")
+    assert not any(s in texts for t, s in new.items() if t != "plain")
+
+
+def test_addresses_and_cards_that_no_draw_settles(spark, scratch, monkeypatch):
+    monkeypatch.setattr(surrogates, "_DRAWS", 1)
+    monkeypatch.setattr(surrogates, "_drawn", lambda seed, i, n: F.pmod(F.length(seed) + i, F.lit(n)))
+    entities = spark.range(2, 40).select(
+        F.lit("ip").alias("kind"), F.concat_ws(".", F.lit("10.0.0"), F.col("id").cast("string")).alias("entity")
+    )
+    got = surrogates.assigned(entities, "k", scratch).collect()
+    assert len({r.surrogate for r in got}) == 38 and not any(r.surrogate == r.entity for r in got)
