@@ -273,10 +273,12 @@ def smote(spark, sf):
     scratch = session_scratch(spark)
     table = features.training_table(catalog.training_loans(spark, sf, scratch))
     kept = scratch.keep(table, "table")
-    ready = training.feature_rows(features.fit_preprocessor(kept), kept, "loan_id")
+    preprocessor = features.fit_preprocessor(kept)
+    ready = training.feature_rows(preprocessor, kept, "loan_id")
     grown = balance(scratch.keep(ready, "ready"), scratch)
+    slots = features.sparse_features(features.level_counts(preprocessor))
     return grown.groupBy(F.col("label").cast("int").alias("label"), "synthetic").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("width")
+        F.count(F.lit(1)).alias("n"), F.max(slots["size"]).alias("width")
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import age_bucket, experience_bucket, gender_code, number_or_null
@@ -97,3 +97,41 @@ def fit_preprocessor(train: DataFrame) -> PipelineModel:
     inputs = [f"{c}_scaled" for c in NUMERIC] + [f"{c}_hot" for c in CATEGORICAL]
     assembler = VectorAssembler(inputCols=inputs, outputCol="features")
     return Pipeline(stages=[fit_scaler(train), one_hot(), assembler]).fit(train)
+
+
+def level_counts(preprocessor: PipelineModel) -> list[int]:
+    """How many levels each category has."""
+    return [len(labels) for labels in preprocessor.stages[1].stages[0].labelsArray]
+
+
+def compact_rows(preprocessor: PipelineModel, rows: DataFrame, *also: str | Column) -> DataFrame:
+    """`numbers` (scaled) and `levels` (the place of each category's level, as many as it has
+    levels for one that is none of them) of every row: thirteen values instead of a slot per
+    level."""
+    ready = PipelineModel([preprocessor.stages[0], preprocessor.stages[1].stages[0]]).transform(rows)
+    return ready.select(
+        *also,
+        F.array(*(F.col(f"{c}_scaled") for c in NUMERIC)).alias("numbers"),
+        F.array(*(F.col(f"{c}_index").cast("int") for c in CATEGORICAL)).alias("levels"),
+    )
+
+
+def sparse_features(levels_of: list[int]) -> Column:
+    """The slots of `numbers`, `levels`, `other_levels` and `share` as a vector is stored: the
+    numbers, then of each category the slots of one level or two."""
+    starts, width = [], len(NUMERIC)
+    for n in levels_of:
+        starts.append(width)
+        width += n
+    slot = "struct(CAST({start} + {level} AS INT) AS i, {weight} AS x)"
+    parts = [f"struct({i} AS i, numbers[{i}] AS x)" for i in range(len(NUMERIC))]
+    for c, (start, n) in enumerate(zip(starts, levels_of)):
+        for column, weight in (("levels", f"if(levels[{c}] = other_levels[{c}], 1.0D, 1.0D - share)"),
+                               ("other_levels", f"if(levels[{c}] = other_levels[{c}], 0.0D, share)")):
+            level = f"{column}[{c}]"
+            parts.append(f"if({level} < {n}, {slot.format(start=start, level=level, weight=weight)}, NULL)")
+    slots = f"array_sort(filter(array({', '.join(parts)}), s -> s IS NOT NULL AND s.x <> 0))"
+    return F.expr(
+        f"struct(CAST(0 AS TINYINT) AS type, {width} AS size, transform({slots}, s -> s.i) AS indices,"
+        f" transform({slots}, s -> s.x) AS values)"
+    )
