@@ -106,9 +106,11 @@ def age_by_gender(loans: DataFrame) -> DataFrame:
 
 def bin_width(low: Column, high: Column, bins: int) -> Column:
     """Smallest of 1, 2, 5 times a power of ten, at least 1, by which `bins` bins hold all."""
-    steps = [F.lit(float(m * 10**e)) for e in range(4) for m in (1, 2, 5)]
+    # No smaller power than that of a bin's even share can do, and ten times it always does.
+    power = F.pow(F.lit(10.0), F.floor(F.log10(F.greatest((high - low) / bins, F.lit(1.0)))))
+    steps = [power * m for m in (1.0, 2.0, 5.0, 10.0, 20.0, 50.0)]
     fits = (F.when(F.floor(high / w) - F.floor(low / w) < bins, w) for w in steps)
-    return F.coalesce(*fits, high - low + 1.0)
+    return F.coalesce(*fits)
 
 
 def age_histogram(loans: DataFrame, bins: int = 30) -> DataFrame:

@@ -261,7 +261,7 @@ ORACLES: dict[str, str] = {
         FROM loans, width WHERE person_age IS NOT NULL GROUP BY ALL""",
         span="SELECT min(person_age) AS low, max(person_age) AS high FROM loans",
         width="""SELECT min(CAST(s * pow(10, e) AS DOUBLE)) AS width FROM span,
-            (VALUES (1), (2), (5)) a(s), (VALUES (0), (1), (2), (3)) b(e)
+            (VALUES (1), (2), (5)) a(s), range(0, 18) b(e)
             WHERE floor(high / (s * pow(10, e))) - floor(low / (s * pow(10, e))) < 30""",
     ),
     "by_education": _breakdown("person_education"),

@@ -12,7 +12,7 @@ from ..operators import clean
 from ..operators.numbering import numbered
 from ..schemas import LOAN_COLUMNS
 from ..sources.scratch import Scratch
-from ..sources.store import LoanStore, now
+from ..sources.store import LoanStore, LostRace, now
 
 _OUTCOMES = ("valid", "reject", "unclassified", "late")
 
@@ -30,16 +30,21 @@ def run_etl(store: LoanStore, at: dt.datetime | None = None) -> RunResult:
 
     A record counts as new when its earliest upload lies after the mark, the time of the
     last successful run. Instead of deduplicating all history again, the pending uploads
-    are deduplicated and held against the keys of every record met before. A failed run
-    leaves only its FAILED row; the error is raised again.
+    are deduplicated and held against the keys of every record met before. A run that finds
+    another one committed meanwhile starts again with what is left. A failed run leaves only
+    its FAILED row; the error is raised again.
     """
     at = at or now()
-    run_id = f"{at:%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
-    try:
-        result = _load(store, run_id, at)
-    except Exception as error:
-        store.log_failure(run_id, at, str(error))
-        raise
+    while True:
+        run_id = f"{at:%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+        try:
+            result = _load(store, run_id, at)
+            break
+        except LostRace:
+            continue
+        except Exception as error:
+            store.log_failure(run_id, at, str(error))
+            raise
     # Committed: a refresh that fails is raised, but the run has not failed.
     store.refresh_view()
     return result
@@ -75,5 +80,5 @@ def _load(store: LoanStore, run_id: str, at: dt.datetime) -> RunResult:
             empty = store.raw([])
             store.write_loans(run_id, clean.valid_rows(empty).withColumn("loan_id", F.lit(0)))
             store.write_rejects(run_id, clean.reject_rows(empty))
-    store.commit(run_id, at, pending, last_id, counts)
+    store.commit(run_id, at, done, pending, last_id, counts)
     return RunResult(run_id, counts["valid"], counts["reject"], counts["unclassified"])

@@ -1,18 +1,23 @@
 """The loan tables as Parquet folders under one root.
 
 Every upload and every run writes folders of its own. A row in `uploads` makes an upload
-visible and a SUCCESS row in `etl_log`, written last, makes a run visible; readers name
-visible folders only, so half-written ones are never seen. One run at a time is assumed.
+visible and a numbered file in `commits`, moved there whole, makes a run visible; readers name
+visible folders only, so half-written ones are never seen. A number is taken once: of runs that
+began with the same commits one gets the next number, and the others must look again. That
+rests on a rename that refuses to replace a file, as HDFS has it; a store for bare objects lets
+one run at a time in.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import json
 import uuid
 from dataclasses import dataclass
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,11 +32,15 @@ _UPLOADS = T.StructType(
         T.StructField("uploaded_at", T.TimestampNTZType()),
     ]
 )
-_RUNS = T.StructType(
+_COMMITS = T.StructType(
     [
+        T.StructField("number", T.LongType()),
         T.StructField("run_id", T.StringType()),
+        T.StructField("date_time", T.TimestampNTZType()),
         T.StructField("uploads", T.ArrayType(T.StringType())),
         T.StructField("last_loan_id", T.LongType()),
+        T.StructField("success_count", T.LongType()),
+        T.StructField("reject_count", T.LongType()),
         T.StructField("unclassified_count", T.LongType()),
         T.StructField("late_count", T.LongType()),
     ]
@@ -41,10 +50,11 @@ _LOG = T.StructType([T.StructField("run_id", T.StringType()), *LOG_SCHEMA.fields
 _SETTINGS = T.StructType(
     [T.StructField("generation", T.IntegerType()), T.StructField("key_buckets", T.IntegerType())]
 )
+# A view shows the commits up to a number.
 _VIEWS = T.StructType(
     [
         T.StructField("refreshed_at", T.TimestampNTZType()),
-        T.StructField("runs", T.ArrayType(T.StringType())),
+        T.StructField("commits", T.LongType()),
     ]
 )
 
@@ -55,10 +65,15 @@ def now() -> dt.datetime:
     return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
 
 
+class LostRace(RuntimeError):
+    """Another run has been committed since this one looked."""
+
+
 @dataclass(frozen=True)
 class Committed:
     """What the successful runs so far have done."""
 
+    number: int
     runs: list[str]
     uploads: set[str]
     mark: dt.datetime | None
@@ -73,7 +88,6 @@ class LoanStore:
         buckets = key_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self._create("settings", _SETTINGS, [(0, buckets)])
         self._create("uploads", _UPLOADS)
-        self._create("runs", _RUNS)
         self._create("etl_log", _LOG)
         self._create("views", _VIEWS)
         self._open_keys()
@@ -147,15 +161,25 @@ class LoanStore:
 
     # --- runs ------------------------------------------------------------------
 
-    def committed(self) -> Committed:
-        """State left by the successful runs. Failed ones do not move the mark."""
-        log = self._table("etl_log", _LOG).where(F.col("status") == SUCCESS)
-        times = {r.run_id: r.date_time for r in log.collect()}
-        done = [r for r in self._table("runs", _RUNS).collect() if r.run_id in times]
+    def _commits(self) -> DataFrame:
+        folder = self._path(f"{self.root}/commits")
+        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+            return self.spark.createDataFrame([], _COMMITS)
+        return self.spark.read.schema(_COMMITS).json(f"{self.root}/commits")
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(name)
+
+    def committed(self, upto: int | None = None) -> Committed:
+        """State left by the successful runs, or the first `upto` of them. Failed ones do not
+        move the mark."""
+        done = self._commits().orderBy("number").collect()
+        done = done if upto is None else done[:upto]
         return Committed(
-            runs=sorted(times),
+            number=len(done),
+            runs=[r.run_id for r in done],
             uploads={u for r in done for u in r.uploads},
-            mark=max(times.values(), default=None),
+            mark=max((r.date_time for r in done), default=None),
             last_loan_id=max((r.last_loan_id for r in done), default=0),
         )
 
@@ -195,13 +219,36 @@ class LoanStore:
         self._open_keys()
 
     def commit(
-        self, run_id: str, at: dt.datetime, uploads: list[str], last_loan_id: int, counts: dict
+        self, run_id: str, at: dt.datetime, after: Committed, uploads: list[str], last_loan_id: int,
+        counts: dict,
     ) -> None:
-        row = (run_id, uploads, last_loan_id, counts["unclassified"], counts["late"])
-        self._append("runs", _RUNS, row)
-        self._append(
-            "etl_log", _LOG, (run_id, at, SUCCESS, counts["valid"], counts["reject"], None)
-        )
+        """Makes a run visible as the next after those of `after`; LostRace where another one
+        is that already."""
+        entry = {
+            "number": after.number + 1, "run_id": run_id, "date_time": at.isoformat(),
+            "uploads": uploads, "last_loan_id": last_loan_id, "success_count": counts["valid"],
+            "reject_count": counts["reject"], "unclassified_count": counts["unclassified"],
+            "late_count": counts["late"],
+        }
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        written = self._path(f"{self.root}/commits_begun/{run_id}.json")
+        name = self._path(f"{self.root}/commits/{entry['number']:012d}.json")
+        files = name.getFileSystem(conf)
+        files.mkdirs(name.getParent())
+        with_text = files.create(written, True)
+        with_text.write(bytearray(json.dumps(entry).encode()))
+        with_text.close()
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        none = self.spark.sparkContext._gateway.new_array(rename, 1)
+        none[0] = rename.NONE
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+                files.makeQualified(name).toUri(), conf
+            ).rename(files.makeQualified(written), files.makeQualified(name), none)
+        except Py4JJavaError as refused:
+            if not files.exists(name):
+                raise
+            raise LostRace(f"commit {entry['number']} is taken") from refused
 
     def log_failure(self, run_id: str, at: dt.datetime, message: str) -> None:
         self._append("etl_log", _LOG, (run_id, at, FAILED, 0, 0, message))
@@ -215,18 +262,24 @@ class LoanStore:
         return self._folders("loans_rejects", "run_id", self.committed().runs, REJECT_SCHEMA)
 
     def upload_history(self) -> DataFrame:
-        return self._table("etl_log", _LOG).drop("run_id")
+        """One row per finished run: the committed ones and those that failed."""
+        done = self._commits().select(
+            "date_time", F.lit(SUCCESS).alias("status"), "success_count", "reject_count",
+            F.lit(None).cast("string").alias("error_message"),
+        )
+        return done.union(self._table("etl_log", _LOG).drop("run_id"))
 
     def refresh_view(self) -> DataFrame:
         """Makes the view a snapshot of the loans of the runs committed so far.
 
-        It names the folders of those runs, which never change; nothing is copied, later
-        runs stay outside until the next refresh, and every session sees the same.
+        It holds their number, and the folders of those runs never change; nothing is copied,
+        later runs stay outside until the next refresh, and every session sees the same.
         """
-        self._append("views", _VIEWS, (now(), self.committed().runs))
+        self._append("views", _VIEWS, (now(), self.committed().number))
         return self.view()
 
     def view(self) -> DataFrame:
         """The loans as of the last refresh; none before the first."""
         last = self._table("views", _VIEWS).orderBy(F.desc("refreshed_at")).first()
-        return self._folders("loans", "run_id", last.runs if last else [], FACT_SCHEMA)
+        runs = self.committed(last.commits).runs if last else []
+        return self._folders("loans", "run_id", runs, FACT_SCHEMA)

@@ -106,7 +106,8 @@ def test_scalars(spark):
 
 
 @pytest.mark.parametrize("low, high, width", [(18, 90, 5), (18, 40, 1), (18, 18, 1), (0, 30, 2),
-                                              (0, 31, 2), (0, 3000, 200)])
+                                              (0, 31, 2), (0, 3000, 200), (18, 2_000_000, 100_000),
+                                              (0, 2**31 - 1, 100_000_000)])
 def test_histogram_bins(spark, low, high, width):
     ages = spark.createDataFrame([(low,), (high,)], "person_age int").selectExpr(
         "person_age", "0.1D AS loan_percent_income", "1 AS person_emp_exp", "1 AS loan_status")

@@ -9,7 +9,7 @@ from loanmill.operators import clean
 from loanmill.plans.etl import run_etl
 from loanmill.schemas import FACT_SCHEMA, LOAN_COLUMNS
 from loanmill.sources import upload
-from loanmill.sources.store import LoanStore, now
+from loanmill.sources.store import LoanStore, LostRace, now
 from oracle import spark_bag
 
 DAY = dt.timedelta(days=1)
@@ -147,6 +147,30 @@ def test_a_run_during_the_landing_makes_nothing_late(spark, folder, monkeypatch)
     assert run_etl(store).success_count == 1
 
 
+def test_of_two_runs_at_once_one_takes_the_uploads(spark, folder, monkeypatch):
+    """Another store commits the same uploads, and one more, while the first run is loading."""
+    store, other = LoanStore(spark, folder), LoanStore(spark, folder)
+    store.append_raw(frame(spark, record(), record(person_age="41"), record(person_age="x")), at=START)
+    commit, results = LoanStore.commit, []
+
+    def slow(self, *args):
+        monkeypatch.setattr(LoanStore, "commit", commit)
+        results.append(run_etl(other, at=START + DAY))
+        other.append_raw(frame(spark, record(person_age="50")), at=START + 2 * DAY)
+        with pytest.raises(LostRace):
+            commit(self, *args)
+        raise LostRace
+
+    monkeypatch.setattr(LoanStore, "commit", slow)
+    results.append(run_etl(store, at=START + 3 * DAY))
+    assert [(r.success_count, r.reject_count) for r in results] == [(2, 1), (1, 0)]
+    done = store.committed()
+    assert (done.number, len(done.uploads), done.last_loan_id) == (2, 2, 3)
+    assert sorted(r.loan_id for r in store.view().collect()) == [1, 2, 3]
+    assert store.rejects().count() == 1 and store.seen_keys(done.runs).count() == 4
+    assert [r.status for r in store.upload_history().collect()] == ["SUCCESS"] * 2
+
+
 def test_compacted_keys(spark, folder):
     store = LoanStore(spark, folder, key_buckets=3)
     for i in range(3):
