@@ -50,13 +50,14 @@ def with_key(records: DataFrame) -> DataFrame:
     return records.withColumn("record_key", record_key())
 
 
-def not_seen(keyed: DataFrame, seen_keys: DataFrame) -> DataFrame:
+def not_seen(keyed: DataFrame, seen_keys: DataFrame, few: bool = True) -> DataFrame:
     """Records whose `record_key` is not among those already taken in.
 
-    The history streams past a hash table of the new keys, which are few, and is neither
-    sorted nor shuffled; only its hits are held against the records.
+    The history streams past a hash table of the new keys, where these are few enough to be
+    held bucket by bucket, and is neither sorted nor shuffled; only its hits are held against
+    the records. More of them are merged with it in order, which spills.
     """
-    new = keyed.select("record_key").hint("shuffle_hash")
+    new = keyed.select("record_key").hint("shuffle_hash" if few else "merge")
     return keyed.join(seen_keys.join(new, "record_key", "left_semi"), "record_key", "left_anti")
 
 

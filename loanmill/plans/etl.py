@@ -14,6 +14,9 @@ from ..schemas import LOAN_COLUMNS
 from ..sources.scratch import Scratch
 from ..sources.store import LoanStore, LostRace, now
 
+# New keys of a bucket that a task may hold in memory, some 200 MB.
+_HASHED_KEYS = 2_000_000
+
 _OUTCOMES = ("valid", "reject", "unclassified", "late")
 
 
@@ -60,7 +63,11 @@ def _load(store: LoanStore, run_id: str, at: dt.datetime) -> RunResult:
             records = scratch.keep(
                 clean.with_key(clean.keep_earliest(store.raw(pending))), "records"
             )
-            checked = clean.classify(clean.not_seen(records, store.seen_keys(done.runs)))
+            unseen = records
+            if done.runs:
+                few = records.count() <= _HASHED_KEYS * store.key_buckets
+                unseen = clean.not_seen(records, store.seen_keys(done.runs), few)
+            checked = clean.classify(unseen)
             if done.mark is not None:
                 # Stamped up to the mark but landed after that run: seen, never loaded.
                 late = F.col("uploaded_at") <= clean.moment(done.mark)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from conftest import SF
 from loanmill import fixtures
 from loanmill.operators import clean
+from loanmill.plans import etl
 from loanmill.plans.etl import run_etl
 from loanmill.schemas import FACT_SCHEMA, LOAN_COLUMNS
 from loanmill.sources import upload
@@ -203,6 +204,23 @@ def test_reopened_store_keeps_its_buckets(spark, folder):
     assert over_history and "Sort" not in over_history and "Exchange" not in over_history
 
 
+def test_many_new_keys_are_merged_with_the_history(spark, folder, monkeypatch):
+    monkeypatch.setattr(etl, "_HASHED_KEYS", 0)
+    asked, not_seen = [], clean.not_seen
+    monkeypatch.setattr(clean, "not_seen", lambda *args: asked.append(args[2]) or not_seen(*args))
+    store = LoanStore(spark, folder)
+    for day, rows in enumerate([(record(),), (record(), record(person_age="41"))]):
+        store.append_raw(frame(spark, *rows), at=START + 2 * day * DAY)
+        assert run_etl(store, at=START + (2 * day + 1) * DAY).success_count == 1
+    assert asked == [False]  # the first run has no history to ask
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = not_seen(clean.with_key(store.raw()), store.seen_keys(store.committed().runs), False)
+        assert "ShuffledHashJoin" not in plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def write_csv(path, text):
     with open(path, "w", newline="") as f:
         f.write(text)
