@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import catalog, fixtures
 from .functions import scalars
-from .operators import applications, clean, features, sampling
+from .operators import applications, clean, dashboard, features, sampling
 from .operators.oversample import balance
 from .plans import training
 from .plans.etl import run_etl
@@ -98,6 +98,11 @@ def row_count(spark, sf):
     return _two_runs(spark, sf).view().agg(F.count(F.lit(1)).alias("count"))
 
 
+def _from_cells(cells: str, measure) -> catalog.Query:
+    """A measure of the dashboard from the cells that two runs have written."""
+    return lambda spark, sf: measure(_two_runs(spark, sf).cells()[cells])
+
+
 def high_water_mark(spark, sf):
     """Latest run by outcome, over good and failed runs; the mark is that of the good ones."""
     store = _with_failure(spark, sf)
@@ -331,7 +336,7 @@ def score_lookup(spark, sf):
     folder, table = _trained(spark, sf), _kept_table(spark, sf)
     rows = []
     for name in training.CLASSIFIERS:
-        model = PipelineModel.load(training.model_path(folder, name))
+        model = training.load_model(spark, folder, name)
         afresh = training.accuracy(training.predict(model, table)).first().accuracy
         rows.append((name, training.score_of(spark, folder, name) == afresh))
     return spark.createDataFrame(rows, "model string, same boolean")
@@ -383,6 +388,11 @@ QUERIES = {
     "upload_history": upload_history,
     "scan_view": scan_view,
     "row_count": row_count,
+    "kpis_of_cells": _from_cells("age_cells", dashboard.kpis_of),
+    "overview_of_cells": _from_cells("breakdown_cells", dashboard.overview_of),
+    "gender_share_of_cells": _from_cells("age_cells", dashboard.gender_share_of),
+    "age_by_gender_of_cells": _from_cells("age_cells", dashboard.age_by_gender_of),
+    "age_histogram_of_cells": _from_cells("age_cells", dashboard.age_histogram_of),
     "high_water_mark": high_water_mark,
     "fact_load": fact_load,
     "loan_ids": loan_ids,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import (
     default_flag,
@@ -15,6 +16,22 @@ from ..functions.scalars import (
 )
 
 PREVIOUS_DEFAULT = "previous_loan_defaults_on_file"
+BREAKDOWNS = ["person_education", "emp_exp_years", "dti_bucket", PREVIOUS_DEFAULT]
+
+
+def _cells_of(**keys: T.DataType) -> T.StructType:
+    counts = {"d": T.LongType(), "n": T.LongType()}
+    return T.StructType([T.StructField(k, t) for k, t in {**keys, **counts}.items()])
+
+
+#: Tables of cells: keys, defaults `d` and loans `n`. Those of several sets of loans add up.
+CELLS = {
+    "breakdown_cells": _cells_of(
+        person_education=T.StringType(), emp_exp_years=T.IntegerType(),
+        dti_bucket=T.StringType(), previous_loan_defaults_on_file=T.StringType(),
+    ),
+    "age_cells": _cells_of(person_gender=T.StringType(), person_age=T.IntegerType()),
+}
 
 
 def with_measures(loans: DataFrame) -> DataFrame:
@@ -85,7 +102,10 @@ def defaults_by_gender(loans: DataFrame) -> DataFrame:
 
 def gender_share(loans: DataFrame) -> DataFrame:
     """Share of all defaults per gender, in percent."""
-    counts = defaults_by_gender(loans)
+    return _shares(defaults_by_gender(loans))
+
+
+def _shares(counts: DataFrame) -> DataFrame:
     total = F.sum("count").over(Window.partitionBy())
     return counts.withColumn("share", percent(F.col("count"), total)).orderBy("person_gender")
 
@@ -122,6 +142,10 @@ def age_histogram(loans: DataFrame, bins: int = 30) -> DataFrame:
         .groupBy("person_age")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    return _binned(ages, bins)
+
+
+def _binned(ages: DataFrame, bins: int) -> DataFrame:
     every = Window.partitionBy()
     low, high = F.min("person_age").over(every), F.max("person_age").over(every)
     return (
@@ -138,12 +162,17 @@ def overview(loans: DataFrame) -> DataFrame:
     The loans are first brought down to one row per combination of the four keys, so the
     five groupings expand that small table and not the loans.
     """
-    keys = ["person_education", "emp_exp_years", "dti_bucket", PREVIOUS_DEFAULT]
-    cells = (
-        with_measures(loans)
-        .groupBy(*keys)
-        .agg(F.sum("is_default").alias("d"), F.count(F.lit(1)).alias("n"))
-    )
+    return overview_of(_breakdown_cells(loans))
+
+
+def _breakdown_cells(loans: DataFrame) -> DataFrame:
+    counts = F.sum("is_default").alias("d"), F.count(F.lit(1)).alias("n")
+    return with_measures(loans).groupBy(*BREAKDOWNS).agg(*counts)
+
+
+def overview_of(cells: DataFrame) -> DataFrame:
+    """`overview` from breakdown cells."""
+    keys = BREAKDOWNS
     groupings = [[], *([F.col(k)] for k in keys)]
     named = F.coalesce(*(F.when(F.grouping(k) == 0, F.lit(k)) for k in keys), F.lit("all"))
     value = F.coalesce(*(F.when(F.grouping(k) == 0, F.col(k).cast("string")) for k in keys))
@@ -158,3 +187,72 @@ def overview(loans: DataFrame) -> DataFrame:
         .where("breakdown = 'all' OR key IS NOT NULL")
         .select("breakdown", "key", "total_default", "total_loans", _rate())
     )
+
+
+# --- kept up to date: every measure from cells ---------------------------------
+
+
+def cells(loans: DataFrame) -> dict[str, DataFrame]:
+    """The cells of some loans, as `CELLS` has them."""
+    counts = F.sum("is_default").alias("d"), F.count(F.lit(1)).alias("n")
+    ages = with_measures(loans).groupBy("person_gender", "person_age").agg(*counts)
+    made = {"breakdown_cells": _breakdown_cells(loans), "age_cells": ages}
+    return {
+        name: table.select(*(F.col(f.name).cast(f.dataType) for f in CELLS[name]))
+        for name, table in made.items()
+    }
+
+
+def merged(cells: DataFrame) -> DataFrame:
+    """One row per cell."""
+    keys = [c for c in cells.columns if c not in ("d", "n")]
+    return cells.groupBy(*keys).agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+
+
+def kpis_of(cells: DataFrame) -> DataFrame:
+    """`kpis` from any cells."""
+    total = {"total_loans": "n", "total_defaults": "d"}
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in total.items()]
+    return cells.agg(*sums).withColumn(
+        "default_rate", percent(F.col("total_defaults"), F.col("total_loans"))
+    )
+
+
+def default_breakdown_of(cells: DataFrame, key: str) -> DataFrame:
+    """`default_breakdown` from breakdown cells."""
+    sums = F.sum("d").alias("total_default"), F.sum("n").alias("total_loans")
+    groups = cells.where(F.col(key).isNotNull()).groupBy(key).agg(*sums)
+    return groups.withColumn("pct_default", _rate()).orderBy(key)
+
+
+def gender_share_of(cells: DataFrame) -> DataFrame:
+    """`gender_share` from age cells; its first two columns are `defaults_by_gender`."""
+    held = cells.where("d > 0 AND person_gender IS NOT NULL")
+    return _shares(held.groupBy("person_gender").agg(F.sum("d").alias("count")))
+
+
+def age_by_gender_of(cells: DataFrame) -> DataFrame:
+    """`age_by_gender` from age cells."""
+    split = F.array(
+        F.struct(yes_no(F.lit(1)).alias("default"), F.col("d").alias("n")),
+        F.struct(yes_no(F.lit(0)).alias("default"), (F.col("n") - F.col("d")).alias("n")),
+    )
+    aged = F.when(F.col("person_age").isNotNull(), F.col("n"))
+    return (
+        cells.where("person_gender IS NOT NULL")
+        .select("person_gender", "person_age", F.inline(split))
+        .where("n > 0")
+        .groupBy("person_gender", "default")
+        .agg(
+            F.min("person_age").alias("min"),
+            F.max("person_age").alias("max"),
+            (F.sum(F.col("person_age") * F.col("n")) / F.sum(aged)).alias("mean"),
+        )
+        .orderBy("person_gender", "default")
+    )
+
+
+def age_histogram_of(cells: DataFrame, bins: int = 30) -> DataFrame:
+    """`age_histogram` from age cells."""
+    known = cells.where("person_age IS NOT NULL")
+    return _binned(known.groupBy("person_age").agg(F.sum("n").alias("n")), bins)

@@ -495,3 +495,9 @@ ORACLES |= {
         states=f"SELECT coalesce(({_VALID}), FALSE) AS ok FROM records",
     ),
 }
+
+# What cells add up to is what a scan of all loans gives.
+ORACLES |= {
+    f"{measure}_of_cells": ORACLES[measure]
+    for measure in ("kpis", "overview", "gender_share", "age_by_gender", "age_histogram")
+}

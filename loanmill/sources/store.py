@@ -3,9 +3,11 @@
 Every upload and every run writes folders of its own. A row in `uploads` makes an upload
 visible and a numbered file in `commits`, moved there whole, makes a run visible; readers name
 visible folders only, so half-written ones are never seen. A number is taken once: of runs that
-began with the same commits one gets the next number, and the others must look again. That
-rests on a rename that refuses to replace a file, as HDFS has it; a store for bare objects lets
-one run at a time in.
+began with the same commits one gets the next number, and the others must look again. A store
+for bare objects, which cannot refuse to replace a file, lets one run at a time in.
+
+Every so many commits one file in `states` repeats all of them, so that opening a store reads
+that one and the few commits since. `packs` name folders that hold the loans of many runs.
 """
 
 from __future__ import annotations
@@ -17,14 +19,15 @@ import uuid
 from dataclasses import dataclass
 
 import pyarrow as pa
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..operators import dashboard
 from ..operators.clean import moment
 from ..schemas import FACT_SCHEMA, LOAN_COLUMNS, LOG_SCHEMA, RAW_SCHEMA, REJECT_SCHEMA
+from .numbered_files import LostRace, NumberedFiles
 
 _UPLOADS = T.StructType(
     [
@@ -50,13 +53,8 @@ _LOG = T.StructType([T.StructField("run_id", T.StringType()), *LOG_SCHEMA.fields
 _SETTINGS = T.StructType(
     [T.StructField("generation", T.IntegerType()), T.StructField("key_buckets", T.IntegerType())]
 )
-# A view shows the commits up to a number.
-_VIEWS = T.StructType(
-    [
-        T.StructField("refreshed_at", T.TimestampNTZType()),
-        T.StructField("commits", T.LongType()),
-    ]
-)
+# Commits after which they are repeated in one file.
+_STATE_EVERY = 100
 
 SUCCESS, FAILED = "SUCCESS", "FAILED"
 
@@ -65,10 +63,6 @@ def now() -> dt.datetime:
     return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
 
 
-class LostRace(RuntimeError):
-    """Another run has been committed since this one looked."""
-
-
 @dataclass(frozen=True)
 class Committed:
     """What the successful runs so far have done."""
@@ -89,7 +83,10 @@ class LoanStore:
         self._create("settings", _SETTINGS, [(0, buckets)])
         self._create("uploads", _UPLOADS)
         self._create("etl_log", _LOG)
-        self._create("views", _VIEWS)
+        self._commit_files = NumberedFiles(spark, root, "commits")
+        self._states = NumberedFiles(spark, root, "states")
+        self._views = NumberedFiles(spark, root, "views")
+        self._packs = NumberedFiles(spark, root, "packs")
         self._open_keys()
 
     def _open_keys(self) -> None:
@@ -128,15 +125,20 @@ class LoanStore:
 
     # --- landing table -------------------------------------------------------
 
-    def append_raw(self, rows: DataFrame, at: dt.datetime | None = None) -> str:
+    def append_raw(
+        self, rows: DataFrame, at: dt.datetime | None = None, upload_id: str | None = None
+    ) -> str:
         """Lands an upload. Rows that carry no time of their own get the upload's: the time
         when it became visible, so that no run finished meanwhile can make them late.
+
+        A caller who may have to repeat an upload names it; what an earlier try left behind
+        without becoming visible is replaced.
         """
-        upload_id = f"{now():%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+        upload_id = upload_id or f"{now():%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
         if "uploaded_at" not in rows.columns:
             rows = rows.withColumn("uploaded_at", moment(None))
         folder = f"{self.root}/raw_loans/upload_id={upload_id}"
-        rows.select(*LOAN_COLUMNS, "uploaded_at").write.parquet(folder)
+        rows.select(*LOAN_COLUMNS, "uploaded_at").write.mode("overwrite").parquet(folder)
         self._append("uploads", _UPLOADS, (upload_id, at or now()))
         return upload_id
 
@@ -162,13 +164,25 @@ class LoanStore:
     # --- runs ------------------------------------------------------------------
 
     def _commits(self) -> DataFrame:
-        folder = self._path(f"{self.root}/commits")
-        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+        """All commits: the last state and what came after it."""
+        state = self._states.numbers()[-1:]
+        later = [n for n in self._commit_files.numbers() if n > max(state, default=0)]
+        files = [*map(self._states.file, state), *map(self._commit_files.file, later)]
+        if not files:
             return self.spark.createDataFrame([], _COMMITS)
-        return self.spark.read.schema(_COMMITS).json(f"{self.root}/commits")
-
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return self.spark.read.schema(_COMMITS).json(files)
+
+    def _keep_state(self) -> None:
+        """Repeats all commits in one file, once there are enough since the last one."""
+        state, taken = self._states.numbers()[-1:], self._commit_files.numbers()
+        later = [n for n in taken if n > max(state, default=0)]
+        if len(later) < _STATE_EVERY:
+            return
+        lines = self._states.lines(*state) + self._commit_files.lines(*later)
+        try:
+            self._states.add(later[-1], "\n".join(lines))
+        except LostRace:
+            pass  # Another run has kept the same commits.
 
     def committed(self, upto: int | None = None) -> Committed:
         """State left by the successful runs, or the first `upto` of them. Failed ones do not
@@ -184,7 +198,11 @@ class LoanStore:
         )
 
     def write_loans(self, run_id: str, loans: DataFrame) -> None:
+        """Writes a run's loans, and how many there are per cell of the dashboard."""
         loans.select(*FACT_SCHEMA.names).write.parquet(f"{self.root}/loans/run_id={run_id}")
+        written = self._folders("loans", "run_id", [run_id], FACT_SCHEMA)
+        for name, cells in dashboard.cells(written).items():
+            cells.coalesce(1).write.parquet(f"{self.root}/{name}/run_id={run_id}")
 
     def write_rejects(self, run_id: str, rejects: DataFrame) -> None:
         folder = f"{self.root}/loans_rejects/run_id={run_id}"
@@ -230,33 +248,52 @@ class LoanStore:
             "reject_count": counts["reject"], "unclassified_count": counts["unclassified"],
             "late_count": counts["late"],
         }
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        written = self._path(f"{self.root}/commits_begun/{run_id}.json")
-        name = self._path(f"{self.root}/commits/{entry['number']:012d}.json")
-        files = name.getFileSystem(conf)
-        files.mkdirs(name.getParent())
-        with_text = files.create(written, True)
-        with_text.write(bytearray(json.dumps(entry).encode()))
-        with_text.close()
-        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
-        none = self.spark.sparkContext._gateway.new_array(rename, 1)
-        none[0] = rename.NONE
-        try:
-            jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-                files.makeQualified(name).toUri(), conf
-            ).rename(files.makeQualified(written), files.makeQualified(name), none)
-        except Py4JJavaError as refused:
-            if not files.exists(name):
-                raise
-            raise LostRace(f"commit {entry['number']} is taken") from refused
+        self._commit_files.add(entry["number"], json.dumps(entry))
+        self._keep_state()
 
     def log_failure(self, run_id: str, at: dt.datetime, message: str) -> None:
         self._append("etl_log", _LOG, (run_id, at, FAILED, 0, 0, message))
 
     # --- readers -----------------------------------------------------------------
 
+    def _loan_folders(self, done: Committed) -> list[str]:
+        """Folders with the loans of these runs: packs, and the runs since the last of them."""
+        packs = [n for n in self._packs.numbers() if n <= done.number]
+        if not packs:
+            return done.runs
+        return json.loads(self._packs.lines(packs[-1])[0]) + done.runs[packs[-1] :]
+
+    def pack_loans(self) -> None:
+        """Puts the loans of the runs since the last pack into one folder, whose files are as
+        large as a task reads, and their cells into one. Nothing is shuffled, earlier packs
+        aren't touched, and the runs' own folders stay for views of fewer commits.
+        """
+        done = self.committed()
+        number = (self._packs.numbers() or [0])[-1]
+        if number == done.number:
+            return
+        folders = self._loan_folders(done)
+        since, pack = done.runs[number:], f"pack-{done.number}-{uuid.uuid4().hex[:8]}"
+        self._folders("loans", "run_id", since, FACT_SCHEMA).write.parquet(
+            f"{self.root}/loans/run_id={pack}"
+        )
+        for name in dashboard.CELLS:
+            merged = dashboard.merged(self._cells(name, since))
+            merged.coalesce(1).write.parquet(f"{self.root}/{name}/run_id={pack}")
+        earlier = folders[: len(folders) - len(since)]
+        self._packs.add(done.number, json.dumps([*earlier, pack]))
+
     def loans(self) -> DataFrame:
-        return self._folders("loans", "run_id", self.committed().runs, FACT_SCHEMA)
+        folders = self._loan_folders(self.committed())
+        return self._folders("loans", "run_id", folders, FACT_SCHEMA)
+
+    def _cells(self, name: str, folders: list[str]) -> DataFrame:
+        return self._folders(name, "run_id", folders, dashboard.CELLS[name])
+
+    def cells(self) -> dict[str, DataFrame]:
+        """The cells of the view: what the dashboard adds up instead of scanning all loans."""
+        folders = self._view_folders()
+        return {name: dashboard.merged(self._cells(name, folders)) for name in dashboard.CELLS}
 
     def rejects(self) -> DataFrame:
         return self._folders("loans_rejects", "run_id", self.committed().runs, REJECT_SCHEMA)
@@ -272,14 +309,20 @@ class LoanStore:
     def refresh_view(self) -> DataFrame:
         """Makes the view a snapshot of the loans of the runs committed so far.
 
-        It holds their number, and the folders of those runs never change; nothing is copied,
-        later runs stay outside until the next refresh, and every session sees the same.
+        A file named after their number stands for it, and the folders of those runs never
+        change; nothing is copied, later runs stay outside until the next refresh, and every
+        session sees the same.
         """
-        self._append("views", _VIEWS, (now(), self.committed().number))
+        try:
+            self._views.add(self.committed().number, json.dumps(now().isoformat()))
+        except LostRace:
+            pass  # The same commits are shown already.
         return self.view()
 
+    def _view_folders(self) -> list[str]:
+        shown = self._views.numbers()
+        return self._loan_folders(self.committed(shown[-1])) if shown else []
+
     def view(self) -> DataFrame:
         """The loans as of the last refresh; none before the first."""
-        last = self._table("views", _VIEWS).orderBy(F.desc("refreshed_at")).first()
-        runs = self.committed(last.commits).runs if last else []
-        return self._folders("loans", "run_id", runs, FACT_SCHEMA)
+        return self._folders("loans", "run_id", self._view_folders(), FACT_SCHEMA)

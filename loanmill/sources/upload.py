@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import LOAN_COLUMNS
+from . import quoted_csv
+from .scratch import session_scratch
 
 # Cell texts read as missing.
 MISSING_TEXTS = [
@@ -41,6 +46,8 @@ class ContractError(ValueError):
 
 
 _LINE, _MARK = "_line", "\x01end\x01"
+# Bytes of a file read at a time for its header; headers read at a time.
+_PEEK, _HEADERS_AT_ONCE = 1 << 16, 16
 
 
 def _files(spark: SparkSession, path: str) -> list[str]:
@@ -49,31 +56,75 @@ def _files(spark: SparkSession, path: str) -> list[str]:
     return [r.path for r in files.collect()]
 
 
-def _reader(spark: SparkSession, multi_line: bool):
-    options = {"header": True, "escape": '"', "multiLine": multi_line, "columnPruning": False}
-    return spark.read.options(**options)
+def _open(text: str) -> bool:
+    """Whether a quote is open after these lines."""
+    return reduce(lambda inside, line: quoted_csv.open_after(line, inside), text.split("\n"), False)
+
+
+def _first_record(spark: SparkSession, file: str) -> str:
+    """The header's text; only the beginning of the file is read."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    path = hadoop.fs.Path(spark._jvm.java.net.URI(file))
+    codec = hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+    stream = path.getFileSystem(conf).open(path)
+    if codec is not None:
+        stream = codec.createInputStream(stream)
+    try:
+        data, at = b"", 0
+        while True:
+            more = bytes(stream.readNBytes(_PEEK))
+            data += more
+            while True:
+                end = data.find(b"\n", at)
+                if end < 0 and more:
+                    break
+                text = (data if end < 0 else data[:end]).decode("utf-8-sig").removesuffix("\r")
+                if end < 0 or (text.strip() and not _open(text)):
+                    return text.lstrip("\r\n")
+                at = end + 1
+    finally:
+        stream.close()
+
+
+def _header(spark: SparkSession, file: str) -> tuple[str, ...]:
+    """Names of the columns: an empty one by its place, one met before with its place added."""
+    text = _first_record(spark, file)
+    cells = next(csv.reader(io.StringIO(text, newline="")), [])
+    names = [cell.strip() or f"_c{i}" for i, cell in enumerate(cells)]
+    return tuple(n if n not in names[:i] else f"{n}{i}" for i, n in enumerate(names))
 
 
 def _read_alike(
-    spark: SparkSession, files: list[str], header: list[str], multi_line: bool
+    spark: SparkSession, files: list[str], header: tuple[str, ...], multi_line: bool
 ) -> DataFrame:
-    """Files with the same header. Lines that don't fill it exactly are parsed once more with
-    a mark appended: where the mark ends up is the number of their cells."""
-    texts = [T.StructField(f"c{i}", T.StringType()) for i in range(len(header))]
-    line = T.StructField(_LINE, T.StringType())
-    reader = _reader(spark, multi_line).option("columnNameOfCorruptRecord", _LINE)
-    table = reader.schema(T.StructType([*texts, line])).csv(files)
-    cells = ", ".join(f"c{i} STRING" for i in range(len(header) + 1))
-    marked = F.concat(F.col(_LINE), F.lit(f",{_MARK}"))
-    again = F.from_csv(marked, F.lit(cells), {"escape": '"'})
-    met = [again[f"c{i}"] == _MARK for i in range(len(header) + 1)]
-    fits = F.col(_LINE).isNull() | reduce(lambda a, b: a | b, (F.coalesce(m, F.lit(False)) for m in met))
-    checked = F.when(fits, True).otherwise(
-        F.raise_error(F.concat(F.lit("more cells than columns: "), F.col(_LINE))).cast("boolean")
+    """Files with the same header. Records that don't fill it exactly are parsed with a mark
+    appended: where the mark ends up is the number of their cells."""
+    line, names = F.col(_LINE), [f"c{i}" for i in range(len(header) + 1)]
+    options = {"escape": '"', "multiLine": str(multi_line).lower()}
+    marked = F.concat(line, F.lit(f",{_MARK}"))
+    again = F.from_csv(marked, F.lit(", ".join(f"{c} STRING" for c in names)), options)
+    if multi_line:
+        # Parsed once a record: a filter isn't pushed below a generator.
+        records = quoted_csv.records(spark, files, session_scratch(spark))
+        table = records.withColumnRenamed("record", _LINE).select(_LINE, F.inline(F.array(again)))
+        met = [F.col(c) == _MARK for c in names]
+    else:
+        texts = [T.StructField(c, T.StringType()) for c in names[:-1]]
+        kind = T.StructType([*texts, T.StructField(_LINE, T.StringType())])
+        reader = spark.read.options(
+            header=True, escape='"', columnPruning=False, columnNameOfCorruptRecord=_LINE
+        )
+        table = reader.schema(kind).csv(files)
+        met = [again[c] == _MARK for c in names]
+    fits = reduce(lambda a, b: a | b, (F.coalesce(m, F.lit(False)) for m in met))
+    checked = F.when(line.isNull() | fits, True).otherwise(
+        F.raise_error(F.concat(F.lit("more cells than columns: "), line)).cast("boolean")
     )
-    known = ((F.col(f"c{i}"), name.strip()) for i, name in enumerate(header))
     return table.where(checked).select(
-        *(F.when(~cell.isin(MISSING_TEXTS), cell).alias(name) for cell, name in known)
+        *(
+            F.when(~F.col(c).isin([*MISSING_TEXTS, _MARK]), F.col(c)).alias(name)
+            for c, name in zip(names, header)
+        )
     )
 
 
@@ -82,14 +133,16 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool) -> list[DataFrame
     trimmed, missing cells null. A line with more cells than its file's header fails the
     read, a shorter one is filled up with missing cells.
 
-    `multi_line` says whether quoted line breaks occur. Where they do, a file is one task;
-    where they don't, huge files are split.
+    `multi_line` says whether quoted line breaks occur. Huge files are split either way; where
+    such breaks occur they are read twice, the first time to learn where quotes are open.
     """
+    files = _files(spark, path)
+    with ThreadPool(_HEADERS_AT_ONCE) as pool:
+        headers = pool.map(lambda file: _header(spark, file), files)
     alike: dict[tuple[str, ...], list[str]] = {}
-    for file in _files(spark, path):
-        header = _reader(spark, multi_line).csv(file).columns
-        alike.setdefault(tuple(header), []).append(file)
-    return [_read_alike(spark, files, list(header), multi_line) for header, files in alike.items()]
+    for file, header in zip(files, headers):
+        alike.setdefault(header, []).append(file)
+    return [_read_alike(spark, files, header, multi_line) for header, files in alike.items()]
 
 
 def check_contract(columns: list[str]) -> None:
