@@ -93,18 +93,25 @@ class BlobLedger:
         blobs = files.select(
             address(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text")
         )
-        done = self.entries().select("blob", F.explode("rules").alias("rule"))
-        done = done.groupBy("blob").agg(F.collect_set("rule").alias("done"))
-        unseen = (
-            blobs.groupBy("blob")
-            .agg(F.first("text").alias("text"))
-            .join(done, "blob", "left")
-            .select(
-                "blob", "text",
-                F.array_except(wanted, F.coalesce("done", F.array())).alias("rules"),
-            )
-            .where(F.size("rules") > 0)
-        )
+        known = self.entries()
+        if known.inputFiles():
+            # Addresses are held against the ledger before any text is moved.
+            done = known.select("blob", F.explode("rules").alias("rule"))
+            done = done.groupBy("blob").agg(F.collect_set("rule").alias("done"))
+            lacks = F.array_except(wanted, F.coalesce("done", F.array()))
+            asked = f"{self.path}/asked/{uuid.uuid4().hex}"
+            (
+                blobs.select("blob").distinct().join(done, "blob", "left")
+                .select("blob", lacks.alias("rules")).where(F.size("rules") > 0)
+                .write.parquet(asked)
+            )
+            lacking = self.spark.read.schema("blob binary, rules array<string>").parquet(asked)
+            if lacking.isEmpty():
+                return
+            blobs = blobs.join(lacking, "blob")
+        else:
+            blobs = blobs.withColumn("rules", wanted)
+        unseen = blobs.groupBy("blob").agg(F.first("text").alias("text"), F.first("rules").alias("rules"))
         hits = F.array(
             *(
                 F.when(

@@ -6,8 +6,11 @@ found by binary search, and the order is cut where that pass cuts. A group above
 share takes a shard alone, else the one capacity it forces would leave the others uneven.
 
 The driver never holds the groups. It holds sums over ranges of the hash: 2^16 at first,
-then, six bits at a time, parts of those few ranges that a cut can still fall into, until
-every one of these is a single group. The result is the exact minimax partition.
+then, six bits at a time, parts of those ranges that a cut can still fall into, at most 2,048
+ranges at once. The least capacity lies between that of ranges that may be cut anywhere and
+that of ranges that may not be cut. Where many ranges are open, those that decide whether the
+middle of the two will do come first, in their order, since an early cut settles later ones.
+The result is the exact minimax partition.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from loanmill.llm.base import numbered_in_order
 from loanmill.sources.scratch import Scratch
 
 _FIRST_BITS, _MORE_BITS = 16, 6
+# Ranges refined at once; each gives up to 2^6 parts.
+_REFINED = 2048
 
 
 def greedy_cuts(reach: np.ndarray, capacity: int, shards: int) -> list[int] | None:
@@ -42,16 +47,41 @@ def greedy_cuts(reach: np.ndarray, capacity: int, shards: int) -> list[int] | No
 def smallest_capacity(sizes: np.ndarray, shards: int) -> int:
     """The least maximum of a contiguous partition of `sizes` into at most `shards` parts."""
     reach = np.cumsum(sizes)
-    low, high = max(int(sizes.max()), -(-int(reach[-1]) // shards)), int(reach[-1])
+    low = max(int(sizes.max()), -(-int(reach[-1]) // shards))
+    return _least(low, int(reach[-1]), lambda c: greedy_cuts(reach, c, shards) is not None)
+
+
+def furthest(reach: np.ndarray, whole: np.ndarray, capacity: int, shards: int) -> list[int] | None:
+    """Piece in which each shard ends if pieces that aren't `whole` may be cut anywhere, or
+    None where even then the capacity is too small."""
+    ends, done, n = [], 0, len(reach)
+    for _ in range(shards):
+        end = int(np.searchsorted(reach, done + capacity, side="right"))
+        ends.append(end)
+        if end == n:
+            return ends
+        done = done + capacity if not whole[end] else int(reach[end - 1]) if end else 0
+    return None
+
+
+def _least(low: int, high: int, enough) -> int:
     while low < high:
         middle = (low + high) // 2
-        if greedy_cuts(reach, middle, shards) is None:
-            low = middle + 1
-        else:
-            high = middle
+        low, high = (low, middle) if enough(middle) else (middle + 1, high)
     return low
 
 
+def _between(reach: np.ndarray, whole: np.ndarray, low: int, high: int, shards: int) -> list[int]:
+    """Pieces that may be cut by a greedy pass with some capacity from `low` to `high`."""
+    far = furthest(reach, whole, high, shards) or []
+    open_, done = np.zeros(len(reach) + 1, bool), 0
+    for i in range(shards):
+        near = int(np.searchsorted(reach, done + low, side="right"))
+        done = int(reach[near - 1]) if near else 0
+        open_[near : (far[i] if i < len(far) else len(reach)) + 1] = True
+    return np.flatnonzero(open_[:-1] & ~whole).tolist()
+
+
 def _ranges(groups: DataFrame, shift: int) -> dict[int, tuple[int, int]]:
     part = groups.groupBy(F.shiftright("group_key", shift).alias("k"))
     rows = part.agg(F.sum("group_size").alias("size"), F.count("*").alias("n")).collect()
@@ -61,28 +91,29 @@ def _ranges(groups: DataFrame, shift: int) -> dict[int, tuple[int, int]]:
 def cut_keys(groups: DataFrame, shards: int, largest: int) -> list[int]:
     """First `group_key` of every shard but the first."""
     shift = 64 - _FIRST_BITS
-    pieces = _ranges(groups, shift)
-    fresh = dict(pieces)
+    pieces = {k: (*v, shift) for k, v in _ranges(groups, shift).items()}
     while pieces:
         keys = sorted(pieces)
         sizes = np.array([pieces[k][0] for k in keys])
+        whole = np.array([pieces[k][1] == 1 or not pieces[k][2] for k in keys])
         reach = np.cumsum(sizes)
         high = smallest_capacity(sizes, shards)
-        low = max(largest, -(-int(reach[-1]) // shards))
-        ends = greedy_cuts(reach, high, shards)
-        # With any capacity from low to high, cut i lies between these two sums.
-        refine, done = set(), 0
-        for i in range(1, shards + 1):
-            at = int(np.searchsorted(reach, done + low, side="right"))
-            done = int(reach[at - 1]) if at else 0
-            until = int(np.searchsorted(reach, i * high, side="right"))
-            refine.update(k for k in keys[at : until + 1] if k in fresh and fresh[k][1] > 1)
-        if not refine or shift == 0:
-            return [keys[e] for e in ends if e < len(keys)]
-        inside = F.shiftright("group_key", shift).isin(sorted(k >> shift for k in refine))
-        shift = max(0, shift - _MORE_BITS)
+        fair = max(largest, -(-int(reach[-1]) // shards))
+        low = _least(fair, high, lambda c: furthest(reach, whole, c, shards) is not None)
+        asked = _between(reach, whole, low, high, shards)
+        if len(asked) > _REFINED:
+            middle = (low + high) // 2
+            asked = _between(reach, whole, middle, middle, shards)
+        if not asked:
+            return [keys[e] for e in greedy_cuts(reach, high, shards) if e < len(keys)]
+        wide = max(pieces[keys[i]][2] for i in asked)
+        refine = [keys[i] for i in asked if pieces[keys[i]][2] == wide][:_REFINED]
+        inside = F.shiftright("group_key", wide).isin([k >> wide for k in refine])
+        shift = max(0, wide - _MORE_BITS)
         fresh = _ranges(groups.where(inside), shift)
-        pieces = {k: v for k, v in pieces.items() if k not in refine} | fresh
+        gone = set(refine)
+        pieces = {k: v for k, v in pieces.items() if k not in gone}
+        pieces |= {k: (*v, shift) for k, v in fresh.items()}
     return []
 
 

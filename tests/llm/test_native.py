@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from edge import frame, odd_rows, prose, words
 from pyspark.sql import functions as F
@@ -178,6 +179,33 @@ def test_cuts_are_minimax(spark, scratch):
     assert max(p.sum() for p in parts) == minimax_shards.smallest_capacity(sizes, 12)
 
 
+def test_large_groups_keep_the_driver_s_share_small(spark, monkeypatch):
+    """Groups that do not pack leave the capacity open for long."""
+    monkeypatch.setattr(minimax_shards, "_FIRST_BITS", 12)
+    monkeypatch.setattr(minimax_shards, "_REFINED", 64)
+    collected, ranges = [], minimax_shards._ranges
+
+    def counted(*args):
+        got = ranges(*args)
+        collected.append(len(got))
+        return got
+
+    monkeypatch.setattr(minimax_shards, "_ranges", counted)
+    random = np.random.default_rng(8)
+    keys = np.unique(random.integers(-(2**63), 2**63 - 1, 20_000))
+    sizes = random.integers(17, 400, len(keys))
+    sizes[random.choice(len(keys), 15, replace=False)] = 220_000 + random.integers(0, 30_000, 15)
+    groups = spark.createDataFrame(
+        pd.DataFrame({"group_key": keys, "group_size": sizes})
+    ).cache()
+    cuts = minimax_shards.cut_keys(groups, 20, int(sizes.max()))
+    parts = np.split(sizes, np.searchsorted(keys, cuts))
+    assert len(parts) <= 20
+    assert max(p.sum() for p in parts) == minimax_shards.smallest_capacity(sizes, 20)
+    assert max(collected) <= 4096 and sum(collected) < 10_000
+    groups.unpersist()
+
+
 def check_shards(got, rows, shards):
     assert len(got) == len(rows)
     places, where = defaultdict(list), defaultdict(set)
@@ -271,6 +299,16 @@ def test_only_unseen_pairs_are_scanned(spark, scratch):
     assert blob_ledger.find_secrets(more, ledger).count() == 11
 
 
+def test_a_scan_of_nothing_new_moves_no_text(spark, scratch, monkeypatch):
+    docs = frame(spark, [(i, SECRETS[i % 3], "a") for i in range(9)])
+    ledger = blob_ledger.BlobLedger(spark, scratch.path("ledger"))
+    ledger.scan(docs)
+    files = ledger.entries().inputFiles()
+    monkeypatch.setattr(blob_ledger, "_pieces", lambda *_: 1 / 0)
+    ledger.scan(docs.union(docs))
+    assert ledger.entries().inputFiles() == files
+
+
 def test_secrets_of_nothing(spark, none, scratch):
     ledger = blob_ledger.BlobLedger(spark, scratch.path("ledger"))
     assert blob_ledger.find_secrets(none, ledger).collect() == []
