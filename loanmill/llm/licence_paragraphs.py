@@ -106,10 +106,47 @@ _SPDX = {
 for _name, _family in _SPDX.items():
     TITLES[_family].append(f"SPDX-License-Identifier: {_name}")
 
+# How families are called in running text.
+NAMES = {
+    "MIT": ["MIT"],
+    "Apache": ["Apache License", "Apache 2.0", "Apache v2"],
+    "GPL": ["GPL", "GPLv3", "GPL v3", "GNU GPL", "GNU General Public License"],
+    "LGPL": ["LGPL", "LGPLv3", "LGPL v3", "GNU LGPL", "GNU Lesser General Public License"],
+    "AGPL": ["AGPL", "AGPLv3", "AGPL v3", "GNU AGPL", "GNU Affero General Public License"],
+    "BSD": ["BSD", "3-Clause BSD"],
+    "MPL": ["MPL", "MPL 2.0", "Mozilla Public License"],
+    "CC BY": ["CC BY 4.0", "CC Attribution License", "Creative Commons Attribution License"],
+    "CC BY-SA": ["CC BY-SA", "CC Attribution-ShareAlike", "Creative Commons Attribution-ShareAlike"],
+    "CC BY-NC": ["CC BY-NC", "CC Attribution-NonCommercial", "Creative Commons Attribution-NonCommercial"],
+    "CC0": ["CC0"],
+    "ISC": ["ISC"],
+}
+for _family, _names in NAMES.items():
+    TITLES[_family] += [f"{_names[0]} licensed", *(f"{n} License" for n in _names if "License" not in n)]
+# Wordings that grant a licence, wherever they stand in a paragraph.
+WORDINGS = [
+    "licensed under {}", "licensed under the {}", "released under the {}", "distributed under the {}",
+    "available under {}", "available under the {}", "under the terms of the {}", "{} or later",
+]
+# What takes a grant back, before its verb; little stands between.
+NEGATIONS = [
+    "not", "never", "no longer", "isn't", "wasn't", "aren't", "not been", "never been", "cannot be",
+    "not be", "not yet", "neither", "nor",
+]
+_VERBS = ("licensed", "released", "distributed", "available", "dedicated", "subject", "under")
+_DENIAL = re.compile(
+    r"\b(?:not|never|no longer|isn t|wasn t|aren t|cannot|neither|nor)(?: (?:been|be|yet|currently|being))*"
+    rf" (?:{'|'.join(_VERBS)})\b"
+)
+# The feature of a paragraph in which a grant is taken back; no word reads so.
+_DENIED = "<denied>"
+
 # Words that only mark a line as a comment; other marks hold no word.
 _MARK = re.compile(r"^\s*(?:rem|dnl)\b", re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+")
 _DIGITS = re.compile(r"\d+")
+_EXPRESSION = re.compile(r"SPDX-License-Identifier:(.*)", re.IGNORECASE)
+_OPERATOR = re.compile(r"\s(?:OR|AND)\s", re.IGNORECASE)
 
 
 def tokens(paragraph: str) -> list[str]:
@@ -131,11 +168,14 @@ class LicenceModel:
     temperature: float
     templates: list[list[set[int]]]
     titles: list[dict[tuple[str, ...], set[int]]]
+    wordings: list[dict[tuple[str, ...], set[int]]]
     longest: int
 
     def _found(self, words: list[str]) -> list[int]:
         """Model n-grams in the paragraph; longer ones only where all their words are known."""
         place, out, run = self.place, set(), []
+        if _DENIAL.search(" ".join(words)):
+            out.add(place[_DENIED])
         for w in words:
             if w not in place:
                 run = []
@@ -154,8 +194,12 @@ class LicenceModel:
         return e / e.sum()
 
     def similarity(self, family: int, words: list[str], held: set[int] | None = None) -> float:
-        """Largest share of a template's n-grams that the paragraph holds; 1 for a title."""
+        """Largest share of a template's n-grams that the paragraph holds; 1 for a title and
+        for a wording that it holds.
+        """
         held = set(self._found(words)) if held is None else held
+        if any(grams <= held and _holds(words, t) for t, grams in self.wordings[family].items()):
+            return 1.0
         if any(_titled(t, words) for t, grams in self.titles[family].items() if grams <= held):
             return 1.0
         return max(len(t & held) / len(t) for t in self.templates[family])
@@ -165,7 +209,7 @@ class LicenceModel:
         held = set(self._found(words))
         return bool(held) and (
             any(len(t & held) >= alike * len(t) for ts in self.templates for t in ts)
-            or any(grams <= held for ts in self.titles for grams in ts.values())
+            or any(grams <= held for ts in self.titles + self.wordings for grams in ts.values())
         )
 
     def classify_words(self, words: list[str], sure: float, alike: float) -> tuple[str, float, float] | None:
@@ -183,13 +227,17 @@ class LicenceModel:
         """First line, family, probability and similarity of every licence in a text."""
         out, block = [], []
         for i, line in enumerate([*text.split("\n"), ""]):
+            if several := _identifiers(line):
+                hits = [self.classify(f"SPDX-License-Identifier: {x}", sure, alike) for x in several]
+                out += [(i, *hit) for hit in dict.fromkeys(hits) if hit]
+                continue
             words = tokens(_MARK.sub("", line))
             if words:
                 block.append((i, words))
             elif block:
                 out += self._in_block(block, sure, alike)
                 block = []
-        return out
+        return sorted(out, key=lambda hit: hit[0])
 
     def _in_block(self, block: list[tuple[int, list[str]]], sure: float, alike: float) -> list[tuple]:
         """Single lines first, then runs of the lines left between, then the whole block."""
@@ -233,9 +281,25 @@ class LicenceModel:
 
 
 def _titled(title: tuple[str, ...], words: list[str]) -> bool:
-    if title[0] != "spdx":
-        return tuple(words) == title
-    return any(tuple(words[i : i + len(title)]) == title for i in range(len(words) - len(title) + 1))
+    return _holds(words, title) if title[0] == "spdx" else tuple(words) == title
+
+
+def _holds(words: list[str], part: tuple[str, ...]) -> bool:
+    n = len(part)
+    return any(tuple(words[i : i + n]) == part for i in range(len(words) - n + 1))
+
+
+def _identifiers(line: str) -> list[str]:
+    """The identifiers of an SPDX expression that joins several."""
+    expression = _EXPRESSION.search(line)
+    parts = _OPERATOR.split(expression[1]) if expression else []
+    return [p.strip(" ()\t\r*/") for p in parts] if len(parts) > 1 else []
+
+
+def _denied(words: list[str], negation: list[str]) -> list[str]:
+    """A grant taken back: the negation before its first verb, or before all of it."""
+    at = next((i for i, w in enumerate(words) if w in _VERBS), 0)
+    return words[:at] + negation + words[at:]
 
 
 def _fitted(x: np.ndarray, y: np.ndarray, classes: int, penalty: float, steps: int):
@@ -264,24 +328,39 @@ def train(docs: DataFrame, max_unknown: int = MAX_UNKNOWN, seed: int = 3) -> Lic
     families = list(TEMPLATES)
     words = [[tokens(t) for t in TEMPLATES[f]] for f in families]
     titles = [[tokens(t) for t in TITLES[f]] for f in families]
-    known = {g for ts in words + titles for t in ts for g in _grams(t)}
+    granted = [[tokens(w.format(n)) for n in NAMES[f] for w in WORDINGS] for f in families]
+    negations = [tokens(n) for n in NEGATIONS]
+    known = {g for ts in words + titles + granted for t in ts for g in _grams(t)}
+    known.add(_DENIED)
     place = {g: i for i, g in enumerate(sorted(known))}
     templates = [[{place[g] for g in _grams(t)} for t in ts] for ts in words]
     of_titles = [{tuple(t): {place[g] for g in _grams(t)} for t in ts} for ts in titles]
+    of_granted = [{tuple(t): {place[g] for g in _grams(t)} for t in ts} for ts in granted]
     model = LicenceModel(
         families, place, np.zeros((len(place), len(families) + 1)), np.zeros(len(families) + 1),
-        1.0, templates, of_titles, max(len(t) for ts in words for t in ts),
+        1.0, templates, of_titles, of_granted, max(len(t) for ts in words for t in ts),
     )
     random = np.random.default_rng(seed)
     # Paragraphs that hold a template aren't unknown; pieces of templates in other words are.
     unknown = [w for w in sample if max(model.similarity(i, w) for i in range(len(families))) < 0.5]
     filler = unknown or [["some", "other", "words"]]
+
+    def apart(most: int) -> list[str]:
+        """Some other words, often after a negation, which says nothing of the licence there."""
+        if random.random() < 0.3:
+            return []
+        line = filler[random.integers(len(filler))]
+        at = random.integers(len(line)) if line else 0
+        said = negations[random.integers(len(negations))] if random.random() < 0.5 else []
+        return said + (line[at : at + random.integers(1, most)] or ["so"])
+
     rows, y = [], []
     for i, family in enumerate(words):
         for _ in range(150):
             base = family[random.integers(len(family))]
             kept = [w for w in base if random.random() > 0.06]
             around = filler[random.integers(len(filler))][: random.integers(0, 25)]
+            around += apart(3)
             rows.append(around + kept if random.random() < 0.5 else kept + around)
             y.append(i)
         for _ in range(40):
@@ -292,6 +371,18 @@ def train(docs: DataFrame, max_unknown: int = MAX_UNKNOWN, seed: int = 3) -> Lic
         for title in titles[i]:
             rows += [title] * 30
             y += [i] * 30
+        # Grants in running text, and the same taken back.
+        for grant in granted[i]:
+            for _ in range(4):
+                rows.append(apart(12) + grant + apart(6))
+                y.append(i)
+                rows.append(apart(12) + _denied(grant, negations[random.integers(len(negations))]) + apart(6))
+                y.append(len(families))
+        for _ in range(40):
+            base = family[random.integers(len(family))]
+            if set(_VERBS) & set(base):
+                rows.append(_denied(base, negations[random.integers(len(negations))]))
+                y.append(len(families))
     rows += unknown
     y = np.array(y + [len(families)] * len(unknown))
     x = np.zeros((len(rows), len(place)), np.float32)
@@ -314,8 +405,11 @@ def scan(docs: DataFrame, model: LicenceModel, sure: float = 0.5, alike: float =
     """`doc_id`, `paragraph` (its first line), `family`, `probability`, `similarity` per licence.
 
     Paragraphs are single lines, runs of lines and what stands between blank lines; lines of
-    comment marks alone are blank. Null and empty texts hold none, nor does an empty table.
-    Equal rows give equal findings, each for itself.
+    comment marks alone are blank. The lines of a run but its first and last hold nothing but
+    the notice, so a run ends where these have twice as many words as the longest template. A
+    paragraph that takes a grant back ("never released under ...") holds none. An SPDX expression gives a row for
+    each family it joins. Null and empty texts hold none, nor does an empty table. Equal rows
+    give equal findings, each for itself; of equally likely families the first counts.
     """
 
     ship(docs.sparkSession)
