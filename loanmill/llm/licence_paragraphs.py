@@ -133,11 +133,9 @@ NEGATIONS = [
     "not", "never", "no longer", "isn't", "wasn't", "aren't", "not been", "never been", "cannot be",
     "not be", "not yet", "neither", "nor",
 ]
-_VERBS = ("licensed", "released", "distributed", "available", "dedicated", "subject", "under")
-_DENIAL = re.compile(
-    r"\b(?:not|never|no longer|isn t|wasn t|aren t|cannot|neither|nor)(?: (?:been|be|yet|currently|being))*"
-    rf" (?:{'|'.join(_VERBS)})\b"
-)
+_VERBS = {"licensed", "released", "distributed", "available", "dedicated", "subject", "under"}
+_NOT = {"not", "never", "cannot", "neither", "nor", "no longer", "isn t", "wasn t", "aren t"}
+_BETWEEN = {"been", "be", "yet", "currently", "being"}
 # The feature of a paragraph in which a grant is taken back; no word reads so.
 _DENIED = "<denied>"
 
@@ -171,15 +169,21 @@ class LicenceModel:
     wordings: list[dict[tuple[str, ...], set[int]]]
     longest: int
 
+    def __post_init__(self):
+        # One n-gram of every title and wording, without which it isn't there.
+        self.signs = {
+            self.place[" ".join(t[-3:])] for ts in self.titles + self.wordings for t in ts
+        }
+
     def _found(self, words: list[str]) -> list[int]:
         """Model n-grams in the paragraph; longer ones only where all their words are known."""
         place, out, run = self.place, set(), []
-        if _DENIAL.search(" ".join(words)):
-            out.add(place[_DENIED])
-        for w in words:
+        for i, w in enumerate(words):
             if w not in place:
                 run = []
                 continue
+            if w in _VERBS and _denied_at(words, i):
+                out.add(place[_DENIED])
             run = [*run[-2:], w]
             out.add(place[w])
             for n in (2, 3):
@@ -209,7 +213,8 @@ class LicenceModel:
         held = set(self._found(words))
         return bool(held) and (
             any(len(t & held) >= alike * len(t) for ts in self.templates for t in ts)
-            or any(grams <= held for ts in self.titles + self.wordings for grams in ts.values())
+            or not held.isdisjoint(self.signs)
+            and any(grams <= held for ts in self.titles + self.wordings for grams in ts.values())
         )
 
     def classify_words(self, words: list[str], sure: float, alike: float) -> tuple[str, float, float] | None:
@@ -296,6 +301,14 @@ def _identifiers(line: str) -> list[str]:
     return [p.strip(" ()\t\r*/") for p in parts] if len(parts) > 1 else []
 
 
+def _denied_at(words: list[str], verb: int) -> bool:
+    """Whether a negation stands before the verb, with no more than a few words between."""
+    at = verb - 1
+    while at >= 0 and words[at] in _BETWEEN:
+        at -= 1
+    return at >= 0 and (words[at] in _NOT or " ".join(words[max(0, at - 1) : at + 1]) in _NOT)
+
+
 def _denied(words: list[str], negation: list[str]) -> list[str]:
     """A grant taken back: the negation before its first verb, or before all of it."""
     at = next((i for i, w in enumerate(words) if w in _VERBS), 0)
@@ -342,7 +355,11 @@ def train(docs: DataFrame, max_unknown: int = MAX_UNKNOWN, seed: int = 3) -> Lic
     )
     random = np.random.default_rng(seed)
     # Paragraphs that hold a template aren't unknown; pieces of templates in other words are.
-    unknown = [w for w in sample if max(model.similarity(i, w) for i in range(len(families))) < 0.5]
+    unknown = []
+    for w in sample:
+        held = set(model._found(w))
+        if max(model.similarity(i, w, held) for i in range(len(families))) < 0.5:
+            unknown.append(w)
     filler = unknown or [["some", "other", "words"]]
 
     def apart(most: int) -> list[str]:
@@ -380,7 +397,7 @@ def train(docs: DataFrame, max_unknown: int = MAX_UNKNOWN, seed: int = 3) -> Lic
                 y.append(len(families))
         for _ in range(40):
             base = family[random.integers(len(family))]
-            if set(_VERBS) & set(base):
+            if _VERBS & set(base):
                 rows.append(_denied(base, negations[random.integers(len(negations))]))
                 y.append(len(families))
     rows += unknown
