@@ -280,6 +280,38 @@ def test_wand_skips_most_of_the_lists(monkeypatch):
     assert shard.visited < 0.4 * listed
 
 
+@pytest.mark.parametrize("frequent", [0, 5, 2048])
+def test_few_documents_are_scored_term_by_term(monkeypatch, frequent):
+    """Bounds pick the documents, whichever terms count as frequent; copies are scored once, and
+    a shard cut another way gives the same scores to the last bit."""
+    monkeypatch.setattr(block_max, "_FREQUENT_TERMS", frequent, raising=False)
+    draw = np.random.default_rng(6)
+    idf = np.r_[draw.random(60), 3 + draw.random(400) * 5, 1e-9]
+    docs = []
+    for i in range(900):
+        terms = np.unique(np.r_[draw.integers(0, 60, 25), draw.integers(60, 460, 4), 460])
+        docs.append((int(i), int(len(terms)), terms, draw.integers(1, 4, len(terms))))
+    docs += [(2000 - i, *docs[7][1:]) for i in range(60)] + [(3000, 0, *2 * [np.zeros(0, int)])]
+    queries = [d[2] for d in docs[:40]]
+    whole, parts, scored = block_max.Best(40, 5), block_max.Best(40, 5), 0
+    shard = block_max.Shard(docs, idf, 28.0)
+    shard.search(queries, whole)
+    for a in range(0, len(docs), 250):
+        block_max.Shard(docs[a : a + 250], idf, 28.0).search(queries, parts)
+    assert (whole.scores == parts.scores).all() and (whole.ids == parts.ids).all()
+    for row, asked in enumerate(queries):
+        every = []
+        for i, length, terms, counts in docs:
+            norm = 1.2 * (0.25 + 0.75 * length / 28.0)
+            met = np.isin(terms, asked)
+            score = math.fsum(idf[terms[met]] * counts[met] * 2.2 / (counts[met] + norm))
+            every.append((-round(score, 6), i))
+        best = sorted(every)[:5]
+        assert [(-round(s, 6), i) for s, i in zip(whole.scores[row], whole.ids[row])] == best
+    assert whole.ids[7].tolist() == [7, 1941, 1942, 1943, 1944]
+    assert shard.scored < 0.05 * len(queries) * len(docs)
+
+
 # --- surrogates -----------------------------------------------------------------
 
 PRIVATE = [
